@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, language_id, mixing
+from . import chat_format, exact_dedup, html_extract, language_id, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,24 @@ SELECT doc_id, source, size, source_size, round(target, 4) AS target,
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS m FROM h),
+r AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM g WHERE m < doc_id),
+x AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, j: NOT list_contains(gone, j)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     fixed = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
@@ -99,9 +117,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_html_extract": op7_html_extract,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
