@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, quality, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,30 @@ SELECT doc_id, source, size, source_size, round(target, 4) AS target,
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+OP2_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS w, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, unnest(range(0, len(w))) AS n, unnest(w) AS line FROM s),
+k AS (SELECT * FROM o WHERE length(line) >= 20),
+d AS (SELECT line, length(line) AS l, min({'d': doc_id, 'n': n}) AS first FROM k GROUP BY line),
+p AS (SELECT a.line, min(b.first) AS first FROM d a JOIN d b ON b.l BETWEEN a.l - 2 AND a.l + 2 AND a.line <> b.line
+      AND (substr(a.line, 1, 9) = substr(b.line, 1, 9) OR right(a.line, 9) = right(b.line, 9) OR jaccard(a.line, b.line) > 0.3)
+      WHERE levenshtein(a.line, b.line) <= 2 GROUP BY a.line),
+f AS (SELECT d.line, least(d.first, coalesce(p.first, d.first)) AS first FROM d LEFT JOIN p ON d.line = p.line),
+r AS (SELECT k.doc_id, list(k.n) AS gone FROM k JOIN f ON k.line = f.line WHERE f.first < {'d': k.doc_id, 'n': k.n} GROUP BY k.doc_id)
+SELECT s.doc_id, (CASE WHEN text = '' THEN 0 ELSE len(w) END)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(w, lambda v, i: NOT list_contains(gone, i - 1)), chr(10)), '') END) AS kept_sha256
+FROM s LEFT JOIN r ON s.doc_id = r.doc_id
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -130,6 +154,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
@@ -139,4 +164,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
