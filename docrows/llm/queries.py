@@ -53,7 +53,6 @@ o AS (SELECT doc_id, unnest(range(0, len(w))) AS n, unnest(w) AS line FROM s),
 k AS (SELECT * FROM o WHERE length(line) >= 20),
 d AS (SELECT line, length(line) AS l, min({'d': doc_id, 'n': n}) AS first FROM k GROUP BY line),
 p AS (SELECT a.line, min(b.first) AS first FROM d a JOIN d b ON b.l BETWEEN a.l - 2 AND a.l + 2 AND a.line <> b.line
-      AND (substr(a.line, 1, 9) = substr(b.line, 1, 9) OR right(a.line, 9) = right(b.line, 9) OR jaccard(a.line, b.line) > 0.3)
       WHERE levenshtein(a.line, b.line) <= 2 GROUP BY a.line),
 f AS (SELECT d.line, least(d.first, coalesce(p.first, d.first)) AS first FROM d LEFT JOIN p ON d.line = p.line),
 r AS (SELECT k.doc_id, list(k.n) AS gone FROM k JOIN f ON k.line = f.line WHERE f.first < {'d': k.doc_id, 'n': k.n} GROUP BY k.doc_id)
