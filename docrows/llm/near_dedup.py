@@ -22,13 +22,14 @@ from .common import Texts, chunks, fixed64, materialize, mix, span_hash
 from .components import components
 
 TREES, DEPTH, FIRST = 10, 9, 2
-#: Minwise values of a document: a token for each level of each tree, and a few more for the sketch.
-VALUES = 96
-#: A node of so many documents is compared exhaustively; one of over MOST is dealt to several tasks.
-SMALL, MOST = 128, 20_000
+#: Minwise values of a document, of which each tree takes DEPTH tokens of its own before it goes on with the others'.
+VALUES, DEEPEST = 96, 40
+#: A node of so many documents is compared exhaustively; one of over MOST branches before it goes to a task.
+SMALL, MOST = 64, 20_000
+#: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
+FEW = 2_000_000
 _MULTIPLIERS = fixed64(VALUES, 3) | np.uint64(1)
-_NODE = "tree int, node long, doc_id long, n long, sketch binary"
-_FOUND = "a long, b long, tree int, node long, doc_id long, n long, sketch binary"
+_NODE = "tree int, depth int, node long, doc_id long, n long, label long, sketch binary"
 
 
 def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +76,21 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 ["doc_id", "n", "name1", "name2", "least"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's node after the first tokens, in each tree; the sketch has a byte of each minwise value, this tree's first."""
+def _paths(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
+    """Each document's node after the first tokens, in each tree; the sketch has a byte of each minwise value."""
     for batch in batches:
         for a in range(0, batch.num_rows, 2048):
             part = batch.slice(a, 2048)
             least = np.frombuffer(b"".join(part.column("least").to_pylist()), np.uint32).reshape(-1, VALUES)
-            for tree in range(TREES):
+            for tree in range(trees):
                 own = least[:, tree * DEPTH : (tree + 1) * DEPTH]
                 node = np.full(len(least), tree + 1, np.uint64)
                 for level in range(FIRST):
                     node = mix(node * np.uint64(0x9E3779B97F4A7C15) + own[:, level])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(least), tree, np.int32)), pa.array(node.view(np.int64)), part.column("doc_id"), part.column("n"),
-                     pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary())], ["tree", "node", "doc_id", "n", "sketch"])
+                    [pa.array(np.full(len(least), tree, np.int32)), pa.array(np.full(len(least), FIRST, np.int32)), pa.array(node.view(np.int64)), part.column("doc_id"),
+                     part.column("n"), part.column("label"), pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary())],
+                    ["tree", "depth", "node", "doc_id", "n", "label", "sketch"])
 
 
 class _Forest:
@@ -123,103 +125,92 @@ def least_matches(similarity: float, sds: float = 3.8) -> int:
     return int(VALUES * similarity - sds * (VALUES * similarity * (1 - similarity)) ** 0.5)
 
 
-def compare(node: np.ndarray, tree: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[list, np.ndarray]:
-    """Candidate pairs of rows that share a node, and the group of each row. Rows come by node and id.
+def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among rows that share a node and not a label.
 
-    Pairs that are surely similar are left out where the rows are in one group already; all other candidates are kept.
+    ``forest``: of each node's candidates, only those that join two of its groups, the most alike ones first.
     """
-    weak, strong = least_matches(similarity), int(np.ceil(VALUES * (similarity + (1 - similarity) * 0.3)))
-    forest, pairs = _Forest(len(ids)), []
+    weak, found = least_matches(similarity), []
 
     def look(a: np.ndarray, b: np.ndarray) -> None:
-        sized = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
-        a, b = a[sized], b[sized]
+        ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
+        a, b = a[ok], b[ok]
         for s in range(0, len(a), 1 << 16):
             x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
             same = (sketch[x] == sketch[y]).sum(axis=1)
-            sure = same >= strong
-            pairs.append((x[(same >= weak) & ~sure], y[(same >= weak) & ~sure]))
-            x, y = x[sure], y[sure]
-            new = forest.join(x, y)
-            pairs.append((x[new], y[new]))
+            found.append(np.stack([x, y, same])[:, same >= weak])
 
-    key, depth = node.copy(), np.full(len(ids), FIRST)
+    key, depth = node.copy(), depth.copy()
     while True:  # branch by the next token wherever a node is too large
-        order = np.lexsort((ids, key))
+        order = np.argsort(key, kind="stable")
         ordered = key[order]
-        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(key) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         many = np.diff(np.r_[begin, len(key)])
         large = order[np.repeat(many, many) > SMALL]
-        large = large[depth[large] < DEPTH]
+        large = large[depth[large] < DEEPEST]
         if not len(large):
             break
-        key[large] = mix(key[large] * np.uint64(0x9E3779B97F4A7C15) + sketch[large, tree[large] * DEPTH + depth[large]])
+        key[large] = mix(key[large] * np.uint64(0x9E3779B97F4A7C15) + sketch[large, (tree[large] * DEPTH + depth[large]) % VALUES])
         depth[large] += 1
     small = np.repeat(many, many) <= SMALL
-    first = np.repeat(begin, many)
-    place = np.arange(len(order)) - first
-    look(order[first[small & (place > 0)]], order[small & (place > 0)])  # all with the least id
+    place = np.arange(len(order)) - np.repeat(begin, many)
     for shift in range(1, int(many[many <= SMALL].max(initial=1))):
-        a = np.flatnonzero(small[:-shift] & (place[shift:] >= shift) & (place[:-shift] > 0))
-        group = forest.flat()
-        a = a[group[order[a]] != group[order[a + shift]]]
+        a = np.flatnonzero(small[:-shift] & (place[shift:] >= shift))
         look(order[a], order[a + shift])
-    for b, m in zip(begin[many > SMALL], many[many > SMALL]):  # alike in all tokens, or nearly so
-        rows = order[b : b + m]
-        open_ = np.ones(m, bool)
-        for k in range(m):
-            if not open_[k]:
-                continue
-            group = forest.flat()
-            other = np.flatnonzero(group[rows] != group[rows[k]])
-            look(np.full(len(other), rows[k]), rows[other])
-            group = forest.flat()
-            open_ &= group[rows] != group[rows[k]]
-    return pairs, forest.flat()
-
-
-def _solve(batches: Iterator[pa.RecordBatch], similarity: float, deal: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come by node. ``deal``: the node is a part of a larger one, and one row of each group goes on to meet the others."""
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    held: list[pa.RecordBatch] = []
-
-    def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda c: table.column(c).to_numpy()
-        node, tree, ids, n = col("part").view(np.uint64), col("tree"), col("doc_id"), col("n")
+    groups = _Forest(len(order))
+    for b, m in zip(begin[many > SMALL], many[many > SMALL]):  # alike in all tokens: each with the first of its kind
+        rows, left = order[b : b + m], np.arange(1, m)
+        head = 0
+        while len(left):
+            look(np.full(len(left), rows[head]), rows[left])
+            x = found[-1][1] if found else left[:0]
+            near = np.isin(rows[left], x) | (label[rows[left]] == label[rows[head]])
+            rest = left[~near]
+            head, left = (rest[0], rest[1:]) if len(rest) else (0, rest)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, same = np.concatenate(found, axis=1)
+    if not forest:
+        return x, y
+    out = []
+    for level in np.unique(same)[::-1]:
+        group = groups.flat()
+        k = np.flatnonzero((same == level) & (group[x] != group[y]))
+        k = k[groups.join(x[k], y[k])]
+        out.append(k)
+    out = np.concatenate(out)
+    return x[out], y[out]
+
+
+def _solve(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come by node."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        node = table.column("node").to_numpy()
         again = node[1:] == node[:-1]
-        if deal:
-            shared = np.ones(len(node), bool)
-        else:
-            shared = np.r_[again, False] | np.r_[False, again]  # alone in a node: nothing to compare
-        table = table.filter(pa.array(shared))
-        if not table.num_rows:
-            return
-        node, tree, ids, n = node[shared], tree[shared], ids[shared], n[shared]
+        table = table.filter(pa.array(np.r_[again, False] | np.r_[False, again]))  # alone in a node: nothing to compare
+        ids = table.column("doc_id").to_numpy()
+        if not len(ids):
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids)], ["a", "b"])
+        col = lambda c: table.column(c).to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-        pairs, group = compare(node, tree, ids, n, sketch, similarity)
-        a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1)) if pairs else (np.zeros(0, np.int64),) * 2
-        if len(a):
-            none = lambda kind: pa.nulls(len(a), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], names)
-        if deal:
-            head = table.take(pa.array(np.unique(group))).combine_chunks()
-            none = pa.nulls(head.num_rows, pa.int64())
-            for x in pa.table([none, none, *(head.column(c) for c in names[2:])], names).to_batches():
-                yield x
+        a, b = compare(col("node").view(np.uint64), col("tree"), col("depth"), col("n"), col("label"), sketch, similarity, forest)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
+    held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
         if size >= 1 << 16:
             table = pa.Table.from_batches(held)
-            keys = table.column("part").to_numpy()
+            keys = table.column("node").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last node may go on
             if cut:
-                yield from flush(table.slice(0, cut))
+                yield flush(table.slice(0, cut))
                 held, size = table.slice(cut).to_batches(), table.num_rows - cut
     if held:
-        yield from flush(pa.Table.from_batches(held))
+        yield flush(pa.Table.from_batches(held))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -232,6 +223,35 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> It
             yield part.select(["a", "b"]).filter(pa.array((100 * both >= percent * (n + m - both)) & (both > 0)))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Written ids, for a broadcast if they are few."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
+def candidates(lead: DataFrame, trees: int, similarity: float, forest: bool) -> DataFrame:
+    """Candidate pairs a < b of documents with different labels, from so many trees."""
+    rows = lead.mapInArrow(partial(_paths, trees=trees), _NODE)
+    for level in range(FIRST, DEPTH):  # nodes that are too large for a task branch here
+        size = rows.where(F.col("depth") == level).groupBy("node").count().where(F.col("count") > MOST).select(F.col("node").alias("large"))
+        large = materialize(size, "large")
+        if not large.limit(1).count():
+            break
+        token = F.substring("sketch", F.col("tree") * DEPTH + level + 1, F.lit(1))
+        rows = rows.join(_few(large), F.col("node") == F.col("large"), "left").withColumn("depth", F.when(F.col("large").isNull(), F.col("depth")).otherwise(level + 1))
+        rows = rows.withColumn("node", F.when(F.col("large").isNull(), F.col("node")).otherwise(F.xxhash64("node", token))).drop("large")
+    found = rows.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(partial(_solve, similarity=similarity, forest=forest), "a long, b long")
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+
+
+def confirmed(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs that are similar on their full sets."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    texts = materialize(rows.join(_few(ends), "doc_id", "left_semi"), "texts")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return materialize(both.mapInArrow(partial(_confirm, k=shingle, similarity=similarity), "a long, b long"), "links")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links), kept (doc_id = component_id) for each row of ``docs``.
 
@@ -239,35 +259,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (A-Z) and whole texts count. A text without words, or null, is linked with nothing. Equal sets are one node of the
     join, so that exact copies cost no comparison. Rows that repeat an id are one document with the links of all of them.
     A row without an id is linked with nothing, has a null component and is kept. No rows give no rows.
+
+    A group of thousands of near copies would make candidates in the square of its size. So a first round, over half of
+    the trees, confirms only the likeliest links that hold a node's documents together; a second one, over all trees,
+    confirms every candidate whose ends are still in different components.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = materialize(rows.mapInArrow(partial(_describe, k=shingle), "doc_id long, n long, name1 long, name2 long, least binary"), "sets")
     key = ["n", "name1", "name2"]
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
-    heads = known.groupBy(*key).agg(F.min("doc_id").alias("head"))
-    slim = materialize(known.select("doc_id", *key).join(heads, key).select("doc_id", "n", "head"), "members")
-
-    lead = known.join(slim.where("doc_id = head").select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "least")
-    paths = lead.mapInArrow(_paths, _NODE)
-    hot = materialize(paths.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > MOST).select(F.col("node").alias("hot"), "rows"), "hot")
-    placed = paths.join(hot, F.col("node") == F.col("hot"), "left").withColumn(
-        "part", F.when(F.col("rows").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / MOST))))
-    )
-    cols = ["tree", "node", "doc_id", "n", "sketch", "part"]
-    deal = lambda df, d: df.select(*cols).repartition("part").sortWithinPartitions("part").mapInArrow(partial(_solve, similarity=similarity, deal=d), _FOUND)
-    found = deal(placed.where("hot IS NULL"), False).select("a", "b")
-    if hot.limit(1).count():  # parts of large nodes: each group's first row meets those of the other parts
-        parts = materialize(deal(placed.where("hot IS NOT NULL"), True), "parts")
-        upper = deal(parts.where("a IS NULL").withColumn("part", F.col("node")), False)
-        found = found.unionByName(parts.where("a IS NOT NULL").select("a", "b")).unionByName(upper.select("a", "b"))
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(rows.join(ends, "doc_id", "left_semi"), "texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirm, k=shingle, similarity=similarity), "a long, b long")
-    own = slim.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    label = components(links.unionByName(own))
+    heads = materialize(known.groupBy(*key).agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")), "heads")
+    copies = known.select("doc_id", *key).join(_few(heads.where("rows > 1").drop("rows")), key).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    copies = materialize(copies, "copies")
+    lead = known.join(_few(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti").select("doc_id", "n", "least")
+
+    pairs = candidates(lead.withColumn("label", F.col("doc_id")), TREES // 2, similarity, True)
+    links = confirmed(rows, pairs, shingle, similarity)
+    label = materialize(components(links), "labels")
+    lead = lead.join(_few(label), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "least", F.coalesce("component", "doc_id").alias("label"))
+    more = candidates(lead, TREES, similarity, False).join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(confirmed(rows, more, shingle, similarity))
+
+    label = materialize(components(links.unionByName(copies)), "labels")
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles")).join(label, F.col("doc_id") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
