@@ -71,7 +71,8 @@ def train(texts: DataFrame) -> DataFrame:
         c = levels[k]
         n1, n2, n3, n4 = (x or 0 for x in c.agg(*(F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4))).first())
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d1, d2, d3 = (min(max(i - (i + 1) * y * b / a, 0.0), float(i)) if a and n1 else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+        # a discount of nothing would leave unseen bytes without probability, so small corpora get a tenth at least
+        d1, d2, d3 = (min(max(i - (i + 1) * y * b / a, 0.1), float(i)) if a and n1 else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
         less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         after = F.shiftright("gram", 8)
         contexts = c.groupBy(after.alias("context")).agg(F.sum("n").alias("total"), F.sum(less).alias("freed")).select(
