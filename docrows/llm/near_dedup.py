@@ -140,25 +140,36 @@ def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray
             same = (sketch[x] == sketch[y]).sum(axis=1)
             found.append(np.stack([x, y, same])[:, same >= weak])
 
-    key, depth = node.copy(), depth.copy()
-    while True:  # branch by the next token wherever a node is too large
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    key, depth, most = node.copy(), depth.copy(), SMALL if forest else 2 * SMALL
+    while True:  # branch by the next token wherever a node has too many pairs to compare
+        order = np.lexsort((label, key))
+        new_key = np.r_[True, key[order][1:] != key[order][:-1]]
+        begin = np.flatnonzero(new_key)
         many = np.diff(np.r_[begin, len(key)])
-        large = order[np.repeat(many, many) > SMALL]
+        alike = np.flatnonzero(new_key | np.r_[True, label[order][1:] != label[order][:-1]])  # runs of a label in a node
+        size = np.diff(np.r_[alike, len(key)])
+        pairs = many * many - np.add.reduceat(size * size, np.searchsorted(alike, begin))
+        wide = pairs > many * most
+        large = order[np.repeat(wide, many)]
         large = large[depth[large] < DEEPEST]
         if not len(large):
             break
         key[large] = mix(key[large] * np.uint64(0x9E3779B97F4A7C15) + sketch[large, (tree[large] * DEPTH + depth[large]) % VALUES])
         depth[large] += 1
-    small = np.repeat(many, many) <= SMALL
-    place = np.arange(len(order)) - np.repeat(begin, many)
-    for shift in range(1, int(many[many <= SMALL].max(initial=1))):
+    few = ~wide & (many <= most + 1)
+    small, place = np.repeat(few, many), np.arange(len(order)) - np.repeat(begin, many)
+    for shift in range(1, int(many[few].max(initial=1))):
         a = np.flatnonzero(small[:-shift] & (place[shift:] >= shift))
         look(order[a], order[a + shift])
+    for b, m in zip(begin[~few & ~wide], many[~few & ~wide]):  # one label has most rows: all others with every row
+        rows = order[b : b + m]
+        names, counts = np.unique(label[rows], return_counts=True)
+        others = np.flatnonzero(label[rows] != names[counts.argmax()])
+        for k in others.tolist():
+            rest = np.r_[rows[:k][label[rows[:k]] == names[counts.argmax()]], rows[k + 1 :]]
+            look(np.full(len(rest), rows[k]), rest)
     groups = _Forest(len(order))
-    for b, m in zip(begin[many > SMALL], many[many > SMALL]):  # alike in all tokens: each with the first of its kind
+    for b, m in zip(begin[wide], many[wide]):  # alike in all tokens: each with the first of its kind
         rows, left = order[b : b + m], np.arange(1, m)
         head = 0
         while len(left):
