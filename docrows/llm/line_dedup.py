@@ -114,10 +114,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     gone = materialize(gone.withColumnRenamed("doc_id", "__id"), "removed")
     out = docs.join(_few(gone), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
-    text = F.split(text_col, "\n")
+    out = out.withColumn("__lines", F.split(text_col, "\n"))  # a column of its own, so that no line splits the text again
+    text = F.col("__lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(text) - 1), "removed"), lambda i: F.get(text, i))
     return (
         out.withColumn("n_lines", F.when(F.length(text_col) > 0, F.size(text)).otherwise(0).cast("long"))
         .withColumn("kept_text", F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+        .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).drop("__lines")
     )
