@@ -30,6 +30,8 @@ SMALL, MOST = 64, 20_000
 FEW = 2_000_000
 _MULTIPLIERS = fixed64(VALUES, 3) | np.uint64(1)
 _NODE = "tree int, depth int, node long, doc_id long, n long, label long, sketch binary"
+#: Candidates for each row of a node from which on the node is a crowd; values of a set from which on it is thinned.
+CROWD, THIN = 4, 1024
 
 
 def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +127,11 @@ def least_matches(similarity: float, sds: float = 3.8) -> int:
     return int(VALUES * similarity - sds * (VALUES * similarity * (1 - similarity)) ** 0.5)
 
 
-def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among rows that share a node and not a label.
+def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs among rows that share a node and not a label; rows of crowds, and the node of each.
 
-    ``forest``: of each node's candidates, only those that join two of its groups, the most alike ones first.
+    ``forest``: of each node's candidates, only those that join two of its groups, the most alike ones first. Otherwise
+    nodes with too many candidates are crowds: the rows that are in one of them are named instead.
     """
     weak, found = least_matches(similarity), []
 
@@ -179,10 +182,13 @@ def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray
             rest = left[~near]
             head, left = (rest[0], rest[1:]) if len(rest) else (0, rest)
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3 + (key[:0],)
     x, y, same = np.concatenate(found, axis=1)
     if not forest:
-        return x, y
+        at = np.searchsorted(key[order][begin], key[x])
+        crowd = (np.bincount(at, minlength=len(begin)) > CROWD * many)[at]
+        rows = np.unique(np.r_[x[crowd], y[crowd]])
+        return x[~crowd], y[~crowd], rows, key[rows]
     out = []
     for level in np.unique(same)[::-1]:
         group = groups.flat()
@@ -190,7 +196,7 @@ def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray
         k = k[groups.join(x[k], y[k])]
         out.append(k)
     out = np.concatenate(out)
-    return x[out], y[out]
+    return x[out], y[out], out[:0], key[:0]
 
 
 def _solve(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -> Iterator[pa.RecordBatch]:
@@ -202,11 +208,13 @@ def _solve(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -
         table = table.filter(pa.array(np.r_[again, False] | np.r_[False, again]))  # alone in a node: nothing to compare
         ids = table.column("doc_id").to_numpy()
         if not len(ids):
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids)] * 3, ["a", "b", "crowd"])
         col = lambda c: table.column(c).to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-        a, b = compare(col("node").view(np.uint64), col("tree"), col("depth"), col("n"), col("label"), sketch, similarity, forest)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        a, b, rows, crowd = compare(col("node").view(np.uint64), col("tree"), col("depth"), col("n"), col("label"), sketch, similarity, forest)
+        b = pa.concat_arrays([pa.array(ids[b]), pa.nulls(len(rows), pa.int64())])
+        crowd = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowd.view(np.int64))])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[ids[a], ids[rows]]), b, crowd], ["a", "b", "crowd"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -234,13 +242,84 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> It
             yield part.select(["a", "b"]).filter(pa.array((100 * both >= percent * (n + m - both)) & (both > 0)))
 
 
+def _thinned(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of a text's set; of a large set those with ``level`` zero bits at the end, THIN / 2 or more on average."""
+    for batch in batches:
+        for part in _slices(batch, "text"):
+            code, n = shingle_sets(Texts(part.column("text")), k)
+            level = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / THIN)), 0).astype(np.int64)
+            of = (code >> np.uint64(48)).astype(np.int64)
+            code &= np.uint64((1 << 48) - 1)
+            stay = code & ((np.uint64(1) << level[of].astype(np.uint64)) - np.uint64(1)) == 0
+            cut = np.cumsum(np.bincount(of[stay], minlength=len(n)))[:-1]
+            sets = pa.array([x.tobytes() for x in np.split(code[stay], cut)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(level.astype(np.int32)), sets], ["doc_id", "level", "codes"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come by crowd; rows of different labels are compared on their sets.
+
+    Where these are whole, the best partner of a row in each other label is enough to join the two. Thinned sets are
+    within 3.8 standard deviations of what the whole ones have in common, and all that may be similar go on.
+    """
+
+    def flush(rows: list[dict]) -> pa.RecordBatch:
+        level = max(r["level"] for r in rows)
+        sets = [np.frombuffer(r["codes"], np.uint64) for r in rows]
+        if level:
+            sets = [x[x & np.uint64((1 << level) - 1) == 0] for x in sets]
+        n = np.array([len(x) for x in sets])
+        end = np.cumsum(n)
+        kinds, item = np.unique(np.concatenate(sets), return_inverse=True)
+        label, ids = np.array([r["label"] for r in rows]), np.array([r["doc_id"] for r in rows])
+        names, counts = np.unique(label, return_counts=True)
+        others = np.flatnonzero(label != names[counts.argmax()])
+        pending = np.ones(len(rows), bool)
+        mine, out = np.zeros(len(kinds), bool), [np.zeros((2, 0), np.int64)]
+        for k in others:
+            pending[k] = False  # its pairs with earlier ones have been compared
+            own = item[end[k] - n[k] : end[k]]
+            mine[own] = True
+            seen = np.r_[0, np.cumsum(mine[item])]
+            both = seen[end] - seen[end - n]
+            mine[own] = False
+            union = np.maximum(n + n[k] - both, 1)
+            least = similarity - 1e-9 if not level else similarity - 3.8 * np.sqrt(similarity * (1 - similarity) / union)
+            near = np.flatnonzero(pending & (label != label[k]) & ((both / union >= least) & (both > 0) | (level > 0) & (n + n[k] < THIN // 4)))
+            if not level:
+                near = near[np.lexsort((-both[near] / union[near], label[near]))]
+                near = near[np.r_[True, label[near][1:] != label[near][:-1]]] if len(near) else near
+            out.append(np.stack([np.full(len(near), ids[k]), ids[near]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["crowd"] != row["crowd"]:
+                yield flush(held)
+                held = []
+            held.append(row)
+    if held:
+        yield flush(held)
+
+
+def crowd_pairs(rows: DataFrame, lead: DataFrame, crowds: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs a < b between labels in crowds, compared on sets: a row for each member of a crowd, none for each candidate."""
+    sets = rows.join(_few(materialize(crowds.select("doc_id").distinct(), "crowd-ids")), "doc_id", "left_semi")
+    sets = materialize(sets.mapInArrow(partial(_thinned, k=shingle), "doc_id long, level int, codes binary"), "crowd-sets")
+    members = crowds.distinct().join(lead.select("doc_id", "label").distinct(), "doc_id").join(sets, "doc_id")
+    found = members.repartition("crowd").sortWithinPartitions("crowd").mapInArrow(partial(_meet, similarity=similarity), "a long, b long")
+    return materialize(found.where("a < b").distinct(), "crowd-pairs")
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """Written ids, for a broadcast if they are few."""
     return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
 
 
-def candidates(lead: DataFrame, trees: int, similarity: float, forest: bool) -> DataFrame:
-    """Candidate pairs a < b of documents with different labels, from so many trees."""
+def candidates(lead: DataFrame, trees: int, similarity: float, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs a < b of documents with different labels, from so many trees; members of crowds (crowd, doc_id)."""
     rows = lead.mapInArrow(partial(_paths, trees=trees), _NODE)
     for level in range(FIRST, DEPTH):  # nodes that are too large for a task branch here
         size = rows.where(F.col("depth") == level).groupBy("node").count().where(F.col("count") > MOST).select(F.col("node").alias("large"))
@@ -250,8 +329,10 @@ def candidates(lead: DataFrame, trees: int, similarity: float, forest: bool) ->
         token = F.substring("sketch", F.col("tree") * DEPTH + level + 1, F.lit(1))
         rows = rows.join(_few(large), F.col("node") == F.col("large"), "left").withColumn("depth", F.when(F.col("large").isNull(), F.col("depth")).otherwise(level + 1))
         rows = rows.withColumn("node", F.when(F.col("large").isNull(), F.col("node")).otherwise(F.xxhash64("node", token))).drop("large")
-    found = rows.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(partial(_solve, similarity=similarity, forest=forest), "a long, b long")
-    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+    found = rows.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(partial(_solve, similarity=similarity, forest=forest), "a long, b long, crowd long")
+    found = materialize(found, "found")
+    pairs = found.where("crowd IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    return materialize(pairs, "pairs"), found.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("doc_id"))
 
 
 def confirmed(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -273,7 +354,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A group of thousands of near copies would make candidates in the square of its size. So a first round, over half of
     the trees, confirms only the likeliest links that hold a node's documents together; a second one, over all trees,
-    confirms every candidate whose ends are still in different components.
+    confirms every candidate whose ends are still in different components. Rows at the edge of a large group resemble most
+    of it without being linked; a node with many such candidates is a crowd, whose rows are compared on their sets in place.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = materialize(rows.mapInArrow(partial(_describe, k=shingle), "doc_id long, n long, name1 long, name2 long, least binary"), "sets")
@@ -284,11 +366,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = materialize(copies, "copies")
     lead = known.join(_few(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti").select("doc_id", "n", "least")
 
-    pairs = candidates(lead.withColumn("label", F.col("doc_id")), TREES // 2, similarity, True)
+    pairs, _ = candidates(lead.withColumn("label", F.col("doc_id")), TREES // 2, similarity, True)
     links = confirmed(rows, pairs, shingle, similarity)
     label = materialize(components(links), "labels")
     lead = lead.join(_few(label), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "least", F.coalesce("component", "doc_id").alias("label"))
-    more = candidates(lead, TREES, similarity, False).join(pairs, ["a", "b"], "left_anti")
+    more, crowds = candidates(lead, TREES, similarity, False)
+    if crowds.limit(1).count():
+        more = more.unionByName(crowd_pairs(rows, lead, crowds, shingle, similarity)).distinct()
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(confirmed(rows, more, shingle, similarity))
 
     label = materialize(components(links.unionByName(copies)), "labels")
