@@ -135,6 +135,19 @@ def test_near_dedup_large_group(spark):
     assert near_dedup.near_dedup(docs(spark, rows).where("false")).count() == 0
 
 
+def test_near_dedup_crowd(spark, monkeypatch):
+    """Rows that resemble most of a group, linked with it or not, are compared in place and end where brute force puts them."""
+    rng, seen = random.Random(12), []
+    base = words(rng, 150)
+    share = lambda i: 0.01 if i < 300 else 0.09 + 0.03 * rng.random()
+    rows = [(i, " ".join(w if rng.random() > p else f"n{rng.random()}" for w in base)) for i in range(340) for p in [share(i)]]
+    whole = near_dedup.crowd_pairs
+    monkeypatch.setattr(near_dedup, "crowd_pairs", lambda *a: seen.append(1) or whole(*a))
+    _, find = linked(rows, 2)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs(spark, rows), shingle=2).collect()}
+    assert seen and sum(got[i] != find(i) for i, _ in rows) <= 1 and sum(find(i) > 0 for i, _ in rows) > 5
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (50, 50)] + [(200, k) for k in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
