@@ -25,6 +25,8 @@ SHARD = 3_000_000
 IDS = 2_000_000
 #: Distinct n-grams that a counting task holds before it sends them on.
 HELD = 4_000_000
+#: Rows kept aside from which on their quantile is the limit as it is; of fewer, over 1 % of trusted texts pass the largest.
+ENOUGH = 100
 
 
 def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +183,9 @@ def classify(
     """``docs`` with perplexity, limit and rejected.
 
     Trusted are the documents with quality 1 in ``labels`` (doc_id, quality). Three quarters of them are counted, and each
-    language's limit is the ``quantile`` of the others, times 1 + ``slack``. Languages with fewer than 50 of those, and
-    null, share the limit of all. Perplexity is per byte; a short text's is drawn to its language's mean, as if it had
+    language's limit is the ``quantile`` of the others as it is, so that about 1 in 200 of them is above; only where there
+    are fewer than ENOUGH to tell it, it is raised by ``slack``. Languages with fewer than 50 of those, and null, share the
+    limit of all. Perplexity is per byte; a short text's is drawn to its language's mean, as if it had
     ``steady`` bytes more, as a few words tell little. A text that is null or empty has no perplexity and isn't rejected;
     without trusted texts none is. Rows that repeat are answered one by one; no rows give no rows. Columns of ``docs``
     that bear these three names are replaced.
@@ -199,7 +202,7 @@ def classify(
     every = 0.0 if every is None else every
     drawn = lambda n: (F.col("mean_log") * n + F.coalesce("mean", F.lit(every)) * steady) / (n + steady)
     ppl = held.join(mean, "lang", "left").select("lang", F.exp(-drawn(F.col("n"))).alias("ppl"), F.col("rows").isNotNull().alias("own"))
-    at = F.percentile_approx("ppl", F.lit(quantile), F.lit(10_000)) * (1 + slack)
+    at = F.percentile_approx("ppl", F.lit(quantile), F.lit(10_000)) * F.when(F.count("ppl") < ENOUGH, 1 + slack).otherwise(1.0)
     all_limit = ppl.agg(at).first()[0]
     limits = mean.select("lang", "mean").join(ppl.where("own").groupBy("lang").agg(at.alias("limit")), "lang")
     limits = materialize(limits.select(F.col("lang").alias("__lang"), "mean", "limit"), "limits")  # a row for each language

@@ -327,6 +327,25 @@ def test_quality(spark, monkeypatch):
     assert quality.classify(docs(spark, rows).where("false"), labels).count() == 0
 
 
+def test_quality_limit_has_no_margin(spark):
+    """The limit is the quantile of the rows kept aside, so that junk of repeated words just above it is rejected."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "ra", "ten", "sul"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [(i, " ".join(text(rng.randrange(30, 120)))) for i in range(700)]
+    junk = [(1000 + k, " ".join(text(120 - k) + ["Der"] * k)) for k in range(0, 121)]  # more and more of it one word
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs(spark, rows + junk), labels).withColumn("aside", quality.calibration(F.col("doc_id"))).collect()
+    held = sorted(r.perplexity for r in got if r.aside and r.doc_id < 1000)
+    limit = got[0].limit
+    assert len(held) >= quality.ENOUGH and any(limit == pytest.approx(x) for x in held)
+    above = {r.doc_id for r in got if r.perplexity > limit}
+    close = {r.doc_id for r in got if r.doc_id >= 1000 and limit < r.perplexity < 1.1 * limit}
+    assert {r.doc_id for r in got if r.rejected} == above and len(close) > 2 and {1000 + k for k in range(90, 121)} <= above
+
+
 def test_model_sums_to_one(spark):
     from docrows.llm.common import Texts
 
