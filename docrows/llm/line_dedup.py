@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WORD, materialize
 
 EDITS, MIN_CHARS = 2, 20
 #: Index rows of a segment from which on it is a group; rows (of about 50 bytes) that may be broadcast.
@@ -98,12 +98,13 @@ def near_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return firsts.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, short_exact: bool = False) -> DataFrame:
     """``docs`` with n_lines, removed (sorted array of line numbers from 0) and kept_text.
 
     A line is removed if it, or a line within ``edits`` edits of it, stands earlier: in a document with a smaller id, or
     further up. Lines are judged on the input, not on what is left; they end at newlines and are compared as they are.
-    Lines of fewer than ``min_chars`` code points are left alone. A null text stays null and has no lines, as has an empty
+    Lines of fewer than ``min_chars`` code points are left alone; with ``short_exact`` those that hold a word are removed if
+    the very same line stands earlier. A null text stays null and has no lines, as has an empty
     one. Rows without an id keep all lines and take none from others. Rows that repeat an id are the same document: a line
     that both have in the same place is not removed for that. Columns of ``docs`` with these three names are replaced.
     """
@@ -111,6 +112,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     firsts = materialize(near_lines(rows, edits, min_chars), "firsts")
     gone = lines(rows, min_chars).join(_few(firsts), ["h1", "h2"]).where("struct(first_doc, first_line) < struct(doc_id, line_no)")
+    if short_exact:  # edits would join unlike short lines, so only equal ones meet
+        short = lines(rows, 1).where((F.length("line") < min_chars) & F.col("line").rlike(WORD))
+        first = short.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times")).where("times > 1")
+        first = materialize(first.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")), "short-firsts")
+        gone = gone.unionByName(short.join(_few(first), ["h1", "h2"]).where("struct(first_doc, first_line) < struct(doc_id, line_no)"))
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     gone = materialize(gone.withColumnRenamed("doc_id", "__id"), "removed")
     out = docs.join(_few(gone), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
