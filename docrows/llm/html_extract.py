@@ -20,7 +20,7 @@ from .common import chunks
 #: Elements without a body, with raw text, never content, inline, and class or id words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style noscript template textarea title iframe noembed noframes nav header footer aside form button select svg canvas object audio video dialog menu".split())
+NEVER = frozenset("head script style noscript template textarea title iframe noembed noframes nav header footer aside button select svg canvas object audio video dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 NO_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 FURNITURE = frozenset(
@@ -35,7 +35,14 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
 
 def nodes(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
-    """Text nodes outside page furniture: path of block tags, the same as element numbers, number of the block, decoded text."""
+    """Text nodes outside page furniture: path of block tags, the same as element numbers, number of the block, decoded text.
+
+    A form, or an element whose class, id or role names furniture, is furniture only if under half of the page's text is in
+    it, or if an article or main has text beside it: otherwise it is a wrapper.
+    """
+    named: dict[int, int] = {}  # such elements, with their text's length
+    held: set[int] = set()  # those that stand in an article or main
+    inside: list[list[int]] = []
     out, stack, hidden, serial, block, at = [], [], 0, 0, 0, 0
     while at < len(page):
         m = _TOKEN.match(page, at) or re.compile("<").match(page, at)
@@ -45,6 +52,9 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
             text = m[0]
             if not text.startswith(("<!", "<?")) and not hidden:
                 out.append((tuple(x[0] for x in stack if x[0] not in INLINE), tuple(x[1] for x in stack if x[0] not in INLINE), block, html.unescape(text)))
+                inside.append([x[1] for x in stack if x[1] in named])
+                for i in inside[-1]:
+                    named[i] += len("".join(text.split()))
             continue
         if tag not in INLINE:
             block += 1
@@ -74,10 +84,19 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
         words = set(re.split(r"[^a-z]+", " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower())) if m[3] else ()
-        hides = tag in NEVER or tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(words)
+        hides = tag in NEVER
+        if tag == "form" or tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(words):
+            named[serial] = 0
+            if any(x[0] in ("article", "main") for x in stack):
+                held.add(serial)
         stack.append((tag, serial, hides))
         hidden += hides
-    return out
+    half, apart = sum(len("".join(x[3].split())) for x in out) / 2, set()
+    large = {i for i, n in named.items() if n >= half and i not in held}
+    for x, over in zip(out, inside):
+        if x[3].strip() and ("article" in x[0] or "main" in x[0]):
+            apart |= large.difference(over)
+    return [x for x, over in zip(out, inside) if all(named[i] >= half and i not in apart for i in over)]
 
 
 def main_text(page: str | None) -> str:

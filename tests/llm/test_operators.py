@@ -286,6 +286,13 @@ def test_html():
     assert html_extract.main_text("<div>" * 2000 + "deep text." + "</div>" * 2000) == "deep text."
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content with-sidebar"', 'div id="page" class="no-sidebar"', 'div class="wrapper header-fixed"', 'form id="f"'])
+def test_html_wrapper(wrapper):
+    """An element around the article is no furniture, whatever its class says; what is inside it can be."""
+    page = f'<body><div class="cookie">Cookies.</div><{wrapper}><p>A first text, of some length.</p><p>A second one, no shorter.</p><div class="sidebar">Side.</div></{wrapper.split()[0]}></body>'
+    assert html_extract.main_text(page) == "A first text, of some length. A second one, no shorter."
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<article><p>A text, here.</p></article>"), (2, None, None), (2, None, None), (None, "v", "")]
     got = sorted(map(str, ((r.page_id, r.text, r.n_chars) for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())))
