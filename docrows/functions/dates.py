@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -46,9 +47,19 @@ def guess_dates() -> Callable[[Column], Column]:
     return F.pandas_udf(guess, "array<string>").asNondeterministic()  # so that the optimizer leaves the call where it stands
 
 
+def shape(fmt: str) -> str:
+    """A pattern that each text of a format of days, months, years and literal text has; it spares attempts that must fail."""
+    out = ""
+    for quoted, letters, other in re.findall(r"'([^']*)'|([A-Za-z]+)|([^A-Za-z'])", fmt):
+        if letters and letters[0] not in "dMy":
+            return ""  # another field: no pattern, the format is tried
+        out += "\\S+" if letters.startswith("MMM") else "[+-]?[0-9]+" if letters else "".join(f"\\x{{{ord(c):x}}}" for c in quoted or other)
+    return f"(?i)^{out}$"
+
+
 def known_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Date by the first format that fits; null if none does."""
-    return let(english_months(c), lambda x: F.coalesce(*(F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats)))
+    return let(english_months(c), lambda x: F.coalesce(*(F.when(x.rlike(shape(f)), F.try_to_timestamp(x, F.lit(f)).cast("date")) for f in formats)))
 
 
 def to_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS, guess: bool = True) -> Column:

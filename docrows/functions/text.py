@@ -1,4 +1,4 @@
-"""Text functions. White space and word characters are Unicode's, as ``(?U)`` has them."""
+"""Text functions. White space is Unicode's, as ``(?U)\\s`` has it, given as a set so that trimming needs no pattern."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Typographic characters and what stands for them.
 PLAIN = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " "}
 ELLIPSIS = "\u2026"
+#: The characters that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -21,12 +23,12 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Each run of white space is one space."""
-    return F.regexp_replace(c, "(?U)\\s+", " ")
+    return F.regexp_replace(c, f"[{SPACES}]+", " ")
 
 
 def blank(c: Column) -> Column:
@@ -68,8 +70,8 @@ def normal_text(c: Column, nfc: bool = True) -> Column:
 
 def first_match(c: Column, pattern: str, groups: int = 1, flags: str = "imd") -> Column:
     """First group that isn't blank in the first match, stripped; null if there is none."""
-    found = [strip(F.regexp_extract(c, f"(?{flags}){pattern}", g)) for g in range(1, groups + 1)]
-    return F.coalesce(*(F.when(x != "", x) for x in found))
+    found = F.array(*(strip(F.regexp_extract(c, f"(?{flags}){pattern}", g)) for g in range(1, groups + 1)))
+    return F.get(F.filter(found, lambda x: x != ""), F.lit(0))  # each group is taken out once
 
 
 def all_matches(c: Column, pattern: str, group: int = 1, flags: str = "imd") -> Column:

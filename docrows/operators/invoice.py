@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import INVOICE_PATTERNS, ITEM_FIELDS, ITEM_LINE
+from ..functions.lexicon import INVOICE_PATTERNS, ITEM_FIELDS, ITEM_PATTERNS
 from ..functions.numbers import to_number
 from ..functions.tables import item_field, item_header_row
-from ..functions.text import all_matches, clean_text, first_match, let, strip
+from ..functions.text import clean_text, first_match, let, strip
 from .model import entry, json_cell, number_cell, text_cell
 
 ITEM = "struct<quantity:string,description:string,unit_price:string,line_total:string,unit:string>"
@@ -22,9 +22,18 @@ def header_fields(text: Column) -> dict[str, Column]:
 
 
 def items_from_text(text: Column) -> Column:
-    parts = [all_matches(text, ITEM_LINE, g, "md") for g in range(1, 5)]
-    rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("q", "d", "u", "t"))))
-    return F.transform(rows, lambda r: F.struct(r["q"].alias("quantity"), r["d"].alias("description"), r["u"].alias("unit_price"), r["t"].alias("line_total"), F.lit(None).cast("string").alias("unit")))
+    """Items of a text: the whole matches first, in one scan, then the parts of each."""
+    pattern = f"(?md){ITEM_PATTERNS['full_line']}"
+    parts = ("quantity", "description", "unit_price", "line_total")
+    item = lambda m: F.struct(*(strip(F.regexp_extract(m, pattern, g)).alias(n) for g, n in enumerate(parts, 1)), F.lit(None).cast("string").alias("unit"))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), item)
+
+
+def short_items(text: Column) -> Column:
+    """Lines of a text that end in an amount, as (description, line_total)."""
+    pattern = f"(?md)^{ITEM_PATTERNS['simple_line']}"
+    item = lambda m: F.struct(*(strip(F.regexp_extract(m, pattern, g)).alias(n) for g, n in enumerate(("description", "line_total"), 1)))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), item)
 
 
 def items_from_table(table: Column) -> Column:

@@ -67,12 +67,12 @@ class Pipeline:
             docs, names = docs.withColumn("doc_type", F.lit(self.parser)), [self.parser]
         out = None
         for name in names:
-            records = get_parser(name)(docs.where(F.col("doc_type") == name), self.config)
-            c = self.config
-            records = normalize(records, c.date_formats, c.date_output, True, c.normalize_unicode, c.lowercase_headers)
-            keep_all = replace(c.validation, rules=c.rules_of(name), on_error="skip" if c.validation.on_error == "skip" else "warn")
-            records = validate(records, keep_all)
+            records = get_parser(name)(docs.where(F.col("doc_type") == name), self.config).withColumn("doc_type", F.lit(name))
             out = records if out is None else out.unionByName(records)
+        c = self.config
+        out = normalize(out, c.date_formats, c.date_output, True, c.normalize_unicode, c.lowercase_headers)
+        keep_all = replace(c.validation, on_error="skip" if c.validation.on_error == "skip" else "warn")
+        out = validate(out, keep_all, {name: c.rules_of(name) for name in names})
         if self.config.validation.on_error == "fail" and self.config.validation.enabled:
             n = out.agg(F.sum(F.size("errors"))).first()[0] or 0
             if n > self.config.validation.max_errors:

@@ -47,6 +47,12 @@ def records(df: DataFrame, ord_: Column | str, *fields: Column) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table of fewer files than there are cores, dealt to all cores: much is made of each of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def us(c: Column) -> Column:
     return F.format_number(c, 2)
 
@@ -87,7 +93,7 @@ SELECT doc_id, trim(regexp_replace(replace(translate(nfc_normalize(text), chr(82
   '''''""-- '), chr(8230), '...'), '\s+', ' ', 'g')) AS text FROM documents
 """)
 def norm_text(t):
-    return t("documents").select("doc_id", text.normal_text(F.col("text")).alias("text"))
+    return spread(t("documents")).select("doc_id", text.normal_text(F.col("text")).alias("text"))
 
 
 @query(r"""
@@ -134,7 +140,7 @@ _TEXT = """'Clerk ' || o_orderstatus || ' Subtotal: $' || format('{:,.2f}', o_to
 def invoices(t, grid: Column | None = None) -> DataFrame:
     none = F.array().cast("array<array<array<string>>>")
     k = F.col("o_orderkey").cast("int")
-    return t("orders").select(
+    return spread(t("orders")).select(
         F.lit("p").alias("path"), F.concat(F.lit("f"), k.cast("string")).alias("file_name"), k.alias("file_ord"), invoice_text().alias("text"),
         (none if grid is None else grid).alias("tables"), F.lit("text").alias("extraction_method"), "o_orderkey",
     )
