@@ -20,10 +20,11 @@ def looks_like_date(value: Column, field: Column) -> Column:
 
 
 def english_months(c: Column) -> Column:
-    c = F.lower(c)
+    """Lower-cased, with Spanish months' names in English; a text without a word of letters has none."""
+    named = low = F.lower(c)
     for name, month in SPANISH_MONTHS.items():
-        c = F.replace(c, F.lit(name), F.lit(month))
-    return c
+        named = F.replace(named, F.lit(name), F.lit(month))
+    return F.when(c.rlike("[A-Za-z]{4}"), named).otherwise(low)
 
 
 def guess_date(x: str) -> str | None:

@@ -23,9 +23,10 @@ def _without(c: Column, mark: str, by: str = "") -> Column:
 
 
 def without_currency(c: Column) -> Column:
+    bare = c
     for mark in CURRENCIES:
-        c = _without(c, mark)
-    return strip(c)
+        bare = _without(bare, mark)
+    return strip(F.when(c.rlike("\\$|[A-Z]{3}"), bare).otherwise(c))  # all marks have one of these
 
 
 def to_number(c: Column) -> Column:

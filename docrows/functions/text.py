@@ -80,8 +80,8 @@ def all_matches(c: Column, pattern: str, group: int = 1, flags: str = "imd") ->
 
 def count_terms(c: Column, terms: tuple[str, ...]) -> Column:
     """How many of the terms a lower-cased text contains."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return reduce(lambda a, b: a + b, (F.contains(low, F.lit(t)).cast("int") for t in terms))
+    total = lambda low: reduce(lambda a, b: a + b, (F.contains(low, F.lit(t)).cast("int") for t in terms))
+    return let(F.lower(F.coalesce(c, F.lit(""))), total)
 
 
 def has_term(c: Column, terms: tuple[str, ...]) -> Column:

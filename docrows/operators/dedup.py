@@ -10,7 +10,7 @@ from .model import cell, public
 
 def record_key(columns: tuple[str, ...] = ()) -> Column:
     """What makes records equal: the key fields (a missing one is null), or all public entries in the order of their names."""
-    return F.struct(*(cell("entries", c).alias(f"k{i}") for i, c in enumerate(columns))) if columns else F.array_sort(public("entries"))
+    return F.struct(*(cell("entries", c).alias(f"k{i}") for i, c in enumerate(columns))) if columns else F.sort_array(public("entries"))
 
 
 def deduplicate(records: DataFrame, columns: tuple[str, ...] = (), keep: str = "first") -> DataFrame:

@@ -60,7 +60,7 @@ def normalize(records: DataFrame, formats: tuple[str, ...] = DATE_FORMATS, out:
     """
     if guess or nfc:
         other = lambda c: F.when(F.lit(nfc) & c.rlike("[^\\x00-\\x7f]"), c)
-        free = lambda v, k: F.when(~v.rlike(PLAIN_DATE) & (v != "") & looks_like_date(v, normal_header(k, lower)), english_months(v))
+        free = lambda v, k: F.when((v != "") & looks_like_date(v, normal_header(k, lower)) & ~v.rlike(PLAIN_DATE), english_months(v))
         date = lambda e: F.when(F.lit(guess) & (e["v"]["t"] == "s"), free(strip(e["v"]["s"]), e["k"]))
         asked = [F.transform("entries", f) for f in (lambda e: other(e["v"]["s"]), lambda e: other(e["k"]), date)]
         asked = [F.when(F.exists(a, lambda x: x.isNotNull()), a) for a in asked]
