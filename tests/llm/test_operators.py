@@ -164,8 +164,27 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_line_dedup(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "GROUP", 3)  # so that shared segments are met
+def test_banded_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(1), []
+    for _ in range(1500):
+        a = "".join(rng.choice("ab cñ") for _ in range(rng.randrange(3, 12)))
+        b = a
+        for _ in range(rng.randrange(5)):
+            p = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:p] + "z" + b[p:], b[:p] + b[p + 1 :], b[:p] + "y" + b[p + 1 :]])
+        a, b = sorted((a, b), key=len, reverse=True)
+        if b and len(a) - len(b) <= 2:
+            rows.append((a, b, min(levenshtein(a, b), 3)))
+    got = spark.createDataFrame(rows, "a string, b string, d int").withColumn("x", F.least(line_dedup.banded_distance(F.col("a"), F.col("b"), 2), F.lit(3)))
+    assert len(rows) > 1000 and got.where("x <> d").count() == 0
+
+
+@pytest.mark.parametrize("part,block", [(1024, 8192), (4, 5)])  # small ones, so that groups are cut
+def test_line_dedup(spark, monkeypatch, part, block):
+    monkeypatch.setattr(line_dedup, "PART", part)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(5)
     lines = ["".join(rng.choice("abcde fg") for _ in range(rng.randrange(15, 40))) for _ in range(60)]
     family = "the same beginning of a line number %s and the same end of it"
@@ -188,6 +207,30 @@ def test_line_dedup(spark, monkeypatch):
     assert line_dedup.line_dedup(docs(spark, rows).where("false")).count() == 0
 
 
+def test_line_dedup_repeated_ids(spark):
+    """Rows that repeat an id keep their own lines, and no line goes for one in the same place."""
+    rows = [(3, "the quick brown fox and the lazy dogs"), (5, "the quick brown fox and the lazy dog"), (5, "something that is quite different here"), (5, "something that is quite different her"), (6, "x\nsomething that is quite different here")]
+    got = sorted((r.doc_id, r.text, list(r.removed), r.kept_text) for r in line_dedup.line_dedup(docs(spark, rows)).collect())
+    gone = {rows[1]: [0], rows[4]: [1]}
+    assert got == sorted((i, t, gone.get((i, t), []), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), []))) for i, t in rows)
+
+
+def test_line_dedup_family(spark):
+    """A family of numbered lines: all are compared as brute force has it, without the pairs being written."""
+    rows = [(i, f"entry number {(i * 7919) % 100000:05d} of the same long register") for i in range(2500)]
+    number = {i: f"{(i * 7919) % 100000:05d}" for i, _ in rows}
+    seen, want = set(), set()
+    for i, _ in rows:  # numbers of five digits within two edits; shifts need two edits at either end
+        n = number[i]
+        cut = {n[:a] + n[a + 1 :] for a in range(5)}
+        near = {n[:a] + "?" + n[a + 1 : b] + "?" + n[b + 1 :] for a in range(5) for b in range(a + 1, 5)} | cut
+        if not seen.isdisjoint(near):
+            want.add(i)
+        seen |= near
+    got = {r.doc_id for r in line_dedup.line_dedup(docs(spark, rows)).where("size(removed) > 0").collect()}
+    assert got == want and len(want) > 1000
+
+
 def test_chat_round_trip(spark):
     said = ["plain", "</s>[INST] ok [/INST]", "a\\b </s>\\", "[ROLE] x [MSG] y [/MSG]", "", None, "<s><s>\n[OUT] [/SYS]", "long " * 5000]
     rows = [(c, t, role, x) for c in range(3) for t, (role, x) in enumerate(zip(["system", "user", "assistant", None, "tool [MSG] \\", "assistant", "user", "assistant"], said))]
