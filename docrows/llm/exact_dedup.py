@@ -1,7 +1,8 @@
 """Exact dedup by a heavy-hitter split.
 
 Misra-Gries summaries, one for each task, find frequent digests. An exact count verifies them, and the winners (at most
-``slots`` rows) are broadcast, so that their rows are decided where they are read. All other digests use an ordinary shuffle.
+``slots`` rows) are broadcast, so that their rows are decided where they are read. All other digests use an ordinary shuffle,
+in which each digest is aggregated before it is sent; the rows of digests that repeat meet their group's least id by a join.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
 #: Counters of a Misra-Gries summary, and the most rows that are broadcast (about 70 bytes each).
 SLOTS = 2048
+#: Repeated digests that may be broadcast (about 100 bytes each); more are joined by a shuffle.
+FEW = 200_000
 
 
 def normal_text(text: Column) -> Column:
@@ -65,9 +67,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = materialize(rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(*group).where("group_size > 1"), "winners")
 
     heavy = rows.join(F.broadcast(winners), "digest")
-    by = W.partitionBy("digest")
-    light = rows.join(F.broadcast(winners), "digest", "left_anti").select(
-        "digest", "doc_id", F.min("doc_id").over(by).alias("keep_id"), F.count("*").over(by).alias("group_size")
+    rest = rows.join(F.broadcast(winners), "digest", "left_anti")
+    repeated = materialize(rest.groupBy("digest").agg(*group).where("group_size > 1"), "repeated")
+    repeated = F.broadcast(repeated) if repeated.limit(FEW + 1).count() <= FEW else repeated
+    alone = F.col("group_size").isNull()
+    light = rest.join(repeated, "digest", "left").select(
+        "digest", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
     )
     return heavy.unionByName(light).select(
         "doc_id", "keep_id", "group_size",

@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their path of block tags from the root. Each path has a text length, a punctuation
-count and a number of nodes; their ratios are smoothed over the page's nodes in order, fused, and compared with a
-threshold. The content is the element under which most of the chosen paths' text lies.
+A page's text nodes are grouped by their path of block tags, with their names, from the root. Each path has a text length,
+a punctuation count, a share of links and a number of nodes; their ratios are smoothed over the page's nodes in order,
+fused with where the path stands and what it is called, and compared with a threshold. The nodes of the paths beyond it
+are the content. A page is read in time linear in its length, however badly it is nested.
 """
 
 from __future__ import annotations
@@ -29,123 +30,239 @@ FURNITURE = frozenset(
     "social related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager copyright skip".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_EDGE = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_WORD = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
+#: What a path keeps of its score under a furniture name, and the share of chosen text that the content's element holds.
+NAMED_WEIGHT, HELD = 0.001, 0.9
+#: Shares of the mean ratio: from which on a path tells where the content is, and from which on it is content.
+CORE, LEAST = 0.5, 0.25
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr pre blockquote".split())
 
-def nodes(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
-    """Text nodes outside page furniture: path of block tags, the same as element numbers, number of the block, decoded text.
 
-    A form, or an element whose class, id or role names furniture, is furniture only if under half of the page's text is in
-    it, or if an article or main has text beside it: otherwise it is a wrapper.
+class _Ends:
+    """Where tags end. Quotes may hold ``>``, until a page turns out to leave a quote open; then they count no more."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.heeded = True
+
+    def of(self, at: int) -> int:
+        """Index behind the tag that begins before ``at``; -1 if none ends there. What is passed over is not read again."""
+        if at > self.last:
+            return -1
+        k = at
+        while self.heeded:
+            m = _EDGE.search(self.page, k)
+            if not m:
+                self.heeded = False
+            elif m[0] == ">":
+                return m.end()
+            elif m.end() <= self.quotes[m[0]]:
+                k = self.page.index(m[0], m.end()) + 1
+            else:
+                k = m.end()
+        return self.page.index(">", at) + 1
+
+
+class Tree:
+    """A page's elements and text nodes, read once from front to back.
+
+    For each element: parent, tag, path (numbers of equal chains of block tags with their names), whether its name is that
+    of furniture, whether it is inside an article or main. A text node: element, number of the block, text, whether it is
+    a link's.
     """
-    named: dict[int, int] = {}  # such elements, with their text's length
-    held: set[int] = set()  # those that stand in an article or main
-    inside: list[list[int]] = []
-    out, stack, hidden, serial, block, at = [], [], 0, 0, 0, 0
-    while at < len(page):
-        m = _TOKEN.match(page, at) or re.compile("<").match(page, at)
-        at = m.end()
-        tag = m.lastindex and m[2] and m[2].lower()
-        if not tag:
-            text = m[0]
-            if not text.startswith(("<!", "<?")) and not hidden:
-                out.append((tuple(x[0] for x in stack if x[0] not in INLINE), tuple(x[1] for x in stack if x[0] not in INLINE), block, html.unescape(text)))
-                inside.append([x[1] for x in stack if x[1] in named])
-                for i in inside[-1]:
-                    named[i] += len("".join(text.split()))
-            continue
-        if tag not in INLINE:
-            block += 1
-        if m[1]:
-            names = [x[0] for x in stack]
-            if tag in names:
-                while True:
-                    name, _, hides = stack.pop()
-                    hidden -= hides
-                    if name == tag:
-                        break
-            continue
-        if tag in VOID:
-            continue
-        if tag in NO_P:  # an open paragraph ends here, with the inline elements in it
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-            if k is not None and stack[k][0] == "p":
-                hidden -= sum(x[2] for x in stack[k:])
-                del stack[k:]
-        if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE and stack[i][0] != "p"), None)
-            if k is not None and stack[k][0] == tag:
-                hidden -= sum(x[2] for x in stack[k:])
-                del stack[k:]
-        serial += 1
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = end.start() if end else len(page)
-        words = set(re.split(r"[^a-z]+", " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower())) if m[3] else ()
-        hides = tag in NEVER
-        if tag == "form" or tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(words):
-            named[serial] = 0
-            if any(x[0] in ("article", "main") for x in stack):
-                held.add(serial)
-        stack.append((tag, serial, hides))
-        hidden += hides
-    half, apart = sum(len("".join(x[3].split())) for x in out) / 2, set()
-    large = {i for i, n in named.items() if n >= half and i not in held}
-    for x, over in zip(out, inside):
-        if x[3].strip() and ("article" in x[0] or "main" in x[0]):
-            apart |= large.difference(over)
-    return [x for x, over in zip(out, inside) if all(named[i] >= half and i not in apart for i in over)]
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.path, self.named, self.article = [-1], [""], [0], [False], [False]
+        self.block_of = [0]  # the nearest element that isn't inline
+        self.texts: list[tuple[int, int, str, bool]] = []
+        paths: dict[tuple, int] = {}
+        open_, blocks, counts = [0], [0], {}  # open elements, those that aren't inline, and how often each tag is open
+        hidden = links = block = at = 0
+        ends = _Ends(page)
+
+        def close() -> None:
+            nonlocal hidden, links
+            e = open_.pop()
+            tag = self.tag[e]
+            counts[tag] -= 1
+            hidden -= tag in NEVER
+            links -= tag == "a"
+            if blocks[-1] == e:
+                blocks.pop()
+
+        def close_to(e: int) -> None:
+            while open_[-1] >= e:  # elements are numbered as they open
+                close()
+
+        def text(a: int, b: int) -> None:
+            if not hidden and a < b:
+                self.texts.append((open_[-1], block, html.unescape(page[a:b]), links > 0))
+
+        while at < len(page):
+            lt = page.find("<", at)
+            if lt < 0:
+                text(at, len(page))
+                break
+            text(at, lt)
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            if page.startswith(("<!", "<?"), lt):
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else len(page)
+                continue
+            m = _TAG.match(page, lt)
+            end = ends.of(m.end()) if m else -1
+            if end < 0:
+                text(lt, lt + 1)  # a lone mark
+                at = lt + 1
+                continue
+            at, tag = end, m[2].lower()
+            if tag not in INLINE:
+                block += 1
+            if m[1]:
+                if counts.get(tag, 0):
+                    while self.tag[open_[-1]] != tag:
+                        close()
+                    close()
+                continue
+            if tag in VOID:
+                continue
+            if tag in NO_P and self.tag[blocks[-1]] == "p":  # an open paragraph ends here, with the inline elements in it
+                close_to(blocks[-1])
+            if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+                k = -2 if self.tag[blocks[-1]] == "p" else -1
+                if self.tag[blocks[k]] == tag:
+                    close_to(blocks[k])
+            attributes = page[m.end() : end - 1]
+            named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower() if "=" in attributes else ""
+            e, over = len(self.parent), blocks[-1]
+            self.parent.append(open_[-1])
+            self.tag.append(tag)
+            inline = tag in INLINE
+            self.path.append(self.path[over] if inline else paths.setdefault((self.path[over], tag, named), len(paths) + 1))
+            self.named.append(tag == "form" or tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(_WORD.split(named)))
+            self.article.append(self.article[open_[-1]] or tag in ("article", "main"))
+            self.block_of.append(self.block_of[open_[-1]] if inline else e)
+            open_.append(e)
+            counts[tag] = counts.get(tag, 0) + 1
+            hidden += tag in NEVER
+            links += tag == "a"
+            if not inline:
+                blocks.append(e)
+            if tag in RAW:
+                m = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                at = m.start() if m else len(page)
+
+    def sums(self, weights: dict[int, float]) -> np.ndarray:
+        """For each element, what all that is in it weighs."""
+        total = np.zeros(len(self.parent))
+        for e, w in weights.items():
+            total[e] += w
+        for e in range(len(self.parent) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+
+def _furniture(tree: Tree, sizes: dict[int, float]) -> np.ndarray:
+    """Elements with a furniture name, and all in them; not those that are a wrapper of the page's text.
+
+    A wrapper holds half of the page's text or more, does not stand in an article or main, and has no article beside it.
+    """
+    size = tree.sums(sizes)
+    articles = tree.sums({e: n for e, n in sizes.items() if tree.article[e]})
+    hit = np.array(tree.named)
+    for e in np.flatnonzero(hit):
+        hit[e] = tree.article[tree.parent[e]] or size[e] < size[0] / 2 or articles[e] < articles[0]
+    for e in range(1, len(hit)):
+        hit[e] |= hit[tree.parent[e]]
+    return hit
+
+
+def blocks_of(tree: Tree) -> list[list]:
+    """Runs of text nodes in one block of one element: element, path, text, characters in links."""
+    out: list[list] = []
+    before = None
+    for e, block, text, linked in tree.texts:
+        at = (tree.block_of[e], block)
+        if at != before:
+            out.append([at[0], tree.path[e], [], 0])
+            before = at
+        out[-1][2].append(text)
+        out[-1][3] += linked * len("".join(text.split()))
+    for b in out:
+        b[2] = " ".join("".join(b[2]).split())
+    return [b for b in out if b[2]]
+
+
+def scores(tree: Tree, blocks: list[list]) -> tuple[np.ndarray, float]:
+    """A score for each block and the threshold. It is the score of its path, so that a path's blocks stand or fall together
+    but for where they stand.
+
+    A path's own ratio: text for each node, times one more than its punctuation, times its share outside links. The
+    threshold is LEAST times the mean of the ratios, weighted by text. Paths beyond CORE times the mean say where the content is: the deepest
+    element with nearly all their text, or an article. There the ratio, smoothed over the blocks in order, counts as the
+    mean at least, and in an article links count as text. A furniture name leaves a path little of its score.
+    """
+    names, of = np.unique([b[1] for b in blocks], return_inverse=True)
+    size = np.array([len(b[2]) for b in blocks], float)
+    sums = lambda x: np.bincount(of, weights=x, minlength=len(names))
+    text, count = sums(size), np.bincount(of, minlength=len(names))
+    solid = [len("".join(b[2].split())) for b in blocks]
+    free = (1 - sums([b[3] for b in blocks]) / sums(solid))[of]
+    own = ((text / count) * (1 + sums([len(_PUNCTUATION.findall(b[2])) for b in blocks]) / count))[of]
+    label = np.where(_furniture(tree, _by_element(blocks, size))[[b[0] for b in blocks]], NAMED_WEIGHT, 1.0)
+    ratio = own * free * label
+    mean = float((ratio * size).sum() / size.sum())
+    core = ratio >= mean * CORE
+    held = tree.sums(_by_element(blocks, size * core))
+    article = np.array([tree.article[b[0]] for b in blocks])
+    kernel = np.array([1.0, 2.0, 1.0])
+    smooth = (np.convolve(own, kernel) / np.convolve(np.ones(len(own)), kernel))[1:-1]
+    smooth = (sums(smooth) / count)[of]
+    if (size * core * article).sum() >= (size * core).sum() / 2:
+        inside, free = article, np.where(article, 1.0, free)
+    else:
+        root = max((e for e in range(len(held)) if held[e] >= HELD * held[0] and tree.tag[e] not in _LEAVES), default=0)
+        under = np.zeros(len(held), bool)
+        under[root] = True
+        for e in range(root + 1, len(held)):
+            under[e] = under[tree.parent[e]]
+        inside = under[[b[0] for b in blocks]]
+    return np.where(inside, np.maximum(smooth, mean) * free * label, ratio), mean * LEAST
+
+
+def _by_element(blocks: list[list], size: np.ndarray) -> dict[int, float]:
+    out: dict[int, float] = {}
+    for b, n in zip(blocks, size.tolist()):
+        out[b[0]] = out.get(b[0], 0.0) + n
+    return out
 
 
 def main_text(page: str | None) -> str:
-    """White space in a block is one space; blocks are joined in page order by one space."""
-    found = nodes(page or "")
-    blocks: list[list] = []
-    for path, ids, block, text in found:
-        if blocks and blocks[-1][2] == block and blocks[-1][1] == ids:
-            blocks[-1][3] += text
-        else:
-            blocks.append([path, ids, block, text])
-    blocks = [[p, i, b, " ".join(t.split())] for p, i, b, t in blocks]
-    blocks = [b for b in blocks if b[3]]
+    """White space in a block is one space; chosen blocks are joined in page order by one space."""
+    tree = Tree(page or "")
+    blocks = blocks_of(tree)
     if not blocks:
         return ""
-    total: dict[tuple, np.ndarray] = {}
-    for path, _, _, text in blocks:
-        total[path] = total.get(path, 0) + np.array([len(text), len(_PUNCTUATION.findall(text)), 1.0])
-    ratio = np.array([[total[p][0] / total[p][2], total[p][1] / total[p][2]] for p, *_ in blocks])
-    kernel = np.array([1.0, 2.0, 1.0])  # smoothing over the nodes in order
-    seen = np.convolve(np.ones(len(blocks)), kernel, "same")
-    smooth = np.stack([np.convolve(r, kernel, "same") / seen for r in ratio.T])
-    score = smooth[0] * (1 + smooth[1])  # long text and punctuation together
-    chosen = {b[0] for b, s in zip(blocks, score) if s >= min(score.std() + 1e-9, score.max())}
-    weight: dict[int, float] = {}
-    parents: dict[int, int] = {}
-    everything = 0.0
-    for path, ids, _, text in blocks:
-        if path in chosen:
-            everything += len(text)
-            for d, i in enumerate(ids):
-                weight[i] = weight.get(i, 0.0) + len(text)
-                parents[i] = d
-    if not weight:
-        return " ".join(b[3] for b in blocks)
-    # the deepest element, other than a paragraph itself, that holds nearly all chosen text
-    most = [i for i, w in weight.items() if w >= 0.9 * everything]
-    named = {i: p[d] for p, ids, *_ in blocks for d, i in enumerate(ids)}
-    most = [i for i in most if named[i] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "pre", "blockquote")]
-    articles = [i for i, n in named.items() if n in ("article", "main") and weight.get(i, 0) >= 0.5 * everything]
-    root = max(articles or most, key=lambda i: (weight[i], parents[i]) if articles else parents[i], default=None)
-    return " ".join(b[3] for b in blocks if root is None or root in b[1])
+    score, least = scores(tree, blocks)
+    return " ".join(b[2] for b, s in zip(blocks, score) if s >= least)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of ``pages``; null or empty html has empty text.
 
-    A page is read whole, however long and however badly nested. Nothing but page furniture is left out. Rows that repeat
-    are answered one by one. No rows give no rows.
+    A page is read whole, however long and however badly nested. Left out are elements that never hold content, such as
+    scripts, forms' parts, menus, headers and footers, and the nodes of paths whose score is under the threshold: lists of
+    links beside the content, elements with a furniture name that aren't wrappers, and short texts outside the content's
+    element. Rows that repeat are answered one by one; other columns are not read. No rows give no rows.
     """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
 

@@ -7,6 +7,7 @@ prototype has the largest cosine with the text is predicted.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fixed64
+from .common import chunks, fixed64, materialize
 
 DIMENSIONS = 1024
-#: Profiles are broadcast; this many languages take 8 MB for 1,024 dimensions.
-MOST_LANGUAGES = 1000
+#: Languages whose profiles go to the tasks at once (8 MB for 1,024 dimensions); more take a pass over the texts for each block.
+LANGUAGES = 1000
 _LAST = 0x110000
 
 
@@ -82,57 +83,65 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part.slice(a, 128)
 
 
-def learn_profiles(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Sum the vectors of the rows where ``learn`` holds and the language isn't null. All such rows count, each text's whole length.
+def learn_profiles(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", dims: int = DIMENSIONS) -> DataFrame:
+    """lang and v: the summed vectors of the rows where ``learn`` holds and the language isn't null, each text's whole length.
 
-    Sums are whole numbers, so that their order doesn't matter. A task sends a row for each language; the driver gets one
-    vector for each language, of which there may be at most MOST_LANGUAGES.
+    Sums are whole numbers, so that their order doesn't matter. A task holds LANGUAGES sums at most before it sends them on.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([list(v) for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
         for batch in batches:
             for part in _blocks(batch):
                 vectors, _ = bundle(part.column("text").to_pylist(), dims)
                 langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs):
                     total[lang] = total.get(lang, 0) + vectors[langs == lang].astype(np.float64).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([list(v) for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
+                if len(total) > LANGUAGES:
+                    yield out()
+                    total.clear()
+        yield out()
 
     rows = docs.where(learn).where(docs[lang_col].isNotNull()).select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     sums = (
         rows.mapInArrow(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x"))
         .groupBy("lang", "d").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
-        .select("lang", F.transform("v", lambda s: s["x"]).alias("v")).limit(MOST_LANGUAGES + 1).collect()
+        .select("lang", F.transform("v", lambda s: s["x"]).alias("v"))
     )
-    if len(sums) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {r["lang"]: np.array(r["v"]) for r in sorted(sums, key=lambda r: r["lang"])}
+    return materialize(sums, "profiles")
 
 
-def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (cosine, 0 at least) for each row of ``docs``.
+def identify_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score (cosine, 0 at least) for each row of ``docs``; ``profiles`` as learned.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Of equal cosines the
-    first language by code point wins. Whole texts count. No rows give no rows.
+    first language by code point wins. Whole texts count; rows that repeat are answered one by one. No rows give no rows.
+    Each block of LANGUAGES profiles takes a pass, which replaces a row's language where it has a larger cosine.
     """
-    names = list(profiles)
-    dims = len(profiles[names[0]]) if names else 64
-    m = np.array([profiles[n] / max(np.linalg.norm(profiles[n]), 1e-12) for n in names], np.float32).reshape(-1, dims)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _blocks(batch):
-                vectors, has = bundle(part.column("text").to_pylist(), dims)
-                has &= bool(names)
-                cos = (vectors @ m.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) if names else np.zeros((len(has), 1))
-                best = cos.argmax(axis=1)
-                lang = [names[b] if h else "und" for b, h in zip(best, has)]
-                score = np.where(has, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
-
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    low = -2.0  # below any cosine
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit("und").alias("lang_pred"), F.lit(low).alias("score"))
+    learned = profiles.orderBy("lang").toLocalIterator()
+    while block := list(itertools.islice(learned, LANGUAGES)):
+        names = np.array([r["lang"] for r in block], object)
+        vectors = np.array([r["v"] for r in block])
+        m = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+        def predict(batches: Iterator[pa.RecordBatch], names=names, m=m) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _blocks(batch):
+                    vectors, has = bundle(part.column("text").to_pylist(), m.shape[1])
+                    cos = (vectors @ m.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                    best = cos.argmax(axis=1)
+                    value, old = cos[np.arange(len(best)), best].astype(np.float64), part.column("score").to_numpy()
+                    better = has & (value > old)
+                    lang = np.where(better, names[best], np.array(part.column("lang_pred").to_pylist(), object))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(lang, pa.string()), pa.array(np.where(better, value, old))], ["doc_id", "text", "lang_pred", "score"])
+
+        out = out.mapInArrow(predict, f"doc_id {kind}, text string, lang_pred string, score double")
+    score = F.when(F.col("score") > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).otherwise(0.0)
+    return out.select("doc_id", "lang_pred", score.alias("score"))
 
 
 def held_out(id_col: Column) -> Column:

@@ -10,7 +10,7 @@ with probability 0.41 in a tree, and so with 0.995 in ten trees; most nodes are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ _MULTIPLIERS = fixed64(VALUES, 3) | np.uint64(1)
 _NODE = "tree int, depth int, node long, doc_id long, n long, label long, sketch binary"
 #: Candidates for each row of a node from which on the node is a crowd; values of a set from which on it is thinned.
 CROWD, THIN = 4, 1024
+#: Rows of a crowd that meet in a task: those of a block, and those of other labels than most that are compared with them.
+BLOCK, PART = 2048, 512
 
 
 def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,18 +132,22 @@ def least_matches(similarity: float, sds: float = 3.8) -> int:
 def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs among rows that share a node and not a label; rows of crowds, and the node of each.
 
-    ``forest``: of each node's candidates, only those that join two of its groups, the most alike ones first. Otherwise
-    nodes with too many candidates are crowds: the rows that are in one of them are named instead.
+    ``forest``: of each node's candidates, only those that join two of its groups, the most alike ones first; of rows that
+    are alike in all tokens, those with the first of its kind. Otherwise nodes with too many candidates are crowds, and so
+    are nodes that no token splits: the rows that are in one of them are named instead.
     """
     weak, found = least_matches(similarity), []
 
-    def look(a: np.ndarray, b: np.ndarray) -> None:
+    def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Note the candidates among pairs, and return their second rows."""
+        new = len(found)
         ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
         a, b = a[ok], b[ok]
         for s in range(0, len(a), 1 << 16):
             x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
             same = (sketch[x] == sketch[y]).sum(axis=1)
             found.append(np.stack([x, y, same])[:, same >= weak])
+        return np.concatenate([f[1] for f in found[new:]]) if len(found) > new else b[:0]
 
     key, depth, most = node.copy(), depth.copy(), SMALL if forest else 2 * SMALL
     while True:  # branch by the next token wherever a node has too many pairs to compare
@@ -172,22 +178,21 @@ def compare(node: np.ndarray, tree: np.ndarray, depth: np.ndarray, n: np.ndarray
             rest = np.r_[rows[:k][label[rows[:k]] == names[counts.argmax()]], rows[k + 1 :]]
             look(np.full(len(rest), rows[k]), rest)
     groups = _Forest(len(order))
-    for b, m in zip(begin[wide], many[wide]):  # alike in all tokens: each with the first of its kind
-        rows, left = order[b : b + m], np.arange(1, m)
-        head = 0
+    alike = [order[b : b + m] for b, m in zip(begin[wide], many[wide])]  # alike in all tokens
+    for rows in alike if forest else ():
+        left, head = np.arange(1, len(rows)), 0
         while len(left):
-            look(np.full(len(left), rows[head]), rows[left])
-            x = found[-1][1] if found else left[:0]
-            near = np.isin(rows[left], x) | (label[rows[left]] == label[rows[head]])
+            near = np.isin(rows[left], look(np.full(len(left), rows[head]), rows[left])) | (label[rows[left]] == label[rows[head]])
             rest = left[~near]
             head, left = (rest[0], rest[1:]) if len(rest) else (0, rest)
+    stuck = np.concatenate([np.zeros(0, np.int64), *(() if forest else alike)])
     if not found:
-        return (np.zeros(0, np.int64),) * 3 + (key[:0],)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), stuck, key[stuck]
     x, y, same = np.concatenate(found, axis=1)
     if not forest:
         at = np.searchsorted(key[order][begin], key[x])
         crowd = (np.bincount(at, minlength=len(begin)) > CROWD * many)[at]
-        rows = np.unique(np.r_[x[crowd], y[crowd]])
+        rows = np.unique(np.r_[x[crowd], y[crowd], stuck])
         return x[~crowd], y[~crowd], rows, key[rows]
     out = []
     for level in np.unique(same)[::-1]:
@@ -257,7 +262,7 @@ def _thinned(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 
 def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by crowd; rows of different labels are compared on their sets.
+    """Rows come by part and block of a crowd; those that ask are compared with the block's rows of other labels, on their sets.
 
     Where these are whole, the best partner of a row in each other label is enough to join the two. Thinned sets are
     within 3.8 standard deviations of what the whole ones have in common, and all that may be similar go on.
@@ -272,12 +277,9 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         end = np.cumsum(n)
         kinds, item = np.unique(np.concatenate(sets), return_inverse=True)
         label, ids = np.array([r["label"] for r in rows]), np.array([r["doc_id"] for r in rows])
-        names, counts = np.unique(label, return_counts=True)
-        others = np.flatnonzero(label != names[counts.argmax()])
-        pending = np.ones(len(rows), bool)
+        asks, most = np.array([r["asks"] for r in rows]), np.array([r["most"] for r in rows])
         mine, out = np.zeros(len(kinds), bool), [np.zeros((2, 0), np.int64)]
-        for k in others:
-            pending[k] = False  # its pairs with earlier ones have been compared
+        for k in np.flatnonzero(asks):
             own = item[end[k] - n[k] : end[k]]
             mine[own] = True
             seen = np.r_[0, np.cumsum(mine[item])]
@@ -285,7 +287,7 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
             mine[own] = False
             union = np.maximum(n + n[k] - both, 1)
             least = similarity - 1e-9 if not level else similarity - 3.8 * np.sqrt(similarity * (1 - similarity) / union)
-            near = np.flatnonzero(pending & (label != label[k]) & ((both / union >= least) & (both > 0) | (level > 0) & (n + n[k] < THIN // 4)))
+            near = np.flatnonzero(~asks & (most | (ids > ids[k])) & (label != label[k]) & ((both / union >= least) & (both > 0) | (level > 0) & (n + n[k] < THIN // 4)))
             if not level:
                 near = near[np.lexsort((-both[near] / union[near], label[near]))]
                 near = near[np.r_[True, label[near][1:] != label[near][:-1]]] if len(near) else near
@@ -296,7 +298,7 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[0]["crowd"] != row["crowd"]:
+            if held and any(held[0][c] != row[c] for c in ("crowd", "part", "block")):
                 yield flush(held)
                 held = []
             held.append(row)
@@ -305,11 +307,25 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
 
 
 def crowd_pairs(rows: DataFrame, lead: DataFrame, crowds: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs a < b between labels in crowds, compared on sets: a row for each member of a crowd, none for each candidate."""
+    """Pairs a < b between labels in crowds, compared on sets; no row is written for a candidate.
+
+    A crowd's rows of other labels than most (``most``) ask; all rows answer. Both are cut into parts and blocks of bounded
+    size, so that no task holds a whole crowd.
+    """
     sets = rows.join(_few(materialize(crowds.select("doc_id").distinct(), "crowd-ids")), "doc_id", "left_semi")
     sets = materialize(sets.mapInArrow(partial(_thinned, k=shingle), "doc_id long, level int, codes binary"), "crowd-sets")
-    members = crowds.distinct().join(lead.select("doc_id", "label").distinct(), "doc_id").join(sets, "doc_id")
-    found = members.repartition("crowd").sortWithinPartitions("crowd").mapInArrow(partial(_meet, similarity=similarity), "a long, b long")
+    members = materialize(crowds.distinct().join(lead.select("doc_id", "label").distinct(), "doc_id"), "crowd-members")
+    kinds = members.groupBy("crowd", "label").agg(F.count("*").alias("rows"))
+    size = kinds.groupBy("crowd").agg(F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("rows")).where("rows > top.rows")
+    cuts = lambda c, n: F.ceil(c / F.lit(n)).cast("int")
+    size = size.select("crowd", F.col("top.label").alias("main"), cuts(F.col("rows"), BLOCK).alias("blocks"), cuts(F.col("rows") - F.col("top.rows"), PART).alias("parts"))
+    members = members.join(_few(materialize(size, "crowd-sizes")), "crowd").withColumn("most", F.col("label") == F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    deal = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = members.where("NOT most").select("crowd", "doc_id", "label", "most", F.lit(True).alias("asks"), place("parts").cast("int").alias("part"), deal("blocks").alias("block"))
+    answer = members.select("crowd", "doc_id", "label", "most", F.lit(False).alias("asks"), deal("parts").alias("part"), place("blocks").cast("int").alias("block"))
+    met = asking.unionByName(answer).join(sets, "doc_id").repartition("crowd", "part", "block").sortWithinPartitions("crowd", "part", "block")
+    found = met.mapInArrow(partial(_meet, similarity=similarity), "a long, b long")
     return materialize(found.where("a < b").distinct(), "crowd-pairs")
 
 
@@ -321,18 +337,33 @@ def _few(ids: DataFrame) -> DataFrame:
 def candidates(lead: DataFrame, trees: int, similarity: float, forest: bool) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs a < b of documents with different labels, from so many trees; members of crowds (crowd, doc_id)."""
     rows = lead.mapInArrow(partial(_paths, trees=trees), _NODE)
-    for level in range(FIRST, DEPTH):  # nodes that are too large for a task branch here
-        size = rows.where(F.col("depth") == level).groupBy("node").count().where(F.col("count") > MOST).select(F.col("node").alias("large"))
-        large = materialize(size, "large")
+    done, crowd = [], None
+    for level in range(FIRST, DEEPEST + 1):  # nodes that are too large for a task branch here, on and on
+        size = rows.groupBy("node").agg(F.count("*").alias("rows"), (F.min("label") != F.max("label")).alias("mixed")).where(F.col("rows") > MOST)
+        large = materialize(size.select(F.col("node").alias("large"), F.ceil(F.col("rows") / MOST).cast("int").alias("cuts"), "mixed"), "large")
         if not large.limit(1).count():
+            done.append(rows)
             break
-        token = F.substring("sketch", F.col("tree") * DEPTH + level + 1, F.lit(1))
-        rows = rows.join(_few(large), F.col("node") == F.col("large"), "left").withColumn("depth", F.when(F.col("large").isNull(), F.col("depth")).otherwise(level + 1))
-        rows = rows.withColumn("node", F.when(F.col("large").isNull(), F.col("node")).otherwise(F.xxhash64("node", token))).drop("large")
+        done.append(rows.join(_few(large), F.col("node") == F.col("large"), "left_anti"))
+        rows = rows.join(_few(large.where("mixed")), F.col("node") == F.col("large")).drop("large", "mixed")  # one label alone has nothing to compare
+        if level < DEEPEST:
+            token = F.substring("sketch", (F.col("tree") * DEPTH + level) % VALUES + 1, F.lit(1))
+            rows = materialize(rows.drop("cuts").withColumn("depth", F.lit(level + 1)).withColumn("node", F.xxhash64("node", token)), "branch")
+        elif forest:  # no token splits it: parts of the node, each with the node's first document
+            rows = materialize(rows, "unsplit")
+            own = [F.col(c) for c in rows.columns if c not in ("node", "cuts")]
+            first = rows.groupBy("node").agg(F.min_by(F.struct(*own), "doc_id").alias("r"), F.first("cuts").alias("cuts"))
+            first = first.select("node", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "r.*")
+            other = rows.withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts").cast("int")).select(first.columns)
+            done.append(first.unionByName(other).withColumn("node", F.xxhash64("node", "cut")).drop("cut").dropDuplicates(["node", "doc_id"]))
+        else:
+            crowd = materialize(rows.select(F.col("node").alias("crowd"), "doc_id"), "unsplit")
+    rows = reduce(DataFrame.unionByName, done)
     found = rows.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(partial(_solve, similarity=similarity, forest=forest), "a long, b long, crowd long")
     found = materialize(found, "found")
     pairs = found.where("crowd IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    return materialize(pairs, "pairs"), found.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("doc_id"))
+    crowds = found.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("doc_id"))
+    return materialize(pairs, "pairs"), crowds if crowd is None else crowds.unionByName(crowd)
 
 
 def confirmed(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -350,14 +381,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked where the Jaccard similarity of their sets is ``similarity`` or more. Words are lower-cased
     (A-Z) and whole texts count. A text without words, or null, is linked with nothing. Equal sets are one node of the
     join, so that exact copies cost no comparison. Rows that repeat an id are one document with the links of all of them.
-    A row without an id is linked with nothing, has a null component and is kept. No rows give no rows.
+    A row without an id is linked with nothing, has a null component and is kept. Ids are whole numbers, or are cast to
+    them; text that is none counts as no id. No rows give no rows.
 
     A group of thousands of near copies would make candidates in the square of its size. So a first round, over half of
     the trees, confirms only the likeliest links that hold a node's documents together; a second one, over all trees,
     confirms every candidate whose ends are still in different components. Rows at the edge of a large group resemble most
     of it without being linked; a node with many such candidates is a crowd, whose rows are compared on their sets in place.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = materialize(rows.mapInArrow(partial(_describe, k=shingle), "doc_id long, n long, name1 long, name2 long, least binary"), "sets")
     key = ["n", "name1", "name2"]
     known = sets.where("n > 0 AND doc_id IS NOT NULL")

@@ -82,7 +82,7 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    fixed = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    fixed = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     place = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))  # rows that share a turn are turns of their own
     log = rows.unionByName(fixed).select(
         "conv_id", F.struct("turn", place.alias("place")).alias("turn"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"

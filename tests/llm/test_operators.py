@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -148,7 +150,27 @@ def test_near_dedup_crowd(spark, monkeypatch):
     assert seen and sum(got[i] != find(i) for i, _ in rows) <= 1 and sum(find(i) > 0 for i, _ in rows) > 5
 
 
-def test_components(spark):
+def test_near_dedup_unsplit_nodes(spark, monkeypatch):
+    """Groups whose rows agree in all tokens, and nodes too large for a task, give what brute force gives."""
+    rng = random.Random(21)
+    for k, v in (("MOST", 40), ("DEEPEST", 4), ("SMALL", 8), ("BLOCK", 30), ("PART", 3)):
+        monkeypatch.setattr(near_dedup, k, v)
+    base, rows = words(rng, 1200), []
+    for i in range(150):  # a long text and a changed word or two: nearly all tokens are the same
+        w = base[:]
+        for _ in range(1 + (i % 2)):
+            w[rng.randrange(len(w))] = f"n{rng.random()}"
+        rows.append((i, " ".join(w)))
+    edge = [w if rng.random() > 0.1 else f"m{k}" for k, w in enumerate(base)]
+    rows += [(500 + k, " ".join(edge[: 1200 - 3 * k])) for k in range(4)]
+    _, find = linked(rows, 2)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs(spark, rows), shingle=2).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("most", [500, 3])  # few links make a hub
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(importlib.import_module("docrows.llm.components"), "LINKS", most)
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (50, 50)] + [(200, k) for k in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, **{k: 200 for k in range(200, 260)}}
@@ -336,13 +358,101 @@ def test_html_wrapper(wrapper):
     assert html_extract.main_text(page) == "A first text, of some length. A second one, no shorter."
 
 
+PROSE = "This is a fairly long sentence, with some commas, and it says a thing. Another one follows it, no shorter than the first. "
+
+
+@pytest.mark.parametrize("name", ["related-work", "content share-wide"])
+def test_html_misleading_names(name):
+    assert html_extract.main_text(f'<div class="{name}">{f"<p>{PROSE}</p>" * 4}</div>') == " ".join([PROSE.strip()] * 4)
+
+
+def test_html_paths_choose():
+    """Without names that say so: a list of links goes, a short table in the content and an introduction beside it stay."""
+    links = "".join(f"<div><a href=/{k}>Section {k}</a></div>" for k in range(8))
+    page = f"<body>{links}<div><p>{PROSE}</p></div><section><h2>Head</h2>{f'<p>{PROSE}{PROSE}</p>' * 5}<table><tr><td>1<td>2</table></section></body>"
+    assert html_extract.main_text(page) == " ".join([PROSE.strip(), "Head"] + [(PROSE + PROSE).strip()] * 5 + ["1", "2"])
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x. ", "<a '>'", "<div><b>x", "&amp;<p", "<form class=ad><p>a, b.", "<!--", "</p><li>"])
+def test_html_linear(piece):
+    """A megabyte of it takes little time."""
+    began = time.process_time()
+    html_extract.main_text(piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - began < 8  # about a second; reading again and again would take hours
+
+
+def plain_scores(page):
+    """Scores by the definition, with each path, element and sum written out anew for each block."""
+    t = html_extract.Tree(page)
+    blocks = html_extract.blocks_of(t)
+
+    def chain(e):
+        return [] if e < 0 else [*chain(t.parent[e]), e]
+
+    size = lambda bs: sum(len(b[2]) for b in bs)
+    under = lambda e: [b for b in blocks if e in chain(b[0])]
+    art = [b for b in blocks if t.article[b[0]]]
+
+    def furniture(e):
+        inner = [b for b in under(e) if b in art]
+        return t.named[e] and (t.article[t.parent[e]] or size(under(e)) < size(blocks) / 2 or size(inner) < size(art))
+
+    out = []
+    for b in blocks:
+        same = [x for x in blocks if x[1] == b[1]]
+        own = size(same) / len(same) * (1 + sum(len(re.findall("[.,;:!?…。，！？]", x[2])) for x in same) / len(same))
+        free = 1 - sum(x[3] for x in same) / sum(len(x[2].replace(" ", "")) for x in same)
+        out.append((own, free, html_extract.NAMED_WEIGHT if any(furniture(e) for e in chain(b[0])) else 1.0))
+    ratio = [a * f * w for a, f, w in out]
+    mean = sum(r * len(b[2]) for r, b in zip(ratio, blocks)) / size(blocks)
+    core = [b for b, r in zip(blocks, ratio) if r >= mean * html_extract.CORE]
+    if size([b for b in core if b in art]) >= size(core) / 2:
+        inside, in_article = art, True
+    else:
+        roots = [e for e in range(len(t.parent)) if size([b for b in under(e) if b in core]) >= html_extract.HELD * size(core) and t.tag[e] not in ("p", "li", "td", "th", "tr", "h1", "pre", "blockquote")]
+        inside, in_article = under(max(roots)), False
+    got = []
+    for k, b in enumerate(blocks):
+        near = []
+        for x, i in [(x, i) for i, x in enumerate(blocks) if x[1] == b[1]]:
+            around = [(out[j][0], w) for j, w in ((i - 1, 1), (i, 2), (i + 1, 1)) if 0 <= j < len(blocks)]
+            near.append(sum(v * w for v, w in around) / sum(w for _, w in around))
+        if b in inside:
+            got.append(max(sum(near) / len(near), mean) * (1 if in_article else out[k][1]) * out[k][2])
+        else:
+            got.append(ratio[k])
+    return got, mean * html_extract.LEAST
+
+
+def test_html_scores_against_plain_version():
+    rng = random.Random(31)
+    tags = ["div", "p", "section", "li", "ul", "article", "td", "h1", 'div class="ad"', 'div id="comments"', "form", "b", "a href=x"]
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.25:
+            return rng.choice(["short", PROSE, "a, b.", "words without any mark at all", ""])
+        tag = rng.choice(tags)
+        return f"<{tag}>" + "".join(grow(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{tag.split()[0]}>"
+
+    for _ in range(60):
+        page = "<body>" + "".join(grow(4) for _ in range(3)) + "</body>"
+        t = html_extract.Tree(page)
+        blocks = html_extract.blocks_of(t)
+        if blocks:
+            score, least = html_extract.scores(t, blocks)
+            want, bound = plain_scores(page)
+            assert score.tolist() == pytest.approx(want) and least == pytest.approx(bound)
+
+
 def test_html_query(spark):
-    rows = [(1, "u", "<article><p>A text, here.</p></article>"), (2, None, None), (2, None, None), (None, "v", "")]
-    got = sorted(map(str, ((r.page_id, r.text, r.n_chars) for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())))
+    rows = [(1, "u", "<article><p>A text, here.</p></article>", "x", 7), (2, None, None, "x", 7), (2, None, None, "x", 7), (None, "v", "", "x", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")  # names that clash
+    got = sorted(map(str, ((r.page_id, r.text, r.n_chars) for r in html_extract.extract_main_text(pages).collect())))
+    assert html_extract.extract_main_text(pages.where("false")).count() == 0
     assert got == sorted(map(str, [(1, "A text, here.", 13), (2, "", 0), (2, "", 0), (None, "", 0)]))
 
 
-def test_language_id(spark):
+def test_language_id(spark, monkeypatch):
     rng = random.Random(4)
     sounds = {"aa": "ba be bi bo bu".split(), "bb": "kra kre kri kro".split(), "cc": "ñu ñe ña lo".split()}
     make = lambda l: " ".join("".join(rng.choice(sounds[l]) for _ in range(rng.randrange(1, 4))) for _ in range(40))
@@ -350,14 +460,22 @@ def test_language_id(spark):
     d = docs(spark, rows, langs=[list(sounds)[i % 3] for i, _ in rows])
     from pyspark.sql import functions as F
 
-    p = language_id.learn_profiles(d, ~language_id.held_out(F.col("doc_id")))
-    got = {r.doc_id: r for r in language_id.identify_language(d, p).collect()}
-    assert sum(got[i].lang_pred == list(sounds)[i % 3] for i, _ in rows) >= 297
-    assert all(0 <= r.score <= 1 for r in got.values())
-    odd = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_language(docs(spark, [(1, None), (2, "12 !?"), (3, "")]), p).collect()}
-    assert odd == {1: ("und", 0.0), 2: ("und", 0.0), 3: ("und", 0.0)}
-    assert language_id.identify_language(d, {}).where("lang_pred <> 'und'").count() == 0
+    held = language_id.held_out(F.col("doc_id"))
+    p = language_id.learn_profiles(d, ~held)
+    got = language_id.identify_language(d, p).withColumn("held", held).collect()
+    apart = [r for r in got if r.held]  # never learned from
+    assert len(apart) > 50 and sum(r.lang_pred == list(sounds)[r.doc_id % 3] for r in apart) >= 0.98 * len(apart)
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = [(1, None), (2, "12 !?"), (3, ""), (4, "ba " * 400_000), (4, "ba " * 400_000)]
+    found = language_id.identify_language(docs(spark, odd), p).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in found) == [(1, "und"), (2, "und"), (3, "und"), (4, "aa"), (4, "aa")] and all(r.score == 0 for r in found if r.doc_id < 4)
+    assert language_id.identify_language(d, p.where("false")).where("lang_pred <> 'und' OR score <> 0").count() == 0
     assert language_id.identify_language(d.where("false"), p).count() == 0
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)  # two blocks give the same answers
+    again = language_id.identify_language(d, language_id.learn_profiles(d, ~held)).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in again) == sorted((r.doc_id, r.lang_pred, r.score) for r in got)
+    same = spark.createDataFrame([(x, v) for v in p.where("lang = 'aa'").select("v").first() for x in ("zz", "aa", "mm")], p.schema)
+    assert {r.lang_pred for r in language_id.identify_language(docs(spark, [(1, "ba be"), (2, "bi")]), same).collect()} == {"aa"}  # a tie
 
 
 def test_quality(spark, monkeypatch):
