@@ -28,6 +28,21 @@ def table_rows(docs: DataFrame, header_rows: int = 3, min_columns: int = 2) -> D
     return t.select("*", F.posexplode(F.slice("table", F.col("at") + 2, F.size("table"))).alias("row_ord", "row")).drop("table", "at", "tables")
 
 
+def table_records(tables: Column, header_row: int = 0) -> Column:
+    """Entries of each row below a given header row, table by table: cells by header, those beyond the headers left out.
+
+    An empty header is ``col_i``; of equal headers the last one's cell counts; a row without a filled cell has no entries.
+    """
+
+    def rows(t: Column) -> Column:
+        head = F.transform(F.get(t, F.lit(header_row)), lambda h, i: F.when(F.coalesce(h, F.lit("")) == "", F.concat(F.lit("col_"), i.cast("string"))).otherwise(strip(h)))
+        own = F.filter(F.slice(t, header_row + 2, F.greatest(F.size(t), F.lit(1))), lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != ""))
+        pairs = lambda r, h: as_map(F.transform(F.slice(r, F.lit(1), F.size(h)), lambda c, i: F.struct(F.get(h, i).alias("k"), text_cell(c).alias("v"))))
+        return let(head, lambda h: F.transform(own, lambda r: pairs(r, h)))
+
+    return F.flatten(F.transform(F.filter(tables, lambda t: (F.size(t) > header_row) & (F.size(F.get(t, F.lit(header_row))) > 0)), rows))
+
+
 def delimiter(text: Column, min_columns: int = 2) -> Column:
     """First of tab, bar, semicolon and two spaces that 60 % of the filled lines among the first ten have equally often.
 

@@ -57,3 +57,14 @@ def run_stats(documents: DataFrame, parsed: DataFrame, output: DataFrame) -> Dat
         "files", "files_parsed", "rows_parsed", "rows_output", (F.col("rows_parsed") - F.col("rows_output")).alias("duplicates_removed"),
         "errors", (F.col("files") - F.col("files_parsed") - F.col("errors")).alias("warnings"),
     )
+
+
+def counts(df: DataFrame, by: str) -> DataFrame:
+    """Rows of each kind, the most common first."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
+def distinct_values(records: DataFrame, name: str, most: int = 20) -> DataFrame:
+    """A sample of a field's distinct filled values."""
+    value = cell("entries", name)["s"]
+    return records.select(value.alias(name)).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct().limit(most)

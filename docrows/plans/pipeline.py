@@ -19,7 +19,8 @@ from ..operators.report import parse_reports
 from ..operators.validate import validate
 from ..operators.wide import run_stats
 from ..sources.documents import Decoder, DocumentSource, read_document, read_documents
-from ..sources.sinks import SINKS, export, write_csv, write_json
+from ..sources.shared import materialize
+from ..sources.sinks import SINKS, export
 from .config import Config
 
 Parser = Callable[[DataFrame, Config], DataFrame]
@@ -86,21 +87,23 @@ class Pipeline:
         return deduplicate(out, self.config.key_columns, self.config.keep) if self.config.deduplicate else out
 
     def run(self, docs: DataFrame, folder: str | None = None, name: str | None = None, kind: str = "csv") -> Result:
-        """Records and counters, and the output's path. Without a folder nothing is written."""
-        parsed, records = self.parse(docs), self.records(docs)
-        path = None
+        """Records and counters, and the output's path. Without a folder nothing is written.
+
+        Documents are parsed once: the parsed records are a table of the shared folder, from which the records, the counters
+        and the output are taken.
+        """
+        parsed = materialize(self.parse(docs), "parsed")
+        records = deduplicate(parsed, self.config.key_columns, self.config.keep) if self.config.deduplicate else parsed
+        records, path = materialize(records, "records"), None
         if folder is not None:
-            name = name or f"resultado_{datetime.datetime.now():%Y%m%d_%H%M%S}"
-            path = self._export(records, folder, name, kind)
+            path = self._export(records, folder, name or f"resultado_{datetime.datetime.now():%Y%m%d_%H%M%S}", kind)
         return Result(records, run_stats(docs, parsed, records), path)
 
     def _export(self, records: DataFrame, folder: str, name: str, kind: str) -> str | None:
-        if records.limit(1).count() == 0:
-            return None
-        c, path = self.config, f"{folder.rstrip('/')}/{name}.{kind if kind in SINKS else 'csv'}"
-        if kind == "json":
-            return write_json(records, path, c.json_orient, c.json_internal)
-        return export(records, folder, name, kind) if kind == "xlsx" else write_csv(records, path, c.csv)
+        c = self.config
+        options = {"csv": {"options": c.csv}, "json": {"orient": c.json_orient, "internal": c.json_internal}}
+        kind = kind if kind in SINKS else "csv"
+        return export(records, folder, name, kind, **options.get(kind, {}))
 
     def decoder(self, decode: Decoder | None = None) -> Decoder:
         c = self.config

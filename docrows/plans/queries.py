@@ -5,7 +5,6 @@ The tables hold no invoices or cell grids, so these are made from orders and lin
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,8 +19,11 @@ from ..operators.dedup import deduplicate
 from ..operators.model import cell, entry, number_cell, text_cell
 from ..operators.normalize import normalize
 from ..operators.validate import FieldRule, GlobalRules, Validation, validate, with_errors
-from ..operators.wide import field_names, run_stats, widen
+from ..operators.wide import counts, field_names, run_stats, widen
+from ..sources.documents import latest
+from ..sources.shared import shared_dir
 from ..sources.sinks import csv_lines, json_columns, json_rows
+from ..streaming.watch import ingest, into
 from .pipeline import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,12 +481,12 @@ def preview(t):
 
 @query("SELECT event_type, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY event_type")
 def latest_output(t):
-    return t("events").groupBy("event_type").agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return latest(t("events"), "event_type", "ts", "event_id")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def type_counts(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return counts(t("events"), "event_type")
 
 
 @query("""
@@ -502,15 +504,25 @@ def pipeline_invoices(t):
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read by a file stream with a checkpoint, counted by type in complete mode once all are in."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"ingest_{uuid.uuid4().hex}"
+    """Events read by a file stream with a checkpoint, batch by batch into a table, and counted by type once all are in."""
+    out = f"{shared_dir(spark)}/docrows/ingest-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    out = f"{shared}/docrows/{name}"
-    q = stream.select("event_id", "event_type").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select("event_id", "event_type")
+    ingest(stream, into(out), f"{out}-log", once=True).awaitTermination()
+    return counts(spark.read.parquet(out), "event_type")
+
+
+@query("""
+SELECT s_nationkey AS nation, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS n, unnest(['Id', 'col_1', 'Balance']) AS k,
+  unnest([s_suppkey::VARCHAR, s_name, NULL]) AS v FROM supplier
+""")
+def table_to_records(t):
+    """A title row above the header row, an empty header, a blank row, and a cell beyond the headers."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", F.array(F.col("s_suppkey").cast("string"), F.col("s_name"), F.lit(None).cast("string"), F.lit("beyond")).alias("row")))), lambda r: r["row"])
+    grid = F.array(F.concat(F.array(F.array(F.lit("Suppliers")), F.array(F.lit(" Id "), F.lit(""), F.lit("Balance"))), rows, F.array(F.array(F.lit(""), F.lit(None).cast("string")))))
+    df = t("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(grid.alias("tables"))
+    e = df.select("nation", F.posexplode(report.table_records(F.col("tables"), 1)).alias("n", "entries")).select("nation", "n", F.explode("entries").alias("e"))
+    return e.select("nation", "n", F.col("e.k").alias("k"), F.col("e.v.s").alias("v"))
 
 
 QUERIES["stream_ingest"] = stream_ingest

@@ -7,22 +7,27 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import clean_tables, filter_tables
 from . import pdf_text
+from .shared import materialize
 
 #: Schema of binaryFile, which streams have to name.
 BINARY = "path string, modificationTime timestamp, length long, content binary"
-DECODED = "path string, file_name string, text string, tables array<array<array<string>>>, extraction_method string, error string"
+DECODED = "path string, file_name string, text string, tables array<array<array<string>>>, extraction_method string, n_pages int, truncated boolean, error string"
+#: Files whose numbers may be broadcast (about 100 bytes each).
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
 class Decoder:
-    """Functions from a file's bytes. Texts and tables have a list each, of which the first with a result is used.
+    """Functions from a file's bytes. Texts (a text for each page, blank ones too) and tables have a list each, of which the
+    first with a result is used.
 
-    ``ocr`` is asked where neither gave anything. A function that raises gave nothing. ``tables_first`` or
-    ``prefer_tables`` switch tables on.
+    ``ocr`` is asked where neither gave anything. A function that raises gave nothing. Tables are asked for if
+    ``prefer_tables`` holds or ``strategy`` is table_first. Of a file's pages the first ``max_pages`` are read (the default
+    is a fixed value); ``truncated`` says of each file whether there were more.
     """
 
     texts: tuple[Callable[[bytes], list[str]], ...] = (pdf_text.pages,)
@@ -31,30 +36,35 @@ class Decoder:
     max_pages: int = 100
     prefer_tables: bool = True
     ocr_fallback: bool = True
+    strategy: str = "auto"
 
     def pages(self, content: bytes) -> list[str]:
+        """All pages by the first decoder that finds text; if none does, by the first that finds pages."""
+        found: list[str] = []
         for f in self.texts:
             try:
-                found = [p for p in f(content)[: self.max_pages] if p and p.strip()]
+                own = list(f(content))
             except Exception:  # noqa: BLE001  a file that one decoder can't read goes to the next
-                found = []
-            if found:
-                return found
-        return []
-
-    def __call__(self, content: bytes) -> tuple[str, list, str]:
-        text, tables = "\n\n".join(self.pages(content)), []
-        for f in self.tables if self.prefer_tables else ():
+                continue
+            if any(p and p.strip() for p in own[: self.max_pages]):
+                return own
+            found = found or own
+        return found
+
+    def __call__(self, content: bytes) -> tuple[str, list, str, int, bool]:
+        pages, tables = self.pages(content), []
+        text = "\n\n".join(p for p in pages[: self.max_pages] if p and p.strip())
+        for f in self.tables if self.prefer_tables or self.strategy == "table_first" else ():
             try:
                 tables = f(content)
             except Exception:  # noqa: BLE001
                 tables = []
             if tables:
                 break
+        more = (len(pages), len(pages) > self.max_pages)
         if not text and not tables and self.ocr_fallback and self.ocr:
-            text = self.ocr(content)
-            return text, [], "ocr"
-        return text, tables, "tables" if tables else "text"
+            return self.ocr(content), [], "ocr", *more
+        return text, tables, "tables" if tables else "text", *more
 
 
 @dataclass(frozen=True)
@@ -67,8 +77,16 @@ class DocumentSource:
     decode: Decoder = field(default_factory=Decoder)
 
 
+def files(spark: SparkSession, source: DocumentSource) -> DataFrame:
+    """The files themselves; a missing path is an error at once."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(source.recursive).lower())
+    if not source.path.lower().endswith(".pdf"):
+        reader = reader.option("pathGlobFilter", source.pattern)
+    return reader.load(source.path)
+
+
 def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
-    """A row for each file. A file that can't be decoded has an error instead of content."""
+    """A row for each file, its tables clean. A file that can't be decoded has an error instead of content."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -77,47 +95,79 @@ def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
                 try:
                     found, error = decode(bytes(content)), None
                 except Exception as e:  # noqa: BLE001  the error is the file's result
-                    found, error = (None, None, None), f"{type(e).__name__}: {e}"
+                    found, error = (None, None, None, 0, False), f"{type(e).__name__}: {e}"
                 rows.append((path, path.rsplit("/", 1)[-1], *found, error))
-            yield pd.DataFrame(rows, columns=["path", "file_name", "text", "tables", "extraction_method", "error"])
+            yield pd.DataFrame(rows, columns=[x.strip().split()[0] for x in DECODED.split(", ")])
 
-    return files.select("path", "content").mapInPandas(work, DECODED)
+    return files.select("path", "content").mapInPandas(work, DECODED).withColumn("tables", filter_tables(clean_tables(F.col("tables"))))
 
 
-def numbered_files(files: DataFrame) -> DataFrame:
-    """file_ord: the file's place by path. Only paths are sorted together, not contents."""
-    order = files.select("path", (F.row_number().over(W.orderBy("path")) - 1).alias("file_ord"))
-    return files.join(order, "path")
+def numbered_paths(paths: DataFrame) -> DataFrame:
+    """path, file_ord: each path's place from 0. Paths are sorted in ranges; only the ranges' sizes come to the driver."""
+    ranges = paths.select("path").repartitionByRange("path").sortWithinPartitions("path")
+    ranges = materialize(ranges.withColumn("at", F.monotonically_increasing_id()), "paths")  # the range's number, and the place in it
+    ranges = ranges.select("path", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    sizes, begin, begins = ranges.groupBy("range").count().orderBy("range").collect(), 0, []
+    for r in sizes:
+        begins += [F.lit(r["range"]), F.lit(begin)]
+        begin += r["count"]
+    first = F.element_at(F.create_map(*begins), F.col("range")) if begins else F.lit(0)
+    return ranges.select("path", (first + F.col("place")).cast("int").alias("file_ord"))
+
+
+def numbered_files(docs: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """``docs`` with file_ord: the file's place by path. ``paths``: where they are listed without being decoded."""
+    order = materialize(numbered_paths(docs if paths is None else paths), "file-order")
+    return docs.join(F.broadcast(order) if order.limit(FEW + 1).count() <= FEW else order, "path")
 
 
 def read_documents(spark: SparkSession, source: DocumentSource) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(source.recursive).lower())
-    if not source.path.lower().endswith(".pdf"):
-        reader = reader.option("pathGlobFilter", source.pattern)
-    return numbered_files(decoded(reader.load(source.path), source.decode))
+    """Decoded documents, numbered by path. Each file is decoded once, into a table of the shared folder."""
+    found = files(spark, source)
+    return numbered_files(materialize(decoded(found, source.decode), "decoded"), found)
 
 
 def read_document(spark: SparkSession, path: str, decode: Decoder | None = None) -> DataFrame:
-    """One file. Its name must end in .pdf, in any case; a missing file fails when it is read."""
+    """One file. Its name must end in .pdf, in any case; a missing file is an error."""
     if not path.lower().endswith(".pdf"):
         raise ValueError(f"not a PDF file: {path}")
     return read_documents(spark, DocumentSource(path, decode=decode or Decoder()))
 
 
 def read_pages(spark: SparkSession, source: DocumentSource) -> DataFrame:
-    """A row for each page: path, page_ord (from 0), n_pages, text. Files without pages have none."""
+    """A row for each page, blank ones too: path, page_ord (from 0), n_pages, text. Files without pages have none."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, i, len(found), t) for p, c in zip(b["path"], b["content"]) for found in (source.decode.pages(bytes(c)),) for i, t in enumerate(found)]
+            rows = [(p, i, len(found), t or "") for p, c in zip(b["path"], b["content"]) for found in (source.decode.pages(bytes(c)),) for i, t in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "page_ord", "n_pages", "text"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", source.pattern).load(source.path)
-    return files.select("path", "content").mapInPandas(work, "path string, page_ord int, n_pages int, text string")
+    return files(spark, source).select("path", "content").mapInPandas(work, "path string, page_ord int, n_pages int, text string")
+
+
+def page_counts(spark: SparkSession, source: DocumentSource) -> DataFrame:
+    """path, n_pages of each file; 0 where it can't be read."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "n_pages": [len(source.decode.pages(bytes(c))) for c in b["content"]]})
+
+    return files(spark, source).select("path", "content").mapInPandas(work, "path string, n_pages int")
 
 
 def read_output(spark: SparkSession, path: str, kind: str, limit: int | None = None) -> DataFrame:
-    """An export read back, without internal columns."""
+    """An export read back, without internal columns; of JSON, lines of records or one document."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"') if kind == "csv" else spark.read.json(path)
     df = df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("_")))
     return df if limit is None else df.limit(limit)
+
+
+def latest(df: DataFrame, by: str | list[str], when: str, what: str) -> DataFrame:
+    """For each group its last ``when``, and ``what`` of the row that has it (of rows at the same time, the largest one)."""
+    return df.groupBy(by).agg(F.max(when).alias(when), F.max_by(what, F.struct(when, what)).alias(what))
+
+
+def latest_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """kind (the suffix), modificationTime, path of the newest file of each kind in a folder of exports. No file is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    return latest(found.withColumn("kind", F.regexp_extract("path", r"\.([A-Za-z]+)(?:/[^/]*)?$", 1)), "kind", "modificationTime", "path")

@@ -1,6 +1,7 @@
-"""A small text decoder for PDF files, from the public specification: Flate streams and text operators.
+"""A small text decoder for PDF files, from the public specification: the page tree, Flate streams and text operators.
 
-It reads simple fonts in Latin-1 and no tables. Richer decoders are passed to sources.documents as ``decode``.
+It reads simple fonts in Latin-1 and no tables; files that keep their objects in compressed object streams are read in the
+order of their content streams. Richer decoders are passed to sources.documents as ``decode``.
 """
 
 from __future__ import annotations
@@ -22,33 +23,66 @@ def _string(token: bytes) -> str:
     return _ESCAPE.sub(code, token[1:-1]).decode("latin-1")
 
 
-def pages(content: bytes, most: int | None = None) -> list[str]:
-    """Text of each content stream that shows text, in file order; lines end where the text position moves on."""
+_OBJECT = re.compile(rb"(?:^|[\r\n\s])(\d+)\s+\d+\s+obj\b(.*?)(?=endobj)", re.S)
+_REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R")
+
+
+def shown(body: bytes) -> str:
+    """Text that a content stream shows; lines end where the text position moves on."""
+    text, args = [], []
+    for token in _SHOW.findall(body):
+        if token[:1] in b"(<":
+            args.append(_string(token))
+        elif token in (b"Tj", b"TJ"):
+            text.append("".join(args))
+            args = []
+        elif token in (b"'", b'"'):
+            text.append("\n" + "".join(args))
+            args = []
+        elif token in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
+            text.append("\n")
+            args = []
+        elif token.isalpha():
+            args = []
+    return re.sub(r"\n+", "\n", "".join(text)).strip()
+
+
+def stream(piece: bytes) -> bytes:
+    """The inflated streams of an object, or of a whole file, one after the other; one that can't be inflated is empty."""
     out = []
-    for head, body in _STREAM.findall(content):
+    for head, body in _STREAM.findall(piece):
         if b"FlateDecode" in head:
             try:
                 body = zlib.decompressobj().decompress(body)
             except zlib.error:
                 continue
-        if b"BT" not in body:
+        out.append(body)
+    return b"\n".join(out)
+
+
+def page_contents(content: bytes) -> list[bytes]:
+    """Content of each page in the order of the page tree, blank ones too; none if the file has no tree in plain objects."""
+    objects = {int(n): body for n, body in _OBJECT.findall(content)}
+    references = lambda body, key: [int(x) for m in re.findall(key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) for x in _REFERENCE.findall(m)]
+    root = [n for n, body in objects.items() if re.search(rb"/Type\s*/Pages\b", body) and not re.search(rb"/Parent\b", body)]
+    out, todo, seen = [], root[:1], set()
+    while todo:
+        n = todo.pop(0)
+        body = objects.get(n, b"")
+        if n in seen:
             continue
-        text, args = [], []
-        for token in _SHOW.findall(body):
-            if token[:1] in b"(<":
-                args.append(_string(token))
-            elif token in (b"Tj", b"TJ"):
-                text.append("".join(args))
-                args = []
-            elif token in (b"'", b'"'):
-                text.append("\n" + "".join(args))
-                args = []
-            elif token in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
-                text.append("\n")
-                args = []
-            elif token.isalpha():
-                args = []
-        page = re.sub(r"\n+", "\n", "".join(text)).strip()
-        if page:
-            out.append(page)
-    return out if most is None else out[:most]
+        seen.add(n)
+        if re.search(rb"/Type\s*/Pages\b", body):
+            todo = references(body, rb"/Kids") + todo
+        elif re.search(rb"/Type\s*/Page\b", body):
+            out.append(b"\n".join(stream(objects.get(k, b"")) for k in references(body, rb"/Contents")))
+    return out
+
+
+def pages(content: bytes) -> list[str]:
+    """Text of each page, blank ones too; without a page tree, of each content stream that shows text, in file order."""
+    found = [shown(body) for body in page_contents(content)]
+    if found:
+        return found
+    texts = (shown(body) for body in (stream(m[0]) for m in _STREAM.finditer(content)) if b"BT" in body)
+    return [t for t in texts if t]

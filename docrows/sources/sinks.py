@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.model import cell
+from ..functions.lexicon import SHEET_DATES, SHEET_NUMBER
+from ..operators.model import cell, number_cell
 from ..operators.wide import ordered_names, shown, widen
 
 
@@ -71,33 +73,67 @@ def json_rows(records: DataFrame, internal: bool = False) -> DataFrame:
     return records.select("file_ord", "rec_ord", F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("json"))
 
 
-def json_columns(records: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """name, position, values: a column for each field, as a JSON array in the records' order; missing cells are null."""
+def json_columns(records: DataFrame, names: list[str] | None = None, by_file: bool = False) -> DataFrame:
+    """name, position, values: a column for each field, as a JSON array in the records' order; missing cells are null.
+
+    ``by_file``: an array for each file's records, and file_ord, so that no row holds a column of all records.
+    """
     names = ordered_names(records) if names is None else names
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), json_value(cell("entries", n)).alias("v")) for i, n in enumerate(names))))
     long = records.select("file_ord", "rec_ord", cells.alias("c"))
     values = F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "rec_ord", "c.v"))), lambda x: x["v"])
-    return long.groupBy("c.name", "c.position").agg(F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]")).alias("values"))
+    key = ["c.name", "c.position", *(["file_ord"] if by_file else [])]
+    return long.groupBy(*key).agg(F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]")).alias("values"))
+
+
+def _lines(records: DataFrame, orient: str, internal: bool) -> DataFrame:
+    """file_ord, rec_ord, value: what the orient makes of the records, as JSON objects."""
+    if orient == "columns":
+        c = json_columns(records, ordered_names(records, internal), by_file=True)
+        value = F.concat(F.lit('{"name": '), _text(F.col("name")), F.lit(', "file": '), F.col("file_ord").cast("string"), F.lit(', "values": '), "values", F.lit("}"))
+        return c.select("file_ord", F.col("position").alias("rec_ord"), value.alias("value"))
+    rows = json_rows(records, internal)
+    if orient == "index":
+        return rows.select("file_ord", "rec_ord", F.concat(F.lit('{"index": "'), F.concat_ws("-", "file_ord", "rec_ord"), F.lit('", "record": '), "json", F.lit("}")).alias("value"))
+    return rows.select("file_ord", "rec_ord", F.col("json").alias("value"))
+
+
+def _text(c: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(c)), "^\\[|\\]$", "")
 
 
 def write_json(records: DataFrame, path: str, orient: str = "records", internal: bool = False) -> str:
-    """A folder of text files: a JSON object a line (``records``), with its number first (``index``), or a line for each column."""
+    """A folder of text files, a JSON object a line: the record (``records``), with its number (``index``), or a file's values
+    of one field (``columns``). Nothing passes through one task or the driver."""
+    _lines(records, orient, internal).orderBy("file_ord", "rec_ord").select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def write_json_document(records: DataFrame, path: str, orient: str = "records", internal: bool = False, about: dict[str, object] | None = None) -> str:
+    """One JSON document, for results that one reader can hold: an array of records, an object of records by number, or an
+    object of arrays by field; with ``about``, an envelope of metadata and data. A folder with one text file, which one task
+    writes from sorted lines without holding them.
+    """
     if orient == "columns":
-        out = json_columns(records).orderBy("position").select(F.concat(F.to_json(F.struct("name")), F.lit("\t"), "values").alias("value"))
+        parts = json_columns(records, ordered_names(records, internal)).select(F.lit(0).alias("a"), F.col("position").alias("b"), F.concat(_text(F.col("name")), F.lit(": "), "values").alias("value"))
     else:
-        rows = json_rows(records, internal).orderBy("file_ord", "rec_ord")
-        out = rows.select((F.col("json") if orient == "records" else F.concat(F.to_json(F.struct("file_ord", "rec_ord")), F.lit("\t"), "json")).alias("value"))
-    out.write.mode("overwrite").text(path)
+        name = F.concat(F.lit('"'), (F.row_number().over(W.orderBy("file_ord", "rec_ord")) - 1).cast("string"), F.lit('": ')) if orient == "index" else F.lit("")
+        parts = json_rows(records, internal).select(F.col("file_ord").alias("a"), F.col("rec_ord").alias("b"), F.concat(name, "json").alias("value"))
+    spark, (left, right) = records.sparkSession, "[]" if orient == "records" else "{}"
+    if about is not None:
+        meta = {"generated_at": datetime.datetime.now().isoformat(), "record_count": records.count(), **about}
+        left, right = '{"metadata": ' + json.dumps(meta, ensure_ascii=False, default=str) + ', "data": ' + left, right + "}"
+    first = parts.agg(F.min(F.struct("a", "b")).alias("first")).first()["first"]
+    here = F.struct("a", "b") == F.struct(F.lit(first["a"] if first else 0), F.lit(first["b"] if first else 0))
+    body = parts.select(F.lit(1).alias("part"), "a", "b", F.when(here, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    edge = spark.range(2).select(F.when(F.col("id") == 0, 0).otherwise(2).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.when(F.col("id") == 0, F.lit(left)).otherwise(F.lit(right)).alias("value"))
+    body.unionByName(edge).coalesce(1).sortWithinPartitions("part", "a", "b").select("value").write.mode("overwrite").text(path)
     return path
 
 
 def with_envelope(records: DataFrame, path: str, **about: object) -> str:
-    """JSON rows beside a metadata file: generated_at, record_count and whatever else is given. Internal fields are kept."""
-    write_json(records, f"{path}/data", internal=True)
-    meta = {"generated_at": datetime.datetime.now().isoformat(), "record_count": records.count(), **about}
-    spark = records.sparkSession
-    spark.createDataFrame([(json.dumps(meta, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    return path
+    """One JSON document: metadata (generated_at, record_count and whatever else is given) and data. Internal fields are kept."""
+    return write_json_document(records, path, internal=True, about=about)
 
 
 #: A worksheet's most rows, by the format's definition.
@@ -109,7 +145,7 @@ def write_xlsx(records: DataFrame, path: str) -> str:
     names = ordered_names(records)
     if records.limit(SHEET_ROWS).count() >= SHEET_ROWS:
         raise ValueError(f"a worksheet holds {SHEET_ROWS - 1} records at most; write CSV instead")
-    rows = widen(records, names, text=False).orderBy("file_ord", "rec_ord").drop("file_ord", "rec_ord")
+    rows = widen(records, names, text=False).orderBy("file_ord", "rec_ord").select(*(sheet_cell(F.col(f"`{n}`")).alias(n) for n in names))
     text = lambda s: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(s)}</t></is></c>'
 
     def one(v) -> str:
@@ -117,7 +153,7 @@ def write_xlsx(records: DataFrame, path: str) -> str:
             return "<c/>"
         if v["t"] == "n":
             return f"<c><v>{v['n']!r}</v></c>"
-        return text({"true": "Yes", "false": "No"}.get(v["s"], v["s"]) if v["t"] == "b" else v["s"])
+        return text(v["s"])
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -136,13 +172,36 @@ def write_xlsx(records: DataFrame, path: str) -> str:
     return path
 
 
-#: Formats by name. An online sheet is not reachable from here, and like any unknown format becomes CSV.
-SINKS: dict[str, Callable[[DataFrame, str], str]] = {"csv": write_csv, "json": write_json, "xlsx": write_xlsx}
+def sheet_cell(v: Column) -> Column:
+    """A cell as a worksheet has it: text that looks like a number is one, text that looks like a date is an ISO date, truth values are Yes and No."""
+    s = v["s"]
+    number = F.when(F.replace(s, F.lit(" ")).rlike(SHEET_NUMBER), F.translate(s, "$, ", "").try_cast("double"))
+    day = F.coalesce(
+        F.when(s.rlike(SHEET_DATES[0]), F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd"))),
+        F.when(s.rlike(SHEET_DATES[1]), F.coalesce(F.try_to_timestamp(F.substring(s, 1, 10), F.lit("MM/dd/yyyy")), F.try_to_timestamp(F.substring(s, 1, 10), F.lit("dd/MM/yyyy")))),
+    )
+    text = F.when(v["t"] == "b", F.when(s == "true", "Yes").otherwise("No")).when((v["t"] == "s") & day.isNotNull(), F.date_format(day, "yyyy-MM-dd")).otherwise(s)
+    is_number = F.coalesce((v["t"] == "s") & day.isNull() & number.isNotNull(), F.lit(False))
+    return F.when(is_number, number_cell(number)).otherwise(F.struct(v["t"].alias("t"), text.alias("s"), v["n"].alias("n")))
+
+
+#: Formats by name; more can be registered. An online sheet is not reachable from here, and like any unknown format becomes CSV.
+SINKS: dict[str, Callable[..., str]] = {"csv": write_csv, "json": write_json, "xlsx": write_xlsx}
 
 
-def export(records: DataFrame, folder: str, name: str, kind: str = "csv") -> str | None:
+def register_sink(kind: str, write: Callable[..., str]) -> None:
+    """A function of records and a path, which returns the path."""
+    SINKS[kind] = write
+
+
+def export(records: DataFrame, folder: str, name: str, kind: str = "csv", **options: object) -> str | None:
     """Write records under their name; null, and no file, if there are none."""
-    if records.limit(1).count() == 0:
+    if records.isEmpty():
         return None
     kind = kind if kind in SINKS else "csv"
-    return SINKS[kind](records, f"{folder.rstrip('/')}/{name}.{kind}")
+    return SINKS[kind](records, f"{folder.rstrip('/')}/{name}.{kind}", **options)
+
+
+def export_all(datasets: dict[str, DataFrame], folder: str, kind: str = "csv") -> dict[str, str | None]:
+    """Several results, each under its name; the paths by name."""
+    return {name: export(records, folder, name, kind) for name, records in datasets.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.pipeline import PARSERS, Pipeline
 from ..sources.documents import Decoder, read_output
+from ..sources.shared import remove
 
 #: Formats that a job can write.
 FORMATS = ("csv", "json")
@@ -79,9 +80,7 @@ class JobManager:
         with self.lock:
             job = self.jobs.pop(key)
         if job.output:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(job.output)
-            target.getFileSystem(conf).delete(target, True)
+            remove(self.spark, job.output)
 
     def preview(self, key: str, limit: int = 20) -> DataFrame:
         """The first rows of a completed job's output, without internal columns."""

@@ -5,12 +5,14 @@ Files should be moved into the folder when they are complete, as a file is read
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import Pipeline
 from ..sources.documents import BINARY, DocumentSource, decoded, numbered_files
+from ..sources.shared import materialize
 
 
 def file_stream(spark: SparkSession, source: DocumentSource) -> DataFrame:
@@ -18,17 +20,26 @@ def file_stream(spark: SparkSession, source: DocumentSource) -> DataFrame:
     return reader.option("pathGlobFilter", source.pattern).load(source.path)
 
 
+def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, interval: str = "2 seconds") -> StreamingQuery:
+    """Hand each micro-batch and its number to ``write``, which must make a repeated batch take its own place. ``once``: what is there, then end."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
+def into(output: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch as a partition of a Parquet table."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch={number}")
+
+
 def watch_folder(
     spark: SparkSession, source: DocumentSource, output: str, checkpoint: str, pipeline: Pipeline | None = None, once: bool = False, interval: str = "2 seconds",
 ) -> StreamingQuery:
-    """Append each new file's records to a Parquet table; files that fail are in ``<output>-errors``. ``once``: what is there, then end."""
+    """Append each new file's records to a Parquet table; files that fail are in ``<output>-errors``. A file is decoded once."""
     pipeline = pipeline or Pipeline(lineage=True)
 
     def one(batch: DataFrame, number: int) -> None:
-        docs = numbered_files(decoded(batch.select("path", "content"), source.decode)).withColumn("batch", F.lit(number))
-        target = f"{output.rstrip('/')}/batch={number}"  # a batch that is repeated after a failure takes its own place
-        pipeline.records(docs.drop("batch")).write.mode("overwrite").parquet(target)
-        docs.where("error IS NOT NULL").select("path", "error").write.mode("overwrite").parquet(f"{output.rstrip('/')}-errors/batch={number}")
+        docs = numbered_files(materialize(decoded(batch.select("path", "content"), source.decode), "decoded"))
+        into(output)(pipeline.records(docs), number)
+        into(f"{output.rstrip('/')}-errors")(docs.where("error IS NOT NULL").select("path", "error"), number)
 
-    writer = file_stream(spark, source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    return ingest(file_stream(spark, source), one, checkpoint, once, interval)
