@@ -1,11 +1,12 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Edits are counted in words. An item of n words is found in a document if n consecutive words there (fewer at the
-document's end) are within a fifth of n edits. Of n words with at most k edits, one of k + 1 segments is left intact and at
+Edits are counted in words. An item of n words is found in a document if consecutive words there, as many as may be, are
+within a fifth of n edits; the LSH sees windows of n words, and the verification lets a window end where it fits best. Of n words with at most k edits, one of k + 1 segments is left intact and at
 least n - k words remain; windows that fail either test can't match, and are dropped before they are embedded. The CGK walk
 embeds item and window with the same random bits: at each of 3n steps it writes the word it stands at, and moves on or
 stays as the bit for this step and word says. So edits become differing symbols. A repetition samples a few steps of a
 walk of its own; windows that agree with the item there, in any repetition, are candidates, and their distance is verified.
+The walk's bits depend on step and word alone, so that items and windows of any width are embedded alike, widest together.
 """
 
 from __future__ import annotations
@@ -18,37 +19,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, chunks, fixed64, mix, span_hash
+from .common import Texts, chunks, fixed64, materialize, mix, span_hash
 
 #: Repetitions and sampled steps. Measured on windows with a fifth of their words edited, 24 repetitions find over 0.99.
 REPEATS, SAMPLES = 24, 2
+#: Samples are of the steps that the first so many words take: walks through more edits than these hold part for good.
+WALKED = 48
 #: Items that are sent to all tasks at once; a larger benchmark takes a pass over the documents for each block.
 ITEMS = 20_000
+#: Words of windows that are embedded at once; a wider window is embedded alone.
+CELLS = 1 << 20
 _PAD = np.uint64(1)
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    """Levenshtein distance of two sequences, with a column of the table in the bits of an integer."""
+def edit_distance(a: list[int], b: list[int], free: bool = False) -> int:
+    """Levenshtein distance of two sequences, with a column of the table in the bits of an integer; ``free``: to the nearest beginning of b."""
     if not a or not b:
-        return len(a) + len(b)
+        return len(a) + (0 if free else len(b))
     where: dict[int, int] = defaultdict(int)
     for i, x in enumerate(a):
         where[x] |= 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, distance = full, 0, len(a)
+    plus, minus, distance, least = full, 0, len(a), len(a)
     for y in b:
         eq = where.get(y, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
         distance += bool(up & top) - bool(down & top)
+        least = min(least, distance)
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(diagonal | up)), up & diagonal
-    return distance
+    return least if free else distance
+
+
+def by_width(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in parts of similar width, each of CELLS words at most when padded, or one row."""
+    order = np.argsort(sizes, kind="stable")
+    while len(order):
+        fits = np.flatnonzero(np.arange(1, len(order) + 1) * sizes[order] > CELLS)
+        cut = max(int(fits[0]), 1) if len(fits) else len(order)
+        yield order[:cut]
+        order = order[cut:]
 
 
 def embed(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """CGK signatures, one for each repetition and window. ``windows``: word hashes, padded; ``sizes``: items' words."""
-    bits = fixed64(REPEATS * 3 * windows.shape[1], seed).reshape(REPEATS, -1)
+    """CGK signatures, one for each repetition and window. ``windows``: word hashes, padded; ``sizes``: items' words.
+
+    Of a window no more than its first 3 x WALKED words are needed.
+    """
+    sizes = np.minimum(sizes, WALKED)
+    bits = np.stack([fixed64(3 * windows.shape[1], seed + 1_000_003 * (r + 1)) for r in range(REPEATS)])
     pick = fixed64(REPEATS * SAMPLES, seed + 1).reshape(REPEATS, SAMPLES)
     steps = (pick[:, :, None] % (3 * sizes.astype(np.uint64))[None, None, :]).astype(np.int64)  # repetition, sample, window
     place = np.zeros((REPEATS, len(windows)), np.int64)
@@ -66,12 +86,12 @@ def embed(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
 class Index:
     """Items of a block: words, edits allowed, and segments by length."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, min_words: int):
-        t = Texts(pa.array([x for _, x in items], pa.string())).lower_ascii().words()
+    def __init__(self, items: list[tuple[int, str, int]], share: float, min_words: int):
+        t = Texts(pa.array([x for _, x, _ in items], pa.string())).lower_ascii().words()
         words = t.hashes()
         self.items = []
         segments = defaultdict(list)
-        for (name, _), a, b in zip(items, t.first[:-1], t.first[1:]):
+        for (name, _, times), a, b in zip(items, t.first[:-1], t.first[1:]):
             if b - a < min_words:
                 continue
             edits = int((b - a) * share + 1e-9)
@@ -79,8 +99,7 @@ class Index:
             for x, y in zip(cut[:-1], cut[1:]):
                 size = min(y - x, 4)
                 segments[size].append((int(span_hash(words[a:b], np.array([x]), np.array([x + size]))[0]), len(self.items), x))
-            self.items.append((name, words[a:b], edits))
-        self.widest = max((len(w) for _, w, _ in self.items), default=0)
+            self.items.append((name, words[a:b], edits, times))
         self.segments = {}
         for size, found in segments.items():
             found.sort()
@@ -89,12 +108,15 @@ class Index:
             maybe[code >> np.uint64(44)] = True
             self.segments[size] = code, np.array([f[1] for f in found]), np.array([f[2] for f in found]), maybe
         if self.items:
-            padded = np.full((len(self.items), self.widest), _PAD)
-            for i, (_, w, _) in enumerate(self.items):
-                padded[i, : len(w)] = w
-            self.sizes = np.array([len(w) for _, w, _ in self.items])
-            self.edits = np.array([e for _, _, e in self.items])
-            self.signs = np.concatenate([embed(padded[a : a + 2048], self.sizes[a : a + 2048], 5) for a in range(0, len(padded), 2048)], axis=1)
+            self.sizes = np.array([len(x[1]) for x in self.items])
+            self.edits = np.array([x[2] for x in self.items])
+            self.signs = np.zeros((REPEATS, len(self.items)), np.uint64)
+            needed = np.minimum(self.sizes, 3 * WALKED)
+            for rows in by_width(needed):
+                padded = np.full((len(rows), needed[rows].max()), _PAD)
+                for k, i in enumerate(rows):
+                    padded[k, : needed[i]] = self.items[i][1][: needed[i]]
+                self.signs[:, rows] = embed(padded, self.sizes[rows], 5)
 
     def hits(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items with their texts, and word positions where an item may begin there, from intact segments."""
@@ -124,10 +146,11 @@ class Index:
         keep = []
         for i in np.unique(item):  # at least n - k of the item's words stand near
             own = np.flatnonzero(item == i)
-            _, w, k = self.items[i]
+            _, w, k, _ = self.items[i]
             known = np.unique(w)
-            for s in range(0, len(own), 4096):
-                r = own[s : s + 4096]
+            step = max(1, min(4096, 4 * CELLS // (len(w) + 2 * k)))
+            for s in range(0, len(own), step):
+                r = own[s : s + step]
                 at = start[r][:, None] + np.arange(-k, len(w) + k)[None, :]
                 inside = (at >= first[text[r]][:, None]) & (at < first[text[r] + 1][:, None])
                 got = words[np.clip(at, 0, len(words) - 1)]
@@ -136,23 +159,26 @@ class Index:
         keep = np.concatenate(keep)
         if not len(keep):
             return
+        keep.sort()  # again by item, text and start
         item, text, start = item[keep], text[keep], start[keep]
         k = self.edits[item]
-        many = 2 * k + 1
+        again = np.r_[False, (item[1:] == item[:-1]) & (text[1:] == text[:-1])]
+        many = np.where(again, np.minimum(2 * k + 1, start - np.r_[start[:1], start[:-1]]), 2 * k + 1)  # starts that no earlier hit has named
         which = np.repeat(np.arange(len(item)), many)
-        shift = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) - np.repeat(k, many)
-        item, text, start = item[which], text[which], start[which] + shift
+        start = np.repeat(start + k - many + 1, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        item, text = item[which], text[which]
         good = (start >= first[text]) & (start + self.sizes[item] - self.edits[item] <= first[text + 1])
-        item, text, start = np.unique(np.stack([item[good], text[good], start[good]]), axis=1)
+        item, text, start = item[good], text[good], start[good]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for s in range(0, len(item), 2048):
-            i, t, p = item[s : s + 2048], text[s : s + 2048], start[s : s + 2048]
-            at = p[:, None] + np.arange(self.widest)[None, :]
+        needed = np.minimum(self.sizes[item], 3 * WALKED)
+        for rows in by_width(needed):
+            i, t, p = item[rows], text[rows], start[rows]
+            at = p[:, None] + np.arange(needed[rows].max())[None, :]
             stop = np.minimum(p + self.sizes[i], first[t + 1])
             windows = np.where(at < stop[:, None], words[np.minimum(at, len(words) - 1)], _PAD)
             for c in np.flatnonzero((embed(windows, self.sizes[i], 5) == self.signs[:, i]).any(axis=0)):
-                _, w, k = self.items[i[c]]
-                distance = edit_distance(w.tolist(), words[p[c] : stop[c]].tolist())
+                _, w, k, _ = self.items[i[c]]
+                distance = edit_distance(w.tolist(), words[p[c] : min(p[c] + len(w) + k, first[t[c] + 1])].tolist(), free=True)
                 if distance <= k:
                     key, value = (int(t[c]), int(i[c])), (distance, int(p[c] - first[t[c]]))
                     best[key] = min(best.get(key, value), value)
@@ -164,11 +190,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, start (word of the best window), edits: a row for each document row and each item found in it.
 
     Whole texts are searched; A-Z count as lower case. Items of fewer than ``min_words`` words, or null, are not searched
-    for; a text without words, or null, holds none. Rows that repeat, items too, are answered one by one. No documents or
-    no items give no rows. The benchmark is the query set: blocks of ITEMS go to all tasks, one after the other.
+    for; a text without words, or null, holds none. Rows that repeat, items too, are answered one by one; repeated items are
+    searched for once. No documents or no items give no rows. The benchmark is the query set: blocks of ITEMS go to all
+    tasks, one after the other. ``start`` and ``edits`` are of the best window, the first of equally good ones.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[item_text].alias("text")).where("text IS NOT NULL")
+    items = materialize(items.groupBy("item_id", "text").agg(F.count("*").alias("times")), "items")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, edits int"
     kinds = [pa.int32(), pa.int32()]
     blocks = max(1, -(-items.count() // (ITEMS // 2)))  # half full on average, as blocks differ
@@ -187,7 +215,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     of = np.repeat(np.arange(piece.num_rows), np.diff(t.first))
                     found = sorted(index.search(t.hashes(), t.first, of))
                     if found:
-                        text, item, start, edits = zip(*found)
+                        text, item, start, edits = zip(*(f for f in found for _ in range(index.items[f[1]][3])))
                         names = pa.array([index.items[i][0] for i in item])
                         yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(text)), names, pa.array(start, kinds[0]), pa.array(edits, kinds[1])], ["doc_id", "item_id", "start", "edits"])
 
