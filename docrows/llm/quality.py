@@ -1,9 +1,12 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model's symbols are bytes of UTF-8, its order is 5, and an n-gram is its bytes as a whole number. Counts, continuation
-counts, discounts and probabilities are sums and joins on n-grams, sharded by Spark. To score texts, the finished model is
-sent to the tasks in shards of bounded size, by the byte before the predicted one, so that all that a position needs is in
-one shard; sums over shards give a document's perplexity. It is compared with a quantile of its language's trusted texts.
+counts, discounts and probabilities are count joins on n-grams, sharded by Spark. Scoring by such joins would send each
+document's distinct n-grams, which are 3.5 times its text (README); so the finished model is sent to the tasks instead, in
+shards by the two bytes before the predicted one, so that all that a position needs is in one shard. A shard has SHARD rows
+at most, besides the rows of a single pair of bytes and those of the shortest n-grams, of which there are 2^17; the number
+of shards grows with the model. Sums over shards give a document's perplexity. It is compared with a quantile of its
+language's trusted texts.
 """
 
 from __future__ import annotations
@@ -93,7 +96,7 @@ def train(texts: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """A part of the model as sorted arrays. ``bytes``: the previous bytes that it serves."""
+    """A part of the model as sorted arrays. ``served``: for each two previous bytes, as a number, whether it serves them."""
 
     def __init__(self, rows: pa.Table, served: np.ndarray):
         kind, size = np.array(rows.column("kind").to_pylist()), rows.column("size").to_numpy()
@@ -133,21 +136,24 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str =
 
     A model of over SHARD rows takes a pass over the texts for each shard; the passes follow one another in one task.
     """
-    previous = F.when((F.col("kind") == "p") & (F.col("size") >= 2), F.shiftright("gram", 8)).when((F.col("kind") == "b") & (F.col("size") >= 1), F.col("gram"))
-    per = {r["b"]: r["count"] for r in model.select(previous.bitwiseAND(F.lit(255)).alias("b")).where("b IS NOT NULL").groupBy("b").count().collect()}
-    shards, filled = [[]], 0
-    for b in range(256):
-        if filled + per.get(b, 0) > SHARD and shards[-1]:
-            shards.append([])
+    previous = F.when((F.col("kind") == "p") & (F.col("size") >= 3), F.shiftright("gram", 8)).when((F.col("kind") == "b") & (F.col("size") >= 2), F.col("gram"))
+    pair = previous.bitwiseAND(F.lit(0xFFFF))
+    per = np.zeros(1 << 16, np.int64)
+    for r in model.select(pair.alias("b")).where("b IS NOT NULL").groupBy("b").count().collect():  # 65,536 rows at most
+        per[r["b"]] = r["count"]
+    shards, filled = [0], 0  # where each begins
+    for b, n in enumerate(per.tolist()):
+        if filled and filled + n > SHARD:
+            shards.append(b)
             filled = 0
-        shards[-1].append(b)
-        filled += per.get(b, 0)
+        filled += n
     everywhere = previous.isNull()
     out, sums = docs, "__log_sum"
     out = out.withColumn(sums, F.lit(0.0))
-    for part in shards:
-        rows = model if len(shards) == 1 else model.where(everywhere | previous.bitwiseAND(F.lit(255)).isin(part))
-        shared = docs.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), np.isin(np.arange(256), part)))
+    for low, high in zip(shards, [*shards[1:], 1 << 16]):
+        rows = model if len(shards) == 1 else model.where(everywhere | pair.between(low, high - 1))
+        own = np.arange(1 << 16)
+        shared = docs.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), (own >= low) & (own < high)))
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared, whole=len(shards) == 1) -> Iterator[pa.RecordBatch]:
             shard = shared.value
@@ -155,7 +161,7 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str =
                 for piece in chunks(batch, text_col):
                     code, of, size = grams(Texts(piece.column(text_col)))
                     if not whole:
-                        own = shard.served[(code >> np.uint64(8)) & np.uint64(255)]
+                        own = shard.served[((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
                         code, of = code[own], of[own]
                     got = np.bincount(of, weights=shard.score(code), minlength=len(size)) if len(code) else np.zeros(len(size))
                     yield piece.set_column(piece.num_columns - 1, sums, pa.array(piece.column(piece.num_columns - 1).to_numpy() + got))
