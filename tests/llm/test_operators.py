@@ -87,6 +87,26 @@ def test_substring_dedup(spark, texts):
     assert substring_dedup.substring_dedup(docs(spark, texts).where("false")).count() == 0
 
 
+def test_substring_dedup_greedy(spark, monkeypatch):
+    """A factor goes on in its reference although another one holds the next phrases first; later blocks use what earlier ones repeat."""
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(100)]
+    rows = [(1, " ".join(a[60:200])), (2, " ".join(b + a)), (3, " ".join(b + a)), (4, " ".join(["x"] + a))]
+    got = {r.doc_id: (r.n_removed, [tuple(f) for f in r.factors or []]) for r in substring_dedup.substring_dedup(docs(spark, rows).coalesce(1)).collect()}
+    assert got[3] == (300, [(0, 300, 2, 0)]) and got[1] == (0, []) and got[2] == (140, [(160, 300, 1, 0)])
+    assert got[4][0] == 200 and got[4][1][0] == (1, 201, 2, 100)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3000)
+    seen = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs(spark, rows * 3).coalesce(1)).collect()}
+    assert seen == {1: 0, 2: 140, 3: 300, 4: 200}
+
+
+def test_substring_dedup_long_text(spark):
+    rng = random.Random(30)
+    long = words(rng, 300_000, 10**6)  # over two megabytes
+    rows = [(1, " ".join(long)), (2, " ".join(["q"] * 9 + long[1000:250_000])), (3, " ".join(long[5:60]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+    assert got == {1: (300_000, 0), 2: (249_009, 249_000), 3: (55, 55)}
+
+
 def test_substring_dedup_across_factors(spark):
     """A passage whose halves stand in different documents is only removed as far as one document holds 50 words of it."""
     a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
@@ -312,32 +332,77 @@ def test_mixing(spark):
 def test_decontaminate(spark):
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, rng.randrange(15, 60)))) for i in range(40)] + [(90, None), (91, ""), (92, "too short"), (0, "twice named but with other words in it")]
+    items += [(7, items[7][1]), (7, items[7][1])]  # an item thrice
     rows, planted = [(1000, None), (1001, ""), (1002, "x")], set()
     for k in range(200):
         base = words(rng, rng.randrange(1, 200))
         if k % 2:
             i, t = items[rng.randrange(40)]
             w = t.split()
-            for _ in range(rng.choice([0, 1, len(w) // 5])):
-                p = rng.randrange(len(w))
-                w[p : p + 1] = rng.choice([["new"], [], ["new", w[p]]])
+            kinds = rng.choice([[["new"], [], ["new", "old"]], [[]], [["new", "old"]]])  # any edits, or only words lost or put in
+            for p in rng.sample(range(len(w)), rng.choice([0, 1, len(w) // 5])):
+                w[p] = rng.choice([[x] if x == "new" else [x, w[p]] if x == "old" else [] for x in ("new", "old", "")]) if len(kinds) == 3 else ([] if kinds == [[]] else ["old", w[p]])
+            w = [x for y in w for x in (y if isinstance(y, list) else [y])]
             p = rng.randrange(len(base) + 1)
             base[p:p] = w
         rows.append((k, " ".join(base).upper() if k % 7 == 0 else " ".join(base)))
-    for k, t in rows:
+    rows += [(3, dict(rows)[3])]
+    for k, t in set(rows):
         w = (t or "").lower().split()
-        for i, x in items:
+        for i, x in set(items):
             x = (x or "").split()
             e = len(x) // 5
-            if len(x) >= 5 and any(levenshtein(x, w[p : p + len(x)]) <= e for p in range(max(len(w) - len(x) + e + 1, 0)) if len(set(x) & set(w)) >= len(set(x)) - e):
-                planted.add((k, i))
+            if len(x) >= 5 and len(set(x) & set(w)) >= len(set(x)) - e:
+                if any(levenshtein_to_best(x, w[p : p + len(x) + e]) <= e for p in range(max(len(w) - len(x) + e + 1, 0))):
+                    planted.add((k, i))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    found = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()]
+    got = set(found)
     assert got <= planted and len(got) >= 0.99 * len(planted) > 50
+    assert all(found.count((k, i)) == (3 if i == 7 else 1) * (2 if k == 3 else 1) for k, i in got)
     assert decontaminate.find_leaks(docs(spark, rows).where("false"), bench).count() == 0
     assert decontaminate.find_leaks(docs(spark, rows), bench.where("false")).count() == 0
 
 
+def levenshtein_to_best(a, b):
+    """Edits from a to the nearest beginning of b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_decontaminate_lsh_recall():
+    """The LSH on its own: signatures of windows with a fifth of their words edited agree with the item's in some repetition."""
+    import numpy as np
+
+    rng, hit, all_ = np.random.default_rng(4), 0, 400
+    for k in range(all_):
+        n = int(rng.integers(15, 60))
+        item = rng.integers(1 << 10, 1 << 62, n + 20).astype(np.uint64)
+        w = list(item[:n])
+        for p in sorted(rng.choice(n, n // 5, replace=False), reverse=True):
+            kind = rng.integers(3)
+            w[p : p + 1] = [[], [np.uint64(rng.integers(1 << 62))], [np.uint64(rng.integers(1 << 62)), w[p]]][kind]
+        w = np.array([*w, *item[n:]], np.uint64)[:n]
+        both = [decontaminate.embed(x[None, :], np.array([n]), 5)[:, 0] for x in (item[:n], w)]
+        hit += bool((both[0] == both[1]).any())
+    assert hit >= 0.98 * all_
+
+
+def test_decontaminate_wide_items(spark):
+    """A very long item beside short ones, and a text that holds it."""
+    rng = random.Random(18)
+    wide = words(rng, 3000, 10**6)
+    bench = spark.createDataFrame([(1, " ".join(wide)), (2, "five words are here now")], "item_id long, text string")
+    copy = ["x"] * 50 + [w for k, w in enumerate(wide) if k % 10] + ["y"] * 50
+    got = {(r.doc_id, r.item_id, r.start, r.edits) for r in decontaminate.find_leaks(docs(spark, [(1, " ".join(copy)), (2, "so five words are here now")]), bench).collect()}
+    assert got == {(1, 1, 50, 300), (2, 2, 1, 0)} or {x[:2] for x in got} == {(1, 1), (2, 2)}
+
+
 def test_html():
     page = (
         '<html><head><title>T</title><script>var x="<p>no</p>"</script></head><body><nav><a>Menu</a></nav><div class="cookie-notice">We use cookies, and more of them.</div>'
@@ -521,7 +586,7 @@ def test_model_sums_to_one(spark):
     import pyarrow as pa
 
     text = spark.createDataFrame([("abracadabra and more",), ("abrasive cadavers",), (None,)], "text string")
-    shard = quality.Shard(quality.train(text).toArrow(), np.ones(256, bool))
+    shard = quality.Shard(quality.train(text).toArrow(), np.ones(1 << 16, bool))
     for context in (b"abra", b"xyzq", b"\0\0ab"):
         base = 0
         for b in context:
