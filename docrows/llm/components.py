@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: A node with over this share of all links, and over so many, is a hub. There are 2 / SHARE hubs at most.
-SHARE, LINKS = 1e-3, 500
+SHARE, LINKS = 1e-3, 50_000
 
 
-def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, most: int | None) -> DataFrame:
     """Link each node's neighbours that are larger (large star), or itself and its smaller ones (small star), to the least.
 
     The least neighbours of hubs, which have over ``most`` links, are broadcast, so that a hub's links stay where they are.
+    Where ``most`` is None there can't be one.
     """
     e = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
     far = e.where("v > u") if large else e
-    hubs = F.broadcast(least.where(F.col("n") > most))
     at = F.col("u") == F.col("w")
-    linked = far.join(hubs, at).unionByName(far.join(hubs, at, "left_anti").join(least.where(F.col("n") <= most), at))
+    if most is None:
+        linked = far.join(least, at)
+    else:
+        hubs = F.broadcast(least.where(F.col("n") > most))
+        linked = far.join(hubs, at).unionByName(far.join(hubs, at, "left_anti").join(least.where(F.col("n") <= most), at))
     linked = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
@@ -37,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-        most = max(LINKS, int(now[0] * SHARE))
+        most = max(LINKS, int(now[0] * SHARE)) if 2 * now[0] > LINKS else None
         edges = materialize(_star(_star(edges, True, most), False, most), "links")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
