@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,32 +12,39 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove, shared_dir
+
 #: The white space between words; everything else belongs to a word.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may go without."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="docrows-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+_made: list[str] = []  # tables that this session has written and not deleted
+
 
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+    ``keep``: it is a result, and stays when ``own_tables`` deletes what was written on the way to it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docrows/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docrows/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written in this block, but for those to keep, are deleted at its end; what is read from them must be written by then."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[mark:]:
+            remove(spark, path)
+        del _made[mark:]
 
 
 def word_count(text: Column) -> Column:

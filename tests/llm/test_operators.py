@@ -287,6 +287,8 @@ def test_chat_round_trip(spark):
         assert len([s for s in got[c].segments if s.loss]) == len([1 for r, _ in want if r == "assistant"])
     assert "</s>[INST] ok" not in got[0].formatted
     assert chat_format.format_chats(log.where("false")).count() == 0
+    extra = log.selectExpr("*", "1 AS log", "2 AS back", "3 AS b_conv", "4 AS formatted", "5 AS segments", "6 AS m")  # names that clash
+    assert {r.conv_id: r.formatted for r in chat_format.format_chats(extra).collect()} == {k: r.formatted for k, r in got.items()}
 
 
 def test_chat_events(spark):
@@ -552,7 +554,7 @@ def test_quality(spark, monkeypatch):
     whole = {r.doc_id: r for r in quality.classify(docs(spark, rows), labels).collect()}
     assert {i for i, r in whole.items() if r.rejected} == {i for i in range(0, 500, 10)}
     assert whole[900].perplexity is None and not whole[900].rejected and not whole[901].rejected
-    monkeypatch.setattr(quality, "SHARD", 20)  # many shards give the same scores
+    monkeypatch.setattr(quality, "SHARD", 300)  # many shards give the same scores
     parts = {r.doc_id: r for r in quality.classify(docs(spark, rows), labels).collect()}
     apart = {i: (r.perplexity, parts[i].perplexity) for i, r in whole.items() if r.perplexity and parts[i].perplexity != pytest.approx(r.perplexity)}
     assert apart == {}
@@ -560,6 +562,80 @@ def test_quality(spark, monkeypatch):
     assert quality.classify(docs(spark, rows).where("false"), labels).count() == 0
 
 
+class PlainModel:
+    """The n-gram model by its definition, with dicts: counts, continuation counts, discounts, interpolation."""
+
+    def __init__(self, texts):
+        from collections import Counter, defaultdict
+
+        counts = {5: Counter(self.grams(t)[i] for t in texts for i in range(len(t)))}
+        for k in (4, 3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        self.p, self.left = {0: {b"": 1 / 256}}, {}
+        for k in range(1, 6):
+            n1, n2, n3, n4 = (sum(1 for n in counts[k].values() if n == i) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0
+            off = [min(max(i - (i + 1) * y * b / a, 0.1), i) if a and n1 else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+            total, freed = defaultdict(int), defaultdict(float)
+            for g, n in counts[k].items():
+                total[g[:-1]] += n
+                freed[g[:-1]] += off[min(n, 3) - 1]
+            self.left[k - 1] = {c: freed[c] / total[c] for c in total}
+            self.p[k] = {g: (n - off[min(n, 3) - 1]) / total[g[:-1]] + self.left[k - 1][g[:-1]] * (self.p[k - 1][g[1:]] if k > 1 else 1 / 256) for g, n in counts[k].items()}
+
+    @staticmethod
+    def grams(t):
+        return [(b"\0" * 4 + t)[i : i + 5] for i in range(len(t))]
+
+    def mean_log(self, t):
+        import math
+
+        total = 0.0
+        for g in self.grams(t):
+            for k in (5, 4, 3, 2, 1, 0):
+                x = g[5 - k :]
+                if x in self.p[k] or k == 0:
+                    total += math.log(self.p[k][x] if k else 1 / 256)
+                    break
+                total += math.log(self.left[k - 1].get(x[:-1], 1.0))
+        return total / len(t)
+
+
+@pytest.mark.parametrize("shard", [None, 4000])
+def test_quality_against_plain_model(spark, monkeypatch, shard):
+    """Perplexities and limits by language, one with a limit of its own and one that shares that of all; repeated rows, a very long text."""
+    import math
+    import zlib
+
+    if shard:
+        monkeypatch.setattr(quality, "SHARD", shard)
+    rng = random.Random(23)
+    sound = {"aa": "ka lo mi ra ten sul".split(), "bb": "ñu ör est vin".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(sound[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, make("bb" if i % 12 == 0 else "aa", rng.randrange(3, 25)), "bb" if i % 12 == 0 else "aa") for i in range(700)]
+    rows += [(1000, "!?%$ 0123 " * 30, "aa"), (1001, make("aa", 40), None), (1002, "x" * 300, "bb"), (1003, make("aa", 12000), "aa"), (5, rows[5][1], "aa"), (1004, None, "aa")]
+    trusted = set(range(600))
+    aside = lambda i: zlib.crc32(str(i).encode()) % 4 == 3
+    model = PlainModel([t.encode() for i, t, _ in rows if i in trusted and not aside(i)])
+    log = {t: model.mean_log(t.encode()) for _, t, _ in rows if t and len(t) < 5000}
+    held = [(lang, log[t], len(t.encode())) for i, t, lang in rows if i in trusted and aside(i)]
+    mean = lambda some: sum(x * n for _, x, n in some) / sum(n for _, _, n in some)
+    own = {"aa": mean([h for h in held if h[0] == "aa"])}
+    assert len([h for h in held if h[0] == "aa"]) >= 100 and len([h for h in held if h[0] == "bb"]) < 50
+    ppl = lambda lang, x, n: math.exp(-(x * n + own.get(lang, mean(held)) * 300) / (n + 300))
+    at = lambda values: sorted(values)[math.ceil(0.995 * len(values)) - 1]
+    limit = {"aa": at([ppl(*h) for h in held if h[0] == "aa"])}
+    every = at([ppl(*h) for h in held])
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs(spark, [r[:2] for r in rows], langs=[r[2] for r in rows]), labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.text and len(r.text) < 5000:
+            want = ppl(r.lang, log[r.text], len(r.text.encode()))
+            assert r.perplexity == pytest.approx(want, rel=1e-6) and r.limit == pytest.approx(limit.get(r.lang, every), rel=1e-6) and r.rejected == (r.perplexity > r.limit)
+    assert {r.doc_id for r in got if r.rejected} >= {1000, 1002} and not any(r.rejected for r in got if r.doc_id in (1003, 1004))
+
+
 def test_quality_limit_has_no_margin(spark):
     """The limit is the quantile of the rows kept aside, so that junk of repeated words just above it is rejected."""
     from pyspark.sql import functions as F
