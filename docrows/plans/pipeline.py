@@ -59,6 +59,9 @@ class Pipeline:
 
     def parse(self, docs: DataFrame) -> DataFrame:
         """Normal, validated records of all documents, before duplicates go. No text is shuffled."""
+        return self._checked(self._parsed(docs))
+
+    def _parsed(self, docs: DataFrame) -> DataFrame:
         docs = extracted(docs)
         if self.parser in (None, "auto"):
             docs = with_document_type(docs, self.config.terms())
@@ -74,12 +77,16 @@ class Pipeline:
         out = normalize(out, c.date_formats, c.date_output, True, c.normalize_unicode, c.lowercase_headers)
         keep_all = replace(c.validation, on_error="skip" if c.validation.on_error == "skip" else "warn")
         out = validate(out, keep_all, {name: c.rules_of(name) for name in names})
+        if self.lineage:
+            out = out.withColumn("entries", F.concat("entries", F.array(entry("_source_file", text_cell(F.col("source_file"))))))
+        return out
+
+    def _checked(self, out: DataFrame) -> DataFrame:
+        """The same records; too many errors stop the run where the configuration says so."""
         if self.config.validation.on_error == "fail" and self.config.validation.enabled:
             n = out.agg(F.sum(F.size("errors"))).first()[0] or 0
             if n > self.config.validation.max_errors:
                 raise ValueError(f"{n} validation errors; at most {self.config.validation.max_errors} are allowed")
-        if self.lineage:
-            out = out.withColumn("entries", F.concat("entries", F.array(entry("_source_file", text_cell(F.col("source_file"))))))
         return out
 
     def records(self, docs: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ class Pipeline:
         Documents are parsed once: the parsed records are a table of the shared folder, from which the records, the counters
         and the output are taken.
         """
-        parsed = materialize(self.parse(docs), "parsed")
+        parsed = self._checked(materialize(self._parsed(docs), "parsed"))
         records = deduplicate(parsed, self.config.key_columns, self.config.keep) if self.config.deduplicate else parsed
         records, path = materialize(records, "records"), None
         if folder is not None:
