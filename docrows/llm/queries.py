@@ -40,7 +40,7 @@ SELECT doc_id, source, size, source_size, round(target, 4) AS target,
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), short_exact=True)
     return out.select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
         F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
@@ -50,10 +50,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS w, coalesce(text, '') AS text FROM documents),
 o AS (SELECT doc_id, unnest(range(0, len(w))) AS n, unnest(w) AS line FROM s),
-k AS (SELECT * FROM o WHERE length(line) >= 20),
+k AS (SELECT * FROM o WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (SELECT line, length(line) AS l, min({'d': doc_id, 'n': n}) AS first FROM k GROUP BY line),
 p AS (SELECT a.line, min(b.first) AS first FROM d a JOIN d b ON b.l BETWEEN a.l - 2 AND a.l + 2 AND a.line <> b.line
-      WHERE levenshtein(a.line, b.line) <= 2 GROUP BY a.line),
+      WHERE least(a.l, b.l) >= 20 AND levenshtein(a.line, b.line) <= 2 GROUP BY a.line),
 f AS (SELECT d.line, least(d.first, coalesce(p.first, d.first)) AS first FROM d LEFT JOIN p ON d.line = p.line),
 r AS (SELECT k.doc_id, list(k.n) AS gone FROM k JOIN f ON k.line = f.line WHERE f.first < {'d': k.doc_id, 'n': k.n} GROUP BY k.doc_id)
 SELECT s.doc_id, (CASE WHEN text = '' THEN 0 ELSE len(w) END)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
