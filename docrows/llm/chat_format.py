@@ -7,7 +7,6 @@ appends to it, and ``regenerate`` takes back the turn and all later ones as far
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The template's marks (role: opening, closing), and the opening parts of turns with any other role.
