@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Texts, chunks, fixed64, materialize, mix, span_hash
 
-#: Repetitions and sampled steps. Measured on windows with a fifth of their words edited, 24 repetitions find over 0.99.
-REPEATS, SAMPLES = 24, 2
+#: Repetitions and sampled steps. Measured on windows with a fifth of their words edited, 32 repetitions find over 0.99.
+REPEATS, SAMPLES = 32, 2
 #: Samples are of the steps that the first so many words take: walks through more edits than these hold part for good.
 WALKED = 48
 #: Items that are sent to all tasks at once; a larger benchmark takes a pass over the documents for each block.
