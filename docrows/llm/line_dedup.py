@@ -72,10 +72,12 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
 
 
-def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, fp (hash of the row's text), line_no (from 0), line and its 128-bit name, of lines that have ``min_chars`` code points and an id."""
+def lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """doc_id, fp (hash of the row's text), line_no (from 0), line and its 128-bit name, of rows with an id: lines of
+    ``min_chars`` code points, and with ``short`` shorter ones that hold a word."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.length("line") >= min_chars).select("doc_id", "fp", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    long = F.length("line") >= min_chars
+    return rows.where(long | F.col("line").rlike(WORD) if short else long).select("doc_id", "fp", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _segment(length: Column, i: int, edits: int, shift: int) -> Column:
@@ -157,15 +159,15 @@ def late_in_groups(group: DataFrame, text: DataFrame, edits: int) -> DataFrame:
     return found.unionByName(materialize(more, "late"))
 
 
-def near_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, edits: int, min_chars: int, short: bool = False) -> DataFrame:
     """h1, h2, first_doc, first_line of each line that has to go somewhere: its own first place if only later repeats go, or nulls if all do."""
-    every = lines(docs, min_chars)
+    every = lines(docs, min_chars, short)
     repeated = (
         every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"))
         .where("times > 1").select("h1", "h2", "first")
     )
     repeated = materialize(repeated, "repeated")
-    own = every.join(_few(repeated), ["h1", "h2"], "left").where("first IS NULL OR first = struct(doc_id, line_no)").select("doc_id", "line_no", "line", "h1", "h2")
+    own = every.where(F.length("line") >= min_chars).join(_few(repeated), ["h1", "h2"], "left").where("first IS NULL OR first = struct(doc_id, line_no)").select("doc_id", "line_no", "line", "h1", "h2")
 
     met = _probes(own, edits, min_chars).join(_index(own, edits), F.col("p_key") == F.col("key")).where("NOT own OR lines > 1")
     met = materialize(met.drop("p_key"), "met")
@@ -204,13 +206,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("n_lines", "removed", "kept_text")
     rows = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].alias("text"))
     later = "first_doc IS NULL OR struct(first_doc, first_line) < struct(doc_id, line_no)"
-    firsts = materialize(near_lines(rows, edits, min_chars), "firsts")
-    gone = lines(rows, min_chars).join(_few(firsts), ["h1", "h2"]).where(later)
-    if short_exact:  # edits would join unlike short lines, so only equal ones meet
-        short = lines(rows, 1).where((F.length("line") < min_chars) & F.col("line").rlike(WORD))
-        first = short.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times")).where("times > 1")
-        first = materialize(first.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")), "short-firsts")
-        gone = gone.unionByName(short.join(_few(first), ["h1", "h2"]).where(later))
+    firsts = materialize(near_lines(rows, edits, min_chars, short_exact), "firsts")  # edits would join unlike short lines, so only equal ones meet
+    gone = lines(rows, min_chars, short_exact).join(_few(firsts), ["h1", "h2"]).where(later)
     gone = gone.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     gone = materialize(gone.withColumnsRenamed({"doc_id": "__id", "fp": "__fp"}), "removed")
     out = docs.join(_few(gone), (docs[id_col].try_cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__fp")), "left").drop("__id", "__fp")
