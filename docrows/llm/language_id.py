@@ -20,6 +20,8 @@ from .common import chunks, fixed64, materialize
 DIMENSIONS = 1024
 #: Languages whose profiles go to the tasks at once (8 MB for 1,024 dimensions); more take a pass over the texts for each block.
 LANGUAGES = 1000
+#: Length of a prototype in whole numbers.
+SCALE = float(1 << 20)
 _LAST = 0x110000
 
 
@@ -68,12 +70,13 @@ def bundle(texts: list[str | None], dims: int) -> tuple[np.ndarray, np.ndarray]:
         kinds, rank = np.unique(tri, return_inverse=True)
     v = letter_vectors(alphabet, dims)
     first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    out = np.zeros((len(low), dims), np.float32)
+    exact = np.float32 if size.max(initial=0) < 1 << 24 else np.float64  # whole numbers below 2**24 are exact in either
+    out = np.zeros((len(low), dims))
     for a in range(0, len(kinds), 4096):  # a bounded block of trigrams at a time
         t = kinds[a : a + 4096]
         here = (rank >= a) & (rank < a + 4096) if len(kinds) > 4096 else slice(None)
         count = np.bincount(of[here] * len(t) + (rank[here] - a), minlength=len(low) * len(t)).reshape(len(low), len(t))
-        out += count.astype(np.float32) @ (first[t // (k * k)] * second[t // k % k] * v[t % k])
+        out += count.astype(exact) @ (first[t // (k * k)] * second[t // k % k] * v[t % k]).astype(exact, copy=False)
     return out, has
 
 
@@ -97,7 +100,7 @@ def learn_profiles(docs: DataFrame, learn: Column, text_col: str = "text", lang_
                 vectors, _ = bundle(part.column("text").to_pylist(), dims)
                 langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs):
-                    total[lang] = total.get(lang, 0) + vectors[langs == lang].astype(np.float64).sum(axis=0)
+                    total[lang] = total.get(lang, 0) + vectors[langs == lang].sum(axis=0)
                 if len(total) > LANGUAGES:
                     yield out()
                     total.clear()
@@ -117,7 +120,9 @@ def identify_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_i
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Of equal cosines the
     first language by code point wins. Whole texts count; rows that repeat are answered one by one. No rows give no rows.
-    Each block of LANGUAGES profiles takes a pass, which replaces a row's language where it has a larger cosine.
+    Each block of LANGUAGES profiles takes a pass, which replaces a row's language where it has a larger cosine. Prototypes
+    are rounded to whole numbers of length 2**20, so that every product is exact (for texts of under 2**28 letters) and a
+    score depends neither on the block nor on the batch nor on the task that it is computed in.
     """
     low = -2.0  # below any cosine
     kind = docs.schema[id_col].dataType.simpleString()
@@ -126,15 +131,16 @@ def identify_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_i
     while block := list(itertools.islice(learned, LANGUAGES)):
         names = np.array([r["lang"] for r in block], object)
         vectors = np.array([r["v"] for r in block])
-        m = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        m = np.rint(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) * SCALE)
+        length = np.maximum(np.sqrt((m * m).sum(axis=1)), 1)
 
-        def predict(batches: Iterator[pa.RecordBatch], names=names, m=m) -> Iterator[pa.RecordBatch]:
+        def predict(batches: Iterator[pa.RecordBatch], names=names, m=m, length=length) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in _blocks(batch):
                     vectors, has = bundle(part.column("text").to_pylist(), m.shape[1])
-                    cos = (vectors @ m.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                    cos = (vectors @ m.T) / length / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1)
                     best = cos.argmax(axis=1)
-                    value, old = cos[np.arange(len(best)), best].astype(np.float64), part.column("score").to_numpy()
+                    value, old = cos[np.arange(len(best)), best], part.column("score").to_numpy()
                     better = has & (value > old)
                     lang = np.where(better, names[best], np.array(part.column("lang_pred").to_pylist(), object))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(lang, pa.string()), pa.array(np.where(better, value, old))], ["doc_id", "text", "lang_pred", "score"])
