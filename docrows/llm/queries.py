@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, fill_middle, html_extract, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, fill_middle, html_extract, language_id, line_dedup, mixing, near_dedup, quality, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +151,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_rules.quality_ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_policy(ledger, quality_rules.POLICIES["strict"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+e AS (SELECT *, row_number() OVER () AS k FROM d),
+p AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM e WHERE len(w) >= 3),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+r AS (SELECT k, count(DISTINCT i + j) AS n FROM g, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY k),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+             len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣]'))) AS n_bullets,
+             len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
+             len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters,
+             len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words FROM e LEFT JOIN r USING (k)),
+f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 3 * n_words OR word_chars > 10 * n_words)::BIGINT
+                + 8 * (100 * n_symbols > 10 * n_words)::BIGINT + 16 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 32 * (100 * n_bullets > 90 * n_lines)::BIGINT
+                + 64 * (100 * n_ellipses > 30 * n_lines)::BIGINT + 128 * (100 * n_capitals > 30 * n_letters)::BIGINT + 256 * (100 * n_letter_words < 80 * n_words)::BIGINT
+                + 512 * (n_words > 100000)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 511 = 0 AS kept, failed FROM f
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     sha = lambda text: F.sha2(text.cast("binary"), 256)
@@ -185,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_quality_rules": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

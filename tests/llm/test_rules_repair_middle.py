@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docrows.llm import fill_middle
+from docrows.llm import fill_middle, quality_rules
 from tests.llm.test_operators import docs
 
 SPACE, UNIT = r"[\x20\x09-\x0D]", re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -70,3 +70,65 @@ def test_automaton_counts_are_those_of_the_pattern():
         assert np.flatnonzero(found & fill_middle.UNIT).tolist() == starts
         assert int((found & fill_middle.CODE_POINT).sum()) == len(text or "")
         assert bool((found & fill_middle.SENTINEL).any()) == bool(re.search("<[PSM]>", text or ""))
+
+
+def measured_plain(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}
+    strip = " \t\n\x0b\x0c\r"
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(covered), "n_lines": len(lines), "n_bullet_lines": sum(x.lstrip(strip)[0] in "-*•‣" for x in lines),
+        "n_ellipsis_lines": sum(x.rstrip(strip).endswith(("...", "…")) for x in lines), "n_letters": len(re.findall("[A-Za-z]", text)),
+        "n_capitals": len(re.findall("[A-Z]", text)), "n_letter_words": sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", x)) for x in w),
+    }
+
+
+def failed_plain(m):
+    n = m["n_words"]
+    fails = [
+        n < 50, m["n_repeat_words"] > n / 2, not 3 * n <= m["word_chars"] <= 10 * n, m["n_symbols"] > n / 10, 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+        100 * m["n_bullet_lines"] > 90 * m["n_lines"], 100 * m["n_ellipsis_lines"] > 30 * m["n_lines"], 100 * m["n_capitals"] > 30 * m["n_letters"],
+        100 * m["n_letter_words"] < 80 * n, n > 100_000,
+    ]
+    return sum(1 << k for k, f in enumerate(fails) if f)
+
+
+def ruled_texts(rng):
+    prose = lambda n: " ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    more = [prose(60), prose(60).upper(), "\n".join("- " + prose(8) for _ in range(9)), "\n".join(prose(9) + "..." for _ in range(9)), "\n".join(prose(9) + "…\t" for _ in range(9)),
+            "\n".join([prose(12)] * 9 + [prose(40)]), " ".join(x + "$$" for x in prose(70).split()), "12 34 " * 40 + prose(20), "one two three four " * 30, prose(55) + " ... * • ‣", "..", "\n...", "x\n ...\n....", "word " * 100_001, "...\n\n…", "•", "\n•\n‣ x\n-", "aé " * 3]
+    return odd_texts(rng) + more
+
+
+def test_quality_ledger(spark):
+    texts = ruled_texts(random.Random(3))
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[-1])]
+    want = []
+    for i, t in rows:
+        m = measured_plain(t) if t != "word " * 100_001 else dict(n_words=100_001, word_chars=400_004, n_symbols=0, n_dup_lines=0, n_repeat_words=100_001, n_lines=1, n_bullet_lines=0, n_ellipsis_lines=0, n_letters=400_004, n_capitals=0, n_letter_words=100_001)
+        want.append((str(i), *m.values(), failed_plain(m)))
+    ledger = quality_rules.quality_ledger(docs(spark, rows))
+    got = [(str(r.doc_id), *(r[m] for m in quality_rules.MEASURES), r.failed) for r in ledger.collect()]
+    assert sorted(got) == sorted(want)
+    assert len({x[-1] for x in want}) > 8 and {k for k in range(10) if any(x[-1] >> k & 1 for x in want)} == set(range(10))  # each rule fails somewhere
+    for version, policy in quality_rules.POLICIES.items():
+        rules = [n for n, _ in quality_rules.RULES]
+        bits = lambda f: {r for k, r in enumerate(rules) if f >> k & 1}
+        keeps = lambda f, p=policy: not bits(f) & set(p.must) and len(bits(f) & set(p.may)) <= p.most
+        applied = quality_rules.apply_policy(ledger, policy).collect()
+        assert all(r.kept == keeps(r.failed) and r.base_failed == bool(bits(r.failed) & set(quality_rules.BASE)) and r.policy == version for r in applied)
+        report = {r["rule"]: r for r in quality_rules.ablations(ledger, [policy]).collect()}
+        assert set(report) == set(policy.must + policy.may)
+        for rule, r in report.items():
+            masks = [x[-1] for x in want]
+            without = [f & ~quality_rules.BIT[rule] for f in masks]
+            assert (r.n_docs, r.n_kept, r.n_failed) == (len(masks), sum(map(keeps, masks)), sum(rule in bits(f) for f in masks))
+            assert r.n_only == sum(keeps(b) and not keeps(a) for a, b in zip(masks, without))
+    empty = quality_rules.quality_ledger(docs(spark, rows).where("false"))
+    assert empty.count() == 0 and quality_rules.ablations(empty, list(quality_rules.POLICIES.values())).count() == 0
+    whole = quality_rules.failure_profile(ledger, []).first()
+    assert whole.any_failed == 1023 and whole.all_failed == 0 and whole.n_docs == len(rows)
