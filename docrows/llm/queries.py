@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, fill_middle, html_extract, language_id, line_dedup, mixing, near_dedup, quality, quality_rules, substring_dedup
+from . import chat_format, conversation_repair, decontaminate, exact_dedup, fill_middle, html_extract, language_id, line_dedup, mixing, near_dedup, quality, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +179,58 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    line = F.transform(F.filter("edits", lambda e: e["edit"] != "D"), lambda e: F.concat(e["role"], F.lit(":"), e["text"]))
+    counts = ("blank", "duplicate", "truncated", "illegal")
+    done = conversation_repair.repair_conversations(rows, F.col("copies")).select(
+        "conv_id", "block", "blocks", "gaps", "cost", *counts, F.array_join(F.transform("edits", lambda e: e["edit"]), "").alias("audit"),
+        F.when(F.size(line) > 0, F.array_join(line, "\n")).alias("repaired"),
+    )
+    join = lambda of, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.col(of).alias("x")))), lambda b: b["x"]), by).alias(of)
+    many = done.where("blocks > 1").groupBy("conv_id", "gaps", "cost").agg(*(F.sum(c).alias(c) for c in counts), join("audit", ""), join("repaired", "\n"))
+    sha = F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256")
+    return done.where("blocks = 1").drop("block", "blocks").unionByName(many).select("conv_id", "gaps", *counts, "cost", "audit", sha)
+
+
+def _op12_sql() -> str:
+    """Forward only: for each state the least (cost, letters, text), as equal costs at a node never go with one's letters beginning the other's."""
+    then = lambda s, cost, letter, said: f"{{'c': v[{s}].c + {cost}, 'a': v[{s}].a || '{letter}', 'r': v[{s}].r || {said}}}"
+    leave = lambda s: then(s, 2, "D", "''")
+    keep = lambda s, initial: then(s, f"x.more + CASE x.initial WHEN '{initial}' THEN 0 ELSE 1000000000 END", "K", "x.role || ':' || x.text || chr(10)")
+    rerole = lambda s, role: then(s, "1 + x.more", "R", f"'{role}:' || x.text || chr(10)")
+    before = (1, 2, 4)  # states that a user's turn can follow
+    step = "[" + ", ".join((
+        leave(1), f"least({leave(2)}, {keep(1, 's')})", f"least({', '.join([leave(3), *(f(s, x) for s in before for f, x in ((keep, 'u'), (rerole, 'user')))])})",
+        f"least({leave(4)}, {keep(3, 'a')}, {rerole(3, 'assistant')})",
+    )) + "]"
+    user = f"least(v[3], {', '.join(then(s, 5, 'I', repr('user:') + ' || chr(10)') for s in before)})"
+    assistant = "least(v[4], {})".format(then(3, 5, "I", "'assistant:' || chr(10)"))
+    then_closed = f"list_transform([list_transform([{step}], lambda v: [v[1], v[2], {user}, v[4]])[1]], lambda v: [v[1], v[2], v[3], {assistant}])[1]"
+    start = "[" + ", ".join(f"{{'c': {c}::BIGINT, 'a': '{a}', 'r': {r}}}" for c, a, r in (("0", "", "''"), ("1000000000", "", "''"), ("5", "I", "'user:' || chr(10)"), ("10", "II", "'user:' || chr(10) || 'assistant:' || chr(10)"))) + "]"
+    return rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(flatten(list_transform(range(1, length(key) + 1), lambda i: [ascii(key[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+                                lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS how FROM k),
+d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, how
+      FROM h WHERE how <> 0),
+e AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE how = 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, substr(role, 1, 1) AS initial FROM e),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN again > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+             lag(initial) OVER w AS earlier, row_number() OVER w AS i FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'b')::BIGINT AS blank, count_if(fault = 'd')::BIGINT AS duplicate,
+             count_if(fault = 't')::BIGINT AS truncated, count_if(earlier || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal,
+             list({{'role': role, 'text': text, 'initial': initial, 'more': CASE fault WHEN 'b' THEN 1000000000 WHEN 'd' THEN 1000000000 WHEN 't' THEN 5 ELSE 0 END}} ORDER BY i) AS rows
+      FROM g GROUP BY conv_id),
+s AS (SELECT * EXCLUDE (rows), list_reduce(rows, lambda v, x: {then_closed}, {start}) AS v FROM c),
+o AS (SELECT *, least(v[1], v[4]) AS best FROM s)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(CASE WHEN best.r = '' THEN '' ELSE left(best.r, length(best.r) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM k) k LEFT JOIN o ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     sha = lambda text: F.sha2(text.cast("binary"), 256)
@@ -214,6 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
     "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_quality_rules": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_quality_rules": OP11_SQL, "op12_conversation_repair": _op12_sql(), "op13_fill_in_middle": OP13_SQL}

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from docrows.llm import fill_middle, quality_rules
+from docrows.llm import conversation_repair, fill_middle, quality_rules
 from tests.llm.test_operators import docs
 
 SPACE, UNIT = r"[\x20\x09-\x0D]", re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -132,3 +134,138 @@ def test_quality_ledger(spark):
     assert empty.count() == 0 and quality_rules.ablations(empty, list(quality_rules.POLICIES.values())).count() == 0
     whole = quality_rules.failure_profile(ledger, []).first()
     assert whole.any_failed == 1023 and whole.all_failed == 0 and whole.n_docs == len(rows)
+
+
+LEGAL = re.compile("(s?(ua)+)?")
+
+
+def faults_plain(rows):
+    """Blank, duplicate or truncated for each of a conversation's rows (role, text) in order."""
+    seen, out = set(), []
+    for role, text in rows:
+        if not re.search(r"[^\x20\x09-\x0D]", text):
+            out.append("blank")
+        elif (role, text) in seen:
+            out.append("duplicate")
+        else:
+            out.append("" if re.search(r"[.!?][\x20\x09-\x0D]*\Z", text) else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def repairs_plain(rows):
+    """(cost, letters, repaired) of the best edits: the least pair for each row and each form of what stands so far, which is told by its last letters."""
+    best = {"": (0, "", ())}
+    fault = faults_plain(rows)
+
+    def put(at, key, value):
+        if key not in at or value[:2] < at[key][:2]:
+            at[key] = value
+
+    def turn(form, initial):
+        """What the roles so far look like with one more, if they can still be completed."""
+        return {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}.get((form, initial))
+
+    def inserted(at):
+        for _ in range(3):
+            for form, (c, l, r) in list(at.items()):
+                for role in ("user", "assistant"):
+                    if (f := turn(form, role[0])) is not None:
+                        put(at, f, (c + 5, l + "I", (*r, (role, ""))))
+        return at
+
+    for (role, text), why in zip(rows, fault):
+        then = {}
+        for form, (c, l, r) in inserted(best).items():
+            put(then, form, (c + 2, l + "D", r))
+            if why not in ("blank", "duplicate"):
+                more = 5 * (why == "truncated")
+                if (f := turn(form, role[:1])) is not None:
+                    put(then, f, (c + more, l + "K", (*r, (role, text))))
+                for to in ("user", "assistant"):
+                    if (f := turn(form, to[0])) is not None:
+                        put(then, f, (c + 1 + more, l + "R", (*r, (to, text))))
+        best = then
+    return min(v for f, v in inserted(best).items() if f in ("", "a"))
+
+
+def repairs_exhaustive(rows):
+    """All edits with at most two insertions in a row, each judged by the pattern itself."""
+    fault, best = faults_plain(rows), None
+    gaps = [g for n in range(3) for g in itertools.product(("user", "assistant"), repeat=n)]
+    for inserts in itertools.product(gaps, repeat=len(rows) + 1):
+        for edits in itertools.product(("D", "K", "Ru", "Ra"), repeat=len(rows)):
+            if any(e != "D" and f in ("blank", "duplicate") for e, f in zip(edits, fault)):
+                continue
+            letters, roles, cost = "I" * len(inserts[0]), [r[0] for r in inserts[0]], 5 * sum(map(len, inserts))
+            for e, f, (role, _), more in zip(edits, fault, rows, inserts[1:]):
+                letters += e[0] + "I" * len(more)
+                cost += {"D": 2, "K": 0, "R": 1}[e[0]] + 5 * (e != "D" and f == "truncated")
+                roles += ([] if e == "D" else [role[:1] if e == "K" else e[1]]) + [r[0] for r in more]
+            if LEGAL.fullmatch("".join(roles)) and (best is None or (cost, letters) < best):
+                best = cost, letters
+    return best
+
+
+def test_repair_plain_is_exhaustive():
+    rng = random.Random(8)
+    for _ in range(60):
+        rows = [(rng.choice(["user", "assistant", "system", "tool"]), rng.choice(["a.", "b", " ", "c!"])) for _ in range(rng.randrange(3))]
+        assert repairs_plain(rows)[:2] == repairs_exhaustive(rows), rows
+
+
+def conversations(rng, n):
+    rows = []
+    for conv in [*range(n), None]:
+        for turn in range(rng.choice([1, 2, 5, 9, 30])):
+            at = rng.choice([turn, turn, turn, turn + 1, None])
+            rows.append((conv, at, rng.choice(["user", "assistant"] * 4 + ["system", "tool", "", None]), rng.choice([None, "", " \n", "cut", "so.", "so.", "what?\n "] + [f"text {rng.random()}."] * 4)))
+    return rows + [(7, 3, "user", "so.")] * 5 + [(8, None, "assistant", "again.")] * 12 + [(1000 + k, 0, "user", "x.") for k in range(60)]
+
+
+@pytest.mark.parametrize("block", [conversation_repair.BLOCK, 4])
+def test_repair_conversations(spark, monkeypatch, block):
+    monkeypatch.setattr(conversation_repair, "BLOCK", block)
+    raw = conversations(random.Random(9), 60)
+    schema = "conv_id long, turn long, role string, text string, block int, edits string, r int, place string"  # names that clash
+    d = spark.createDataFrame([(*r, 1, "x", 2, "y") for r in raw], schema)
+    got = {}
+    done = conversation_repair.repair_conversations(conversation_repair.damage(d), F.col("copies"))
+    for r in sorted(done.collect(), key=lambda r: r.block):
+        got.setdefault(r.conv_id, []).append(r)
+    assert any(len(v) > 2 for v in got.values()) == (block == 4)
+    space = lambda x: " " if x is None else x
+    convs = {c: [] for c, *_ in raw}
+    for conv, turn, role, text in raw:
+        how = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20
+        role, text = space(role), space(text)
+        row = (turn, "user" if how == 4 else role, "" if how == 1 else re.sub("[.!?]", "", text) if how == 2 else text)
+        convs[conv] += [row] * {0: 0, 3: 2}.get(how, 1)
+    assert set(got) == set(convs) and any(not v for v in convs.values())
+    for conv, rows in convs.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        turns = [t for t, *_ in rows if t is not None]
+        said = [r[1:] for r in rows]
+        fault = faults_plain(said)
+        pairs = [a[0][:1] + b[0][:1] for a, b in zip(said, said[1:])]
+        cost, letters, repaired = repairs_plain(said)
+        mine = got[conv]
+        assert [r.block for r in mine] == list(range(len(mine))) and {r.blocks for r in mine} == {len(mine)}
+        assert {r.gaps for r in mine} == {max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0} and {r.cost for r in mine} == {cost}
+        assert [sum(getattr(r, f) for r in mine) for f in ("blank", "duplicate", "truncated")] == [fault.count(f) for f in ("blank", "duplicate", "truncated")]
+        assert sum(r.illegal for r in mine) == sum(p not in ("su", "ua", "au") for p in pairs)
+        edits = [e for r in mine for e in r.edits]
+        assert "".join(e.edit for e in edits) == letters, (conv, said)
+        assert [(e.role, e.text) for e in edits if e.edit != "D"] == list(repaired)
+        assert LEGAL.fullmatch("".join(e.role[0] for e in edits if e.edit != "D"))
+    assert conversation_repair.repair_conversations(d.where("false")).count() == 0
+
+
+def test_repair_digest_of_blocks_equals_that_of_the_whole(spark, monkeypatch, tmp_path):
+    from docrows.llm.queries import op12_conversation_repair
+
+    rows = conversations(random.Random(10), 30)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    whole = sorted(map(str, op12_conversation_repair(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(conversation_repair, "BLOCK", 3)
+    assert sorted(map(str, op12_conversation_repair(spark, str(tmp_path)).collect())) == whole
