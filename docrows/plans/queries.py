@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, headers, numbers, tables, text
 from ..functions.lexicon import INVOICE_PATTERNS, SPANISH_MONTHS
-from ..operators import detect, financial, invoice, report
+from ..operators import detect, financial, invoice, layout, report
 from ..operators.dedup import deduplicate
 from ..operators.model import cell, entry, number_cell, text_cell
 from ..operators.normalize import normalize
@@ -525,5 +525,81 @@ def table_to_records(t):
     return e.select("nation", "n", F.col("e.k").alias("k"), F.col("e.v.s").alias("v"))
 
 
+def placed(df: DataFrame, x: Column, top: Column, text: Column) -> DataFrame:
+    """Words of a text of six points a character that begins at ``x``, on page 0 of l_orderkey."""
+    df = df.select("l_orderkey", x.cast("double").alias("x"), top.cast("double").alias("top"), F.explode(F.split(text, " ")).alias("text"), text.alias("of"))
+    begin = F.col("x") + 6.0 * (F.instr("of", F.col("text")) - 1)
+    return df.select("l_orderkey", F.lit(0).alias("page_ord"), begin.alias("x0"), (begin + 6.0 * F.length("text")).alias("x1"), "top", (F.col("top") + 10.0).alias("bottom"), "text")
+
+
+def numbered_items(t) -> DataFrame:
+    """Line items by their place in the order, from 1, with their texts."""
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
+    return t("lineitem").select("l_orderkey", place.alias("r"), F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("part"), us(F.col("l_extendedprice")).alias("price"))
+
+
+def cells_of(found: DataFrame) -> DataFrame:
+    e = found.select("l_orderkey", "table_ord", F.posexplode("grid").alias("row", "cells")).select("l_orderkey", "table_ord", "row", F.posexplode("cells").alias("col", "text"))
+    return e.where("text IS NOT NULL")
+
+
+_ITEMS = """
+WITH i AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice))::INT AS r, l_quantity::INT::VARCHAR AS quantity,
+  'Part ' || l_partkey AS part, format('{:,.2f}', l_extendedprice) AS price FROM lineitem),
+"""
+
+
+@query(_ITEMS + """
+c AS (SELECT l_orderkey, r AS row, unnest([0, 1, 2]) AS col,
+        unnest([quantity, CASE WHEN r % 3 = 1 THEN part || ' of ' || quantity ELSE part END, CASE WHEN r % 4 <> 3 THEN price END]) AS text FROM i
+      UNION ALL SELECT DISTINCT l_orderkey, 0, unnest([0, 1, 2]), unnest(['Qty', 'What it is', 'Price']) FROM lineitem)
+SELECT l_orderkey, 0 AS table_ord, row, col, text FROM c WHERE text IS NOT NULL
+""")
+def tables_aligned(t):
+    """A page for each order: a title, a header, and a row for each item; some rows wrap, some lack a price; a note below."""
+    i = numbered_items(t)
+    top = 60 + 26 * F.col("r")
+    orders = i.groupBy("l_orderkey").agg(F.max("r").alias("n"))
+    words = placed(i, F.lit(50), top, F.col("quantity"))
+    for part in (
+        placed(i, F.lit(150), top, F.col("part")), placed(i.where("r % 3 = 1"), F.lit(150), top + 11, F.concat(F.lit("of "), "quantity")),
+        placed(i.where("r % 4 <> 3"), F.lit(350), top, F.col("price")), placed(orders, F.lit(50), F.lit(60), F.lit("Qty")), placed(orders, F.lit(150), F.lit(60), F.lit("What it is")),
+        placed(orders, F.lit(350), F.lit(60), F.lit("Price")), placed(orders, F.lit(50), F.lit(40), F.lit("Delivery note whose title runs over each gap between these columns")),
+        placed(orders, F.lit(50), 60 + 26 * (F.col("n") + 2), F.lit("A note that stands far below its table and runs over all")),
+    ):
+        words = words.unionByName(part)
+    return cells_of(layout.find_tables(words, by=("l_orderkey", "page_ord")))
+
+
+@query(_ITEMS + """
+n AS (SELECT l_orderkey, max(r) AS n FROM i GROUP BY l_orderkey),
+c AS (SELECT l_orderkey, 0 AS table_ord, r - 1 AS row, unnest([0, 1, 2]) AS col, unnest([quantity, CASE WHEN r % 3 = 1 THEN part || ' of ' || quantity ELSE part END, CASE WHEN r % 4 <> 3 THEN price END]) AS text FROM i
+      UNION ALL SELECT l_orderkey, 0, n, unnest([0, 2]), unnest(['Total of all', n || ' rows']) FROM n
+      UNION ALL SELECT l_orderkey, 1, unnest([0, 0, 1, 1]), unnest([0, 1, 0, 1]), unnest(['Key', 'Order', 'No', l_orderkey::VARCHAR]) FROM n)
+SELECT l_orderkey, table_ord, row, col, text FROM c WHERE text IS NOT NULL
+""")
+def tables_ruled(t):
+    """A page for each order: a ruled table, drawn crookedly and in pieces, whose last row spans two columns, and a second one beside it."""
+    i = numbered_items(t)
+    top = 40 + 26 * F.col("r")
+    orders = i.groupBy("l_orderkey").agg(F.max("r").alias("n"))
+    words = placed(i, F.lit(50), top, F.col("quantity"))
+    for part in (
+        placed(i, F.lit(150), top, F.col("part")), placed(i.where("r % 3 = 1"), F.lit(150), top + 11, F.concat(F.lit("of "), "quantity")), placed(i.where("r % 4 <> 3"), F.lit(350), top, F.col("price")),
+        placed(orders, F.lit(50), 66 + 26 * F.col("n"), F.lit("Total of all")), placed(orders, F.lit(350), 66 + 26 * F.col("n"), F.concat(F.col("n").cast("string"), F.lit(" rows"))),
+        placed(orders, F.lit(605), F.lit(70), F.lit("Key")), placed(orders, F.lit(705), F.lit(70), F.lit("Order")), placed(orders, F.lit(605), F.lit(100), F.lit("No")),
+        placed(orders, F.lit(705), F.lit(100), F.col("l_orderkey").cast("string")), placed(orders, F.lit(50), F.lit(20), F.lit("A title outside of the lines")),
+    ):
+        words = words.unionByName(part)
+    rule = lambda x0, y0, x1, y1: F.struct(*(F.lit(v).cast("double").alias(k) if isinstance(v, int) else v.cast("double").alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))))
+    foot, last = 60 + 26 * (F.col("n") + 1), 60 + 26 * F.col("n")
+    level = lambda k: 60 + 26 * k + (k % 3 - 1) * 0.5
+    across = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") + 1), lambda k: F.array(rule(40, level(k), 200, level(k) + 1), rule(202, level(k), 440, level(k)))))
+    down = F.array(rule(40, 60, 41, foot), rule(140, 60, 140, last), rule(340, 60, 340, foot - 9), rule(341, foot - 8, 341, foot), rule(440, 60, 440, foot))
+    beside = F.array(*(rule(600, y, 800, y) for y in (64, 90, 116)), *(rule(x, 64, x, 116) for x in (600, 700, 800)))
+    rules = orders.select("l_orderkey", F.lit(0).alias("page_ord"), F.inline(F.concat(across, down, beside)))
+    return cells_of(layout.find_tables(words, rules, by=("l_orderkey", "page_ord")))
+
+
 QUERIES["stream_ingest"] = stream_ingest
 SQL["stream_ingest"] = "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type"
