@@ -42,6 +42,7 @@ class Config:
     max_pages: int = 100
     prefer_tables: bool = True
     ocr_fallback: bool = True
+    strategy: str = "auto"
 
     def terms(self) -> dict[str, tuple[str, ...]]:
         return {k: p.keywords for k, p in self.parsers.items() if p.enabled and p.auto_detect}
@@ -53,6 +54,8 @@ class Config:
         return own + tuple(FieldRule(n, required=True) for n in REQUIRED.get(parser, ()) if n not in known)
 
 
+#: How documents are extracted; ``table_first`` asks for tables even where ``prefer_tables`` is off.
+STRATEGIES = ("auto", "text_first", "table_first")
 #: Date directives and what they are in Spark's patterns.
 DIRECTIVES = {"%d": "d", "%m": "M", "%Y": "yyyy", "%y": "yy", "%B": "MMMM", "%b": "MMM", "%H": "H", "%M": "m", "%S": "s"}
 
@@ -94,7 +97,9 @@ def from_dict(tree: dict[str, Any] | None) -> Config:
             own[name] = ParserConfig(p.get("enabled", True), p.get("auto_detect", True), tuple(p.get("keywords", ())), rules)
             c = replace(c, **{k: p[k] for k in ("min_columns", "max_header_rows", "include_metadata") if k in p})
         c = replace(c, parsers=own)
-    e = _take(tree.get("extraction", {}), {"max_pages", "prefer_tables", "ocr_fallback"}, "extraction")
+    e = _take(tree.get("extraction", {}), {"max_pages", "prefer_tables", "ocr_fallback", "strategy"}, "extraction")
+    if e.get("strategy", "auto") not in STRATEGIES:
+        raise ValueError(f"unknown extraction.strategy {e['strategy']!r}; there are {', '.join(STRATEGIES)}")
     c = replace(c, **e)
     n = _take(tree.get("normalization", {}), {"dates", "text"}, "normalization")
     dates = _take(n.get("dates", {}), {"input_formats", "output_format"}, "normalization.dates")

@@ -114,7 +114,7 @@ class Pipeline:
 
     def decoder(self, decode: Decoder | None = None) -> Decoder:
         c = self.config
-        return replace(decode or Decoder(), max_pages=c.max_pages, prefer_tables=c.prefer_tables, ocr_fallback=c.ocr_fallback)
+        return replace(decode or Decoder(), max_pages=c.max_pages, prefer_tables=c.prefer_tables, ocr_fallback=c.ocr_fallback, strategy=c.strategy)
 
     def process_directory(self, spark: SparkSession, path: str, folder: str | None = None, kind: str = "csv", decode: Decoder | None = None) -> Result:
         docs = read_documents(spark, DocumentSource(path, decode=self.decoder(decode)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import Pipeline
-from ..sources.documents import BINARY, DocumentSource, decoded, numbered_files
+from ..sources.documents import BINARY, DocumentSource, decoded, numbered_files, with_found_tables
 from ..sources.shared import materialize
 
 
@@ -38,7 +38,7 @@ def watch_folder(
     pipeline = pipeline or Pipeline(lineage=True)
 
     def one(batch: DataFrame, number: int) -> None:
-        docs = numbered_files(materialize(decoded(batch.select("path", "content"), source.decode), "decoded"))
+        docs = numbered_files(with_found_tables(materialize(decoded(batch.select("path", "content"), source.decode), "decoded")))
         into(output)(pipeline.records(docs), number)
         into(f"{output.rstrip('/')}-errors")(docs.where("error IS NOT NULL").select("path", "error"), number)
 
