@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,18 +38,13 @@ def clean_text(c: Column) -> Column:
     return strip(collapse(F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")))
 
 
-def compose_text(x: str) -> str:
-    return unicodedata.normalize("NFC", x)
+#: The class of the Unicode library that Spark brings along for its collations.
+NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
-@cache
-def compose() -> Callable[[Column], Column]:
-    """Canonical composition of an array of texts. Made on first use, as it needs a session."""
-
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: [x and compose_text(x) for x in a], na_action="ignore")
-
-    return F.pandas_udf(nfc, "array<string>").asNondeterministic()  # so that the optimizer leaves the call where it stands
+def compose(c: Column) -> Column:
+    """Canonical composition (NFC), in the JVM. Only texts with non-ASCII characters are looked at."""
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.java_method(F.lit(NORMALIZER), F.lit("compose"), c, F.lit(False))).otherwise(c)
 
 
 def plain_characters(c: Column) -> Column:
@@ -59,9 +52,8 @@ def plain_characters(c: Column) -> Column:
 
 
 def fix_unicode(c: Column) -> Column:
-    """Canonical composition, then plain quotes, dashes, spaces and dots. Only texts with non-ASCII characters go to Python."""
-    other = c.rlike("[^\\x00-\\x7f]")
-    return plain_characters(F.when(other, F.get(compose()(F.when(other, F.array(c))), F.lit(0))).otherwise(c))
+    """Canonical composition, then plain quotes, dashes, spaces and dots."""
+    return plain_characters(compose(c))
 
 
 def normal_text(c: Column, nfc: bool = True) -> Column:

@@ -1,79 +1,36 @@
-"""Normalization of records: headers, and each cell by its field's name and its content."""
+"""Normalization of records: headers, and each cell by its field's name and its content. Nothing here leaves the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import english_months, guess_date, known_date, looks_like_date, normal_date
+from ..functions.dates import looks_like_date, normal_date
 from ..functions.headers import normal_header
 from ..functions.lexicon import DATE_FORMATS
 from ..functions.numbers import looks_like_number, to_number
-from ..functions.text import compose_text, let, normal_text, strip
+from ..functions.text import compose, let, normal_text, strip
 from .model import as_map, number_cell, text_cell
 
 
-#: Days that Python need not be asked about: a known format reads them, or nothing does.
-PLAIN_DATE = "^([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})$"
-
-
-def value_cell(value: Column, field: Column, formats: tuple[str, ...] = DATE_FORMATS, out: str = "yyyy-MM-dd") -> Column:
-    """Cell of a text: a date by the known formats, a number, or text; blank is null. Nothing here leaves the JVM."""
+def value_cell(value: Column, field: Column, formats: tuple[str, ...] = DATE_FORMATS, out: str = "yyyy-MM-dd", guess: bool = True) -> Column:
+    """Cell of a composed text: a date by the known formats or, with ``guess``, of a free form, a number, or text; blank is null."""
 
     def typed(v: Column) -> Column:
-        plain = F.when(looks_like_date(v, field), text_cell(normal_date(v, formats, out, guess=False))).when(looks_like_number(v, field), number_cell(to_number(v)))
+        plain = F.when(looks_like_date(v, field), text_cell(normal_date(v, formats, out, guess))).when(looks_like_number(v, field), number_cell(to_number(v)))
         return F.when(v == "", text_cell(F.lit(None))).otherwise(plain.otherwise(text_cell(normal_text(v, nfc=False))))
 
     return let(strip(value), typed)
 
 
-def normal_entries(entries: Column | str, formats: tuple[str, ...] = DATE_FORMATS, out: str = "yyyy-MM-dd", lower: bool = True) -> Column:
+def normal_entries(entries: Column | str, formats: tuple[str, ...] = DATE_FORMATS, out: str = "yyyy-MM-dd", guess: bool = True, nfc: bool = True, lower: bool = True) -> Column:
     """Entries with normal headers and values; of headers that become equal the last value counts, at the first place."""
-    named = F.transform(entries, lambda e: F.struct(normal_header(e["k"], lower).alias("k"), e["v"].alias("v")))
-    cell = lambda e: F.when(e["v"]["t"] == "s", value_cell(e["v"]["s"], e["k"], formats, out)).otherwise(e["v"])
+    composed = compose if nfc else lambda c: c
+    named = F.transform(entries, lambda e: F.struct(normal_header(composed(e["k"]), lower).alias("k"), e["v"].alias("v")))
+    cell = lambda e: F.when(e["v"]["t"] == "s", value_cell(composed(e["v"]["s"]), e["k"], formats, out, guess)).otherwise(e["v"])
     return let(F.transform(named, lambda e: F.struct(e["k"].alias("k"), cell(e).alias("v"))), as_map)
 
 
-@cache
-def answers() -> Callable[..., Column]:
-    """What has no built-in function, in one call: composed texts and headers, and free dates. Made on first use, as it needs a session."""
-
-    def each(s: pd.Series, f: Callable[[str], str | None]) -> pd.Series:
-        return s.map(lambda a: [x and f(x) for x in a], na_action="ignore")
-
-    def answer(texts: pd.Series, names: pd.Series, dates: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"texts": each(texts, compose_text), "names": each(names, compose_text), "dates": each(dates, guess_date)})
-
-    call = F.pandas_udf(answer, "texts array<string>, names array<string>, dates array<string>")
-    return call.asNondeterministic()  # so that the optimizer leaves the call where it stands
-
-
 def normalize(records: DataFrame, formats: tuple[str, ...] = DATE_FORMATS, out: str = "yyyy-MM-dd", guess: bool = True, nfc: bool = True, lower: bool = True) -> DataFrame:
-    """Normalize all records.
-
-    Only composition (NFC) of non-ASCII texts and free date forms are asked of Python, as arrays that are null where a
-    record has no such question; nothing is shuffled.
-    """
-    if guess or nfc:
-        other = lambda c: F.when(F.lit(nfc) & c.rlike("[^\\x00-\\x7f]"), c)
-        free = lambda v, k: F.when((v != "") & looks_like_date(v, normal_header(k, lower)) & ~v.rlike(PLAIN_DATE), english_months(v))
-        date = lambda e: F.when(F.lit(guess) & (e["v"]["t"] == "s"), free(strip(e["v"]["s"]), e["k"]))
-        asked = [F.transform("entries", f) for f in (lambda e: other(e["v"]["s"]), lambda e: other(e["k"]), date)]
-        asked = [F.when(F.exists(a, lambda x: x.isNotNull()), a) for a in asked]
-        told = records.withColumn("__told", answers()(*asked)).withColumns({"__texts": F.col("__told.texts"), "__names": F.col("__told.names"), "__dates": F.col("__told.dates")})
-
-        def swap(z: Column) -> Column:
-            e = z["entries"]
-            own = F.coalesce(z["__texts"], e["v"]["s"])
-            text = F.when(z["__dates"].isNotNull() & known_date(strip(own), formats).isNull(), F.date_format(F.to_date(z["__dates"]), out)).otherwise(own)
-            v = F.struct(e["v"]["t"].alias("t"), text.alias("s"), e["v"]["n"].alias("n"))
-            return F.struct(F.coalesce(z["__names"], e["k"]).alias("k"), v.alias("v"))
-
-        none = F.array_repeat(F.lit(None).cast("string"), F.size("entries"))
-        told = told.withColumns({c: F.coalesce(c, none) for c in ("__texts", "__names", "__dates")})
-        records = told.withColumn("entries", F.transform(F.arrays_zip("entries", "__texts", "__names", "__dates"), swap)).select(records.columns)
-    return records.withColumn("entries", normal_entries("entries", formats if out in formats else (*formats, out), out, lower))
+    """Normalize all records, in one projection; nothing is shuffled. ``guess``: dates of free forms too; ``nfc``: texts and headers are composed first."""
+    return records.withColumn("entries", normal_entries("entries", formats if out in formats else (*formats, out), out, guess, nfc, lower))
