@@ -27,19 +27,30 @@ NO_P = frozenset("address article aside blockquote details div dl fieldset figca
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "widget footer header masthead cookie cookies consent notice notices disclaimer alert comment comments discussion reply replies respond share sharing "
-    "social related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager copyright skip".split()
+    "social related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager copyright skip responses guestbook".split()
+)
+#: Words that say nothing of what a name is about; a name of these and of furniture is furniture's, one with other words may be content's.
+NEUTRAL = frozenset(
+    "a the and main top bottom left right side inner outer first last col column row box block list item items area bar wrap wrapper container content body "
+    "section panel group set unit slot zone holder inline sticky fixed small large mobile desktop new page site global primary secondary form link links post posts "
+    "article articles story stories text message msg title heading head icon button btn count thread tree user reader readers by on us me your our js is has".split()
 )
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
 _EDGE = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^a-z]+")
+_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?until-found)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
 #: What a path keeps of its score under a furniture name, and the share of chosen text that the content's element holds.
 NAMED_WEIGHT, HELD = 0.001, 0.9
 #: Shares of the mean ratio: from which on a path tells where the content is, and from which on it is content.
 CORE, LEAST = 0.5, 0.25
+#: How far a name is that of furniture: not at all, among other words, or wholly.
+NONE, PARTLY, WHOLLY = 0, 1, 2
+#: Elements that can stand before the content's element and belong to it.
+_LEADS = frozenset("h1 h2 h3 p".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr pre blockquote".split())
 
 
@@ -69,16 +80,26 @@ class _Ends:
         return self.page.index(">", at) + 1
 
 
+def furniture_name(names: str) -> int:
+    """How far class, id and role words are those of page furniture."""
+    level = NONE
+    for name in names.split():
+        words = set(_WORD.split(name)) - {""}
+        if not FURNITURE.isdisjoint(words):
+            level = max(level, WHOLLY if words <= FURNITURE | NEUTRAL else PARTLY)
+    return level
+
+
 class Tree:
-    """A page's elements and text nodes, read once from front to back.
+    """A page's elements and text nodes, read once from front to back; what is hidden has no text nodes.
 
-    For each element: parent, tag, path (numbers of equal chains of block tags with their names), whether its name is that
+    For each element: parent, tag, path (numbers of equal chains of block tags with their names), how far its name is that
     of furniture, whether it is inside an article or main. A text node: element, number of the block, text, whether it is
     a link's.
     """
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.path, self.named, self.article = [-1], [""], [0], [False], [False]
+        self.parent, self.tag, self.path, self.named, self.article, self.unseen = [-1], [""], [0], [NONE], [False], [False]
         self.block_of = [0]  # the nearest element that isn't inline
         self.texts: list[tuple[int, int, str, bool]] = []
         paths: dict[tuple, int] = {}
@@ -91,7 +112,7 @@ class Tree:
             e = open_.pop()
             tag = self.tag[e]
             counts[tag] -= 1
-            hidden -= tag in NEVER
+            hidden -= self.unseen[e]
             links -= tag == "a"
             if blocks[-1] == e:
                 blocks.pop()
@@ -148,12 +169,13 @@ class Tree:
             self.tag.append(tag)
             inline = tag in INLINE
             self.path.append(self.path[over] if inline else paths.setdefault((self.path[over], tag, named), len(paths) + 1))
-            self.named.append(tag == "form" or tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(_WORD.split(named)))
+            self.named.append(WHOLLY if tag == "form" else NONE if tag in ("html", "body", "article", "main") else furniture_name(named))
+            self.unseen.append(tag in NEVER or bool(attributes) and tag not in ("html", "body") and bool(_HIDDEN.search(attributes)))
             self.article.append(self.article[open_[-1]] or tag in ("article", "main"))
             self.block_of.append(self.block_of[open_[-1]] if inline else e)
             open_.append(e)
             counts[tag] = counts.get(tag, 0) + 1
-            hidden += tag in NEVER
+            hidden += self.unseen[e]
             links += tag == "a"
             if not inline:
                 blocks.append(e)
@@ -171,19 +193,22 @@ class Tree:
         return total
 
 
-def _furniture(tree: Tree, sizes: dict[int, float]) -> np.ndarray:
-    """Elements with a furniture name, and all in them; not those that are a wrapper of the page's text.
+def _furniture(tree: Tree, sizes: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Elements with a furniture name, and all in them, but for wrappers of the page's text; and those in an article whose name has other words too.
 
     A wrapper holds half of the page's text or more, does not stand in an article or main, and has no article beside it.
     """
     size = tree.sums(sizes)
     articles = tree.sums({e: n for e, n in sizes.items() if tree.article[e]})
-    hit = np.array(tree.named)
-    for e in np.flatnonzero(hit):
-        hit[e] = tree.article[tree.parent[e]] or size[e] < size[0] / 2 or articles[e] < articles[0]
+    hit, maybe = np.zeros(len(size), bool), np.zeros(len(size), bool)
+    for e in np.flatnonzero(np.array(tree.named)):
+        within = tree.article[tree.parent[e]]
+        maybe[e] = within and tree.named[e] == PARTLY
+        hit[e] = not maybe[e] and (within or size[e] < size[0] / 2 or articles[e] < articles[0])
     for e in range(1, len(hit)):
         hit[e] |= hit[tree.parent[e]]
-    return hit
+        maybe[e] |= maybe[tree.parent[e]]
+    return hit, maybe
 
 
 def blocks_of(tree: Tree) -> list[list]:
@@ -208,8 +233,9 @@ def scores(tree: Tree, blocks: list[list]) -> tuple[np.ndarray, float]:
 
     A path's own ratio: text for each node, times one more than its punctuation, times its share outside links. The
     threshold is LEAST times the mean of the ratios, weighted by text. Paths beyond CORE times the mean say where the content is: the deepest
-    element with nearly all their text, or an article. There the ratio, smoothed over the blocks in order, counts as the
-    mean at least, and in an article links count as text. A furniture name leaves a path little of its score.
+    element with nearly all their text and the headings and paragraphs that lead up to it, or an article. There the ratio,
+    smoothed over the blocks in order, counts as the mean at least, and in an article links count as text. A furniture name
+    leaves a path little of its score; in an article, one with other words too does so only where the ratio is low as it is.
     """
     names, of = np.unique([b[1] for b in blocks], return_inverse=True)
     size = np.array([len(b[2]) for b in blocks], float)
@@ -218,7 +244,9 @@ def scores(tree: Tree, blocks: list[list]) -> tuple[np.ndarray, float]:
     solid = [len("".join(b[2].split())) for b in blocks]
     free = (1 - sums([b[3] for b in blocks]) / sums(solid))[of]
     own = ((text / count) * (1 + sums([len(_PUNCTUATION.findall(b[2])) for b in blocks]) / count))[of]
-    label = np.where(_furniture(tree, _by_element(blocks, size))[[b[0] for b in blocks]], NAMED_WEIGHT, 1.0)
+    hit, maybe = (x[[b[0] for b in blocks]] for x in _furniture(tree, _by_element(blocks, size)))
+    weak = own * free < CORE * (own * free * size).sum() / size.sum()
+    label = np.where(hit | maybe & weak, NAMED_WEIGHT, 1.0)
     ratio = own * free * label
     mean = float((ratio * size).sum() / size.sum())
     core = ratio >= mean * CORE
@@ -235,10 +263,21 @@ def scores(tree: Tree, blocks: list[list]) -> tuple[np.ndarray, float]:
         under[root] = True
         for e in range(root + 1, len(held)):
             under[e] = under[tree.parent[e]]
+        for e in _leads(tree, root):
+            under[e] = True
         inside = under[[b[0] for b in blocks]]
     return np.where(inside, np.maximum(smooth, mean) * free * label, ratio), mean * LEAST
 
 
+def _leads(tree: Tree, root: int) -> list[int]:
+    """Headings and paragraphs that stand right before an element, beside it."""
+    beside = [e for e in range(1, root) if tree.parent[e] == tree.parent[root] and tree.block_of[e] == e] if root else []
+    out = []
+    while beside and tree.tag[beside[-1]] in _LEADS and not tree.unseen[beside[-1]]:
+        out.append(beside.pop())
+    return out
+
+
 def _by_element(blocks: list[list], size: np.ndarray) -> dict[int, float]:
     out: dict[int, float] = {}
     for b, n in zip(blocks, size.tolist()):
