@@ -2,34 +2,42 @@
 
 The model's symbols are bytes of UTF-8, its order is 5, and an n-gram is its bytes as a whole number. Counts, continuation
 counts, discounts and probabilities are count joins on n-grams, sharded by Spark. Scoring by such joins would send each
-document's distinct n-grams, which are 3.5 times its text (README); so the finished model is sent to the tasks instead, in
+document's distinct n-grams, which are 3.5 times its text (README); so the finished model goes to the executors instead, in
 shards by the two bytes before the predicted one, so that all that a position needs is in one shard. A shard has SHARD rows
 at most, besides the rows of a single pair of bytes and those of the shortest n-grams, of which there are 2^17; the number
-of shards grows with the model. Sums over shards give a document's perplexity. It is compared with a quantile of its
-language's trusted texts.
+of shards grows with the model. Each is a sorted file of the shared folder, which Spark brings to the executors; a task
+reads one after the other for each piece of texts. Sums over shards give a document's perplexity. It is compared with a
+quantile of its language's trusted texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, chunks, materialize
 
 ORDER = 5
-#: Rows of the model (n-grams and contexts) that are broadcast at once, 16 bytes each.
+#: Rows of the model (n-grams and contexts) that a task holds at once, 16 bytes each.
 SHARD = 3_000_000
+#: Bytes of texts that meet all shards before the next ones are read.
+PIECE = 8 << 20
 #: Ids of trusted rows that may be broadcast, 8 bytes each; more are joined by a shuffle.
 IDS = 2_000_000
 #: Distinct n-grams that a counting task holds before it sends them on.
 HELD = 4_000_000
-#: Rows kept aside from which on their quantile is the limit as it is; of fewer, over 1 % of trusted texts pass the largest.
-ENOUGH = 100
+#: A language's mean and quantile are drawn to those of all as if it had so many trusted rows more.
+STEADY_ROWS = 50
+#: A limit lies above its quantile of log perplexity by this over the square root of the rows that tell it.
+MARGIN = 0.2
 
 
 def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,16 +104,16 @@ def train(texts: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """A part of the model as sorted arrays. ``served``: for each two previous bytes, as a number, whether it serves them."""
+    """A part of the model as sorted arrays."""
 
-    def __init__(self, rows: pa.Table, served: np.ndarray):
+    def __init__(self, rows: pa.Table):
         kind, size = np.array(rows.column("kind").to_pylist()), rows.column("size").to_numpy()
         gram, x = rows.column("gram").to_numpy().view(np.uint64), rows.column("x").to_numpy()
-        self.served, self.tables = served, {}
+        self.tables = {}
         for k in "pb":
             for s in range(ORDER + 1):
                 own = np.flatnonzero((kind == k) & (size == s))
-                own = own[np.argsort(gram[own])]
+                own = own[np.argsort(gram[own], kind="stable")]  # those of a file are in order
                 self.tables[k, s] = gram[own], x[own]
 
     def _find(self, kind: str, size: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,44 +139,68 @@ class Shard:
         return total
 
 
-def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str = "mean_log") -> DataFrame:
-    """``docs`` with one column more: mean log probability of a text's bytes; null where it has none. No text is shuffled.
-
-    A model of over SHARD rows takes a pass over the texts for each shard; the passes follow one another in one task.
-    """
+def shard_files(model: DataFrame) -> tuple[list[int], list[str]]:
+    """The first pair of bytes of each shard, and the names of the files that Spark brings to the executors, by shard."""
+    spark = model.sparkSession
     previous = F.when((F.col("kind") == "p") & (F.col("size") >= 3), F.shiftright("gram", 8)).when((F.col("kind") == "b") & (F.col("size") >= 2), F.col("gram"))
-    pair = previous.bitwiseAND(F.lit(0xFFFF))
+    pair = previous.bitwiseAND(F.lit(0xFFFF)).cast("int")
     per = np.zeros(1 << 16, np.int64)
     for r in model.select(pair.alias("b")).where("b IS NOT NULL").groupBy("b").count().collect():  # 65,536 rows at most
         per[r["b"]] = r["count"]
-    shards, filled = [0], 0  # where each begins
+    begins, filled = [0], 0
     for b, n in enumerate(per.tolist()):
         if filled and filled + n > SHARD:
-            shards.append(b)
+            begins.append(b)
             filled = 0
         filled += n
-    everywhere = previous.isNull()
-    out, sums = docs, "__log_sum"
-    out = out.withColumn(sums, F.lit(0.0))
-    for low, high in zip(shards, [*shards[1:], 1 << 16]):
-        rows = model if len(shards) == 1 else model.where(everywhere | pair.between(low, high - 1))
-        own = np.arange(1 << 16)
-        shared = docs.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), (own >= low) & (own < high)))
-
-        def add(batches: Iterator[pa.RecordBatch], shared=shared, whole=len(shards) == 1) -> Iterator[pa.RecordBatch]:
-            shard = shared.value
-            for batch in batches:
-                for piece in chunks(batch, text_col):
-                    code, of, size = grams(Texts(piece.column(text_col)))
-                    if not whole:
-                        own = shard.served[((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
-                        code, of = code[own], of[own]
-                    got = np.bincount(of, weights=shard.score(code), minlength=len(size)) if len(code) else np.zeros(len(size))
-                    yield piece.set_column(piece.num_columns - 1, sums, pa.array(piece.column(piece.num_columns - 1).to_numpy() + got))
-
-        out = out.mapInArrow(add, out.schema)
+    of_pair = spark.createDataFrame([(b, int(k)) for b, k in enumerate(np.searchsorted(begins, np.arange(1 << 16), "right") - 1)], "pair int, shard int")
+    one = model.withColumn("pair", pair)
+    every = one.where("pair IS NULL").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(len(begins) - 1))))
+    rows = one.join(F.broadcast(of_pair), "pair").unionByName(every, allowMissingColumns=True).select("shard", "kind", F.col("size").cast("byte").alias("size"), "gram", "x")
+    table = materialize(rows.repartitionById(len(begins), F.col("shard")).sortWithinPartitions("kind", "size", "gram"), "shards", keep=True)  # executors that come later fetch it too
+    names: list[str] = [""] * len(begins)
+    for path in table.inputFiles():
+        spark.sparkContext.addFile(path)
+        name = path.rsplit("/", 1)[-1]
+        names[int(re.match(r"part-(\d+)", name)[1])] = name
+    return begins, names
+
+
+def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str = "mean_log", shards: tuple[list[int], list[str]] | None = None) -> DataFrame:
+    """``docs`` with one column more: mean log probability of a text's bytes; null where it has none. No text is shuffled.
+
+    One pass of one Python worker for each task, however many shards the model has: PIECE bytes of texts, or one longer text,
+    meet one shard after the other, so that a task holds one shard at a time. ``shards``: those of the model, if they are
+    made already. Their files stay for as long as the session.
+    """
+    begins, names = shards or shard_files(model)
+    shard_of = np.searchsorted(begins, np.arange(1 << 16), "right") - 1
+    sums = "__log_sum"
+
+    def read(k: int) -> Shard:
+        return Shard(pq.read_table(SparkFiles.get(names[k])) if names[k] else pa.table({"kind": pa.array([], pa.string()), "size": pa.array([], pa.int8()), "gram": pa.array([], pa.int64()), "x": pa.array([], pa.float64())}))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, Shard | None] = (-1, None)
+        for batch in batches:
+            for piece in chunks(batch, text_col, PIECE if len(names) > 1 else 1 << 20):
+                code, of, size = grams(Texts(piece.column(text_col)))
+                got = np.zeros(len(size))
+                shard = shard_of[((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int32)
+                order = np.argsort(shard, kind="stable") if len(names) > 1 else np.arange(len(code))
+                ends = np.searchsorted(shard[order], np.arange(len(names) + 1))
+                for k in np.flatnonzero(np.diff(ends)).tolist():
+                    if held[0] != k:
+                        held = (-1, None)
+                        held = (k, read(k))
+                    for a in range(ends[k], ends[k + 1], 1 << 20):
+                        own = order[a : min(a + (1 << 20), ends[k + 1])]
+                        got += np.bincount(of[own], weights=held[1].score(code[own]), minlength=len(size))
+                yield piece.append_column(sums, pa.array(got))
+
+    shape = docs.withColumn(sums, F.lit(0.0)).schema
     bytes_ = F.octet_length(text_col)
-    return out.withColumn(name, F.when(bytes_ > 0, F.col(sums) / bytes_)).drop(sums)
+    return docs.mapInArrow(add, shape).withColumn(name, F.when(bytes_ > 0, F.col(sums) / bytes_)).drop(sums)
 
 
 def near(ids: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
@@ -184,16 +216,17 @@ def calibration(id_col: Column) -> Column:
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = 0.995, slack: float = 0.1, steady: float = 300.0,
+    quantile: float = 0.995, margin: float = MARGIN, steady: float = 300.0,
 ) -> DataFrame:
     """``docs`` with perplexity, limit and rejected.
 
-    Trusted are the documents with quality 1 in ``labels`` (doc_id, quality). Three quarters of them are counted, and each
-    language's limit is the ``quantile`` of the others as it is, so that about 1 in 200 of them is above; only where there
-    are fewer than ENOUGH to tell it, it is raised by ``slack``. Languages with fewer than 50 of those, and null, share the
-    limit of all. Perplexity is per byte; a short text's is drawn to its language's mean, as if it had
-    ``steady`` bytes more, as a few words tell little. A text that is null or empty has no perplexity and isn't rejected;
-    without trusted texts none is. Rows that repeat are answered one by one; no rows give no rows. Columns of ``docs``
+    Trusted are the documents with quality 1 in ``labels`` (doc_id, quality). Three quarters of them are counted, and the
+    others tell the limits. One rule holds for all sizes: a language's mean log perplexity, and the ``quantile`` of how far
+    its texts lie above it, are drawn to those of all languages as if it had STEADY_ROWS rows more, and the limit lies
+    above by ``margin`` over the square root of its rows and those. So a language of many rows has its own quantile, about
+    1 in 200 of them above, and one without rows, or null, that of all. Perplexity is per byte; a short text's is drawn to
+    its language's mean, as if it had ``steady`` bytes more, as a few words tell little. A text that is null or empty has
+    no perplexity and isn't rejected; without trusted texts none is. Rows that repeat are answered one by one; no rows give no rows. Columns of ``docs``
     that bear these three names are replaced.
     """
     docs = docs.drop("perplexity", "limit", "rejected", "mean_log")
@@ -201,18 +234,26 @@ def classify(
     trusted = near(ids, docs.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), id_col)
     aside = calibration(F.col(id_col))
     model = train(trusted.where(~aside).select("text"))
-    held = materialize(score(trusted.where(aside), model).where("mean_log IS NOT NULL").select("lang", "mean_log", F.octet_length("text").alias("n")), "held")
+    shards = shard_files(model)
+    held = materialize(score(trusted.where(aside), model, shards=shards).where("mean_log IS NOT NULL").select("lang", "mean_log", F.octet_length("text").alias("n")), "held")
 
-    mean = held.groupBy("lang").agg((F.sum(F.col("mean_log") * F.col("n")) / F.sum("n")).alias("mean"), F.count("*").alias("rows")).where("rows >= 50 AND lang IS NOT NULL")
-    every = held.agg((F.sum(F.col("mean_log") * F.col("n")) / F.sum("n")).alias("mean")).first()["mean"]
+    weight = F.sum(F.col("mean_log") * F.col("n")) / F.sum("n")
+    every = held.agg(weight.alias("mean")).first()["mean"]
     every = 0.0 if every is None else every
+    n = F.col("rows")
+    drawn_to = lambda own, all_: (n * own + STEADY_ROWS * all_) / (n + STEADY_ROWS)
+    mean = held.where("lang IS NOT NULL").groupBy("lang").agg(weight.alias("own"), F.count("*").alias("rows")).select("lang", "rows", drawn_to(F.col("own"), F.lit(every)).alias("mean"))
     drawn = lambda n: (F.col("mean_log") * n + F.coalesce("mean", F.lit(every)) * steady) / (n + steady)
-    ppl = held.join(mean, "lang", "left").select("lang", F.exp(-drawn(F.col("n"))).alias("ppl"), F.col("rows").isNotNull().alias("own"))
-    at = F.percentile_approx("ppl", F.lit(quantile), F.lit(10_000)) * F.when(F.count("ppl") < ENOUGH, 1 + slack).otherwise(1.0)
-    all_limit = ppl.agg(at).first()[0]
-    limits = mean.select("lang", "mean").join(ppl.where("own").groupBy("lang").agg(at.alias("limit")), "lang")
-    limits = materialize(limits.select(F.col("lang").alias("__lang"), "mean", "limit"), "limits")  # a row for each language
-
-    scored = score(docs, model, text_col).join(F.broadcast(limits) if limits.count() <= 10_000 else limits, F.col(lang_col) == F.col("__lang"), "left")
-    scored = scored.withColumn("perplexity", F.exp(-drawn(F.octet_length(text_col)))).withColumn("limit", F.coalesce("limit", F.lit(all_limit).cast("double")))
+    above = held.join(mean, "lang", "left").select("lang", (F.coalesce("mean", F.lit(every)) - drawn(F.col("n"))).alias("above"))
+    at = F.percentile_approx("above", F.lit(quantile), F.lit(10_000))
+    all_above = above.agg(at).first()[0]  # null without trusted texts, and then so are all limits
+    own = above.where("lang IS NOT NULL").groupBy("lang").agg(at.alias("above"))
+    limit = lambda mean, above, rows: F.exp(-mean + above + margin / F.sqrt(rows + STEADY_ROWS))
+    known = F.lit(all_above).cast("double")
+    limits = mean.join(own, "lang").select(F.col("lang").alias("__lang"), "mean", limit(F.col("mean"), drawn_to(F.col("above"), known), n).alias("limit"))
+    limits = materialize(limits, "limits")  # a row for each language
+    all_limit = limit(F.lit(every), known, F.lit(0))
+
+    scored = score(docs, model, text_col, shards=shards).join(F.broadcast(limits) if limits.count() <= 10_000 else limits, F.col(lang_col) == F.col("__lang"), "left")
+    scored = scored.withColumn("perplexity", F.exp(-drawn(F.octet_length(text_col)))).withColumn("limit", F.coalesce("limit", all_limit))
     return scored.withColumn("rejected", F.coalesce(F.col("perplexity") > F.col("limit"), F.lit(False))).drop("__lang", "mean", "mean_log")
