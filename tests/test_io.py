@@ -24,7 +24,7 @@ from docrows.plans.config import from_dict, load, spark_format
 from docrows.plans.pipeline import Pipeline, get_parser, register_parser
 from docrows.sources import pdf_text, sinks
 from docrows.sources.documents import Decoder, DocumentSource, latest_outputs, numbered_paths, page_counts, read_document, read_documents, read_output, read_pages
-from docrows.streaming.jobs import JobManager, catalog
+from docrows.streaming.jobs import JobManager, NoOutput, UnknownJob, catalog
 from docrows.streaming.watch import watch_folder
 
 INVOICE = "Factura No. : INV-{n}\nFecha: 05/03/2024\nProveedor: Acme\nSubtotal: $100.00\nIVA: $16.00\nTotal: $116.00"
@@ -208,13 +208,59 @@ def test_watch_folder(spark, folder):
     assert spark.read.parquet(f"{out}-errors").count() == 0
 
 
+def test_watch_folder_knows_earlier_records(spark, folder):
+    """The same invoice in two batches is one record, after a restart too, and again when its key is too old."""
+    source, out, log = DocumentSource(f"{folder}/in"), f"{folder}/table", f"{folder}/log"
+    run = lambda **more: watch_folder(spark, source, out, log, once=True, **more).awaitTermination()
+    run()
+    (folder / "in" / "again.pdf").write_bytes(pdf(INVOICE.format(n=2)))
+    (folder / "in" / "new.pdf").write_bytes(pdf(INVOICE.format(n=7)))
+    run()
+    names = lambda: sorted(cell_of(r, "invoice_id") for r in spark.read.parquet(out).collect())
+    assert names() == ["INV-1", "INV-2", "INV-7"]
+    (folder / "in" / "third.pdf").write_bytes(pdf(INVOICE.format(n=7)))
+    run(keep_days=0.0)
+    assert names() == ["INV-1", "INV-2", "INV-7", "INV-7"]
+
+
+def test_watch_folder_waits_until_files_stand_still(spark, folder):
+    """A file that grows between triggers is read once, whole."""
+    inbox, out = folder / "slow", f"{folder}/slow-table"
+    inbox.mkdir()
+    whole = pdf(INVOICE.format(n=5), "second page")
+    query = watch_folder(spark, DocumentSource(str(inbox)), out, f"{folder}/slow-log", settle=4.0, interval="500 milliseconds")
+    try:
+        (inbox / "grows.pdf").write_bytes(whole[:300])
+        (inbox / "gone.pdf").write_bytes(b"x")
+        for k in range(300, len(whole) + 200, 200):
+            time.sleep(1.5)
+            (inbox / "grows.pdf").write_bytes(whole[: k + 200])
+            (inbox / "gone.pdf").unlink(missing_ok=True)
+        began = time.time()
+        while time.time() < began + 90 and not list((folder / "slow-table-errors").glob("batch=*/_SUCCESS")):  # the last that a batch writes
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    rows = spark.read.parquet(out).collect()
+    assert [(cell_of(r, "invoice_id"), r.source_file) for r in rows] == [("INV-5", "grows.pdf")]
+    assert spark.read.parquet(f"{out}-errors").count() == 0
+
+
 def test_jobs(spark, folder):
-    jobs = JobManager(spark, f"{folder}/jobs")
+    jobs, seen = JobManager(spark, f"{folder}/jobs"), []
     good, bad = jobs.submit(f"{folder}/in/a.pdf"), jobs.submit(f"{folder}/in/none.pdf", kind="xlsx")
     for _ in range(600):
+        seen.append(jobs.get(good).progress)
         if all(j.status in ("completed", "failed") for j in jobs.list()):
             break
         time.sleep(0.1)
+    assert seen == sorted(seen) and len({p for p in seen if 10 < p < 90}) >= 3  # it rises on the way
+    with pytest.raises(NoOutput):
+        jobs.download(bad)
+    for call in (jobs.get, jobs.download, jobs.delete, jobs.preview):
+        with pytest.raises(UnknownJob):
+            call("nobody")
+    assert jobs.download(good) == jobs.get(good).output
     assert (jobs.get(good).status, jobs.get(good).progress, jobs.get(good).rows) == ("completed", 100, 1)
     assert jobs.get(bad).status == "failed" and jobs.get(bad).kind == "csv" and "none.pdf" in jobs.get(bad).error
     assert jobs.preview(good).first().invoice_id == "INV-1"
