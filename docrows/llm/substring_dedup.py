@@ -13,6 +13,10 @@ A task first factors each block of text against itself. What it finds there is d
 phrase goes on. Phrases that a block repeats are remembered with their first place, and later blocks of the task are
 factored against these too. So a passage that a third of all documents share reaches its address about once for each task,
 not for each document or block.
+
+A short passage that very many documents share among other words makes phrases of its own in each of them, all at one
+address. Such hot addresses are found first, and their phrases are dealt by address and phrase; only that factors there are
+single phrases, not runs, comes of it.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, chunks, span_hash
+from .common import Texts, chunks, mix, span_hash
 
 WINDOW = 50
 #: Bytes of text that a task factors against themselves, and phrases that it matches at once.
@@ -34,6 +38,10 @@ BLOCK = 2 << 20
 BUFFER = 1 << 20
 #: Repeated phrases that a task remembers (24 bytes each). Those that are forgotten are only sent once more.
 KNOWN = 1 << 20
+#: Of texts, one in so many is read to find hot addresses. Only how the work is dealt depends on it, not what is found.
+SAMPLED = 16
+#: Phrases among those read from which on an address is hot, and the most addresses that are (8 bytes each); the largest go first.
+HOT, HOT_MOST = BUFFER // SAMPLED // 4, 100_000
 #: Rows without an id come after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -134,25 +142,49 @@ def _null_ids(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
-def _send(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    gram, memory = window // 2, Memory()
+def _phrases(t: Texts, rows: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, the text of each word, the words at which a phrase begins, and the phrases' addresses."""
+    gram, n = window // 2, len(t.starts)
+    of = np.repeat(np.arange(rows), np.diff(t.first))
+    words = t.hashes()
+    at = np.flatnonzero(of[: max(n - window + 1, 0)] == of[window - 1 :])
+    if not len(at):
+        return words, of, at, np.zeros(0, np.uint64)
+    grams = np.arange(n - gram + 1)
+    return words, of, at, sliding_min(span_hash(words, grams, grams + gram), window - gram + 1)[at]
+
+
+def _addresses(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Addresses of a block's texts and how many phrases each has."""
+    for batch in batches:
+        for part in chunks(batch, "text", BLOCK):
+            found, n = np.unique(_phrases(Texts(part.column("text")).words(), part.num_rows, window)[3], return_counts=True)
+            many = n > 1  # one phrase of a block makes no address hot
+            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], ["address", "n"])
+
+
+def hot_addresses(rows: DataFrame, window: int) -> np.ndarray:
+    """Addresses with so many phrases that no task should have one to itself, in order."""
+    some = rows.where(F.pmod("fp", F.lit(SAMPLED)) == 0).select("text").mapInArrow(partial(_addresses, window=window), "address long, n long")
+    hot = some.groupBy("address").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "address").limit(HOT_MOST)
+    return np.sort(np.array([r["address"] for r in hot.collect()], np.int64).view(np.uint64))
+
+
+def _send(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    memory = Memory()
     names = [x.split()[0] for x in _SENT.split(", ")]
     for batch in batches:
         for part in chunks(batch, "text", BLOCK):
             part = part.take(pa.array(np.argsort(_ids(part.column("doc_id")), kind="stable")))
             t = Texts(part.column("text")).words()
-            n = len(t.starts)
-            if n < window:
-                continue
             ids, fp = _ids(part.column("doc_id")), part.column("fp").to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(ids)), np.diff(t.first))
-            words = t.hashes()
-            at = np.flatnonzero(of[: n - window + 1] == of[window - 1 :])
+            words, of, at, address = _phrases(t, len(ids), window)
             if not len(at):
                 continue
             code = span_hash(words, at, at + window)
-            grams = np.arange(n - gram + 1)
-            address = sliding_min(span_hash(words, grams, grams + gram), window - gram + 1)[at]
+            if len(hot):
+                crowded = hot[np.minimum(np.searchsorted(hot, address), len(hot) - 1)] == address
+                address = np.where(crowded, mix(address ^ code), address)  # equal phrases still meet
             row, place = of[at], at - t.first[of[at]]
             found, head = parse(code, ids[row])
 
@@ -268,7 +300,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(docs[id_col].try_cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("fp"), docs[text_col].alias("text"))
     found = (
-        rows.mapInArrow(partial(_send, window=window), _SENT)
+        rows.mapInArrow(partial(_send, window=window, hot=hot_addresses(rows, window)), _SENT)
         .repartition("address").sortWithinPartitions("address")
         .mapInArrow(partial(_match, window=window), _FACTOR)
         .groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ref_doc", "ref_start"))).alias("spans"))

@@ -434,6 +434,50 @@ def test_decontaminate_recall_by_place(spark):
     assert len(lost) <= 0.02 * len(items), [(len(items[i][1].split()), i) for i in lost]
 
 
+def test_substring_dedup_splits_hot_addresses(spark, monkeypatch):
+    """A footer shorter than a window, in every document among other words, is no task's alone, and all that repeats is still found."""
+    import collections
+    import functools
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 2)
+    monkeypatch.setattr(substring_dedup, "HOT", 200)
+    rng = random.Random(21)
+    footer, passage = words(rng, 45), words(rng, 70)
+    rows = [(k, " ".join(words(rng, 60, 10**6) + footer + words(rng, 60, 10**6) + (passage if k % 9 == 0 else []))) for k in range(2000)]
+    rows += [(5000 + k, rows[k][1]) for k in range(0, 40, 7)]
+    d = docs(spark, rows).repartition(6)
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(d).collect()}
+    first = {}
+    for i, t in sorted(rows):
+        w = t.split()
+        gone = set()
+        for p in range(len(w) - 49):
+            if first.setdefault(tuple(w[p : p + 50]), i) < i:
+                gone |= set(range(p, p + 50))
+        assert got[i] == (len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    table = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "fp": [i for i, _ in rows], "text": [t for _, t in rows]})]
+    hot = substring_dedup.hot_addresses(d.select(d.doc_id, fingerprint(d), d.text), 50)
+    assert len(hot) >= 1
+
+    def largest(hot):
+        many = collections.Counter()
+        for b in functools.partial(substring_dedup._send, window=50, hot=hot)(iter(table)):
+            for a, p in zip(b.column("address").to_pylist(), b.column("phrases").to_pylist()):
+                many[a] += len(p or b"") // 8
+        return max(many.values()), sum(many.values())
+
+    assert largest(hot[:0])[0] > 0.05 * largest(hot[:0])[1]
+    assert largest(hot)[0] < 0.005 * largest(hot)[1]
+
+
+def fingerprint(d):
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(d.text).alias("fp")
+
+
 def test_best_window():
     rng = random.Random(20)
     for _ in range(300):
