@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import deduplicate
@@ -17,7 +17,6 @@ from ..operators.model import entry, text_cell
 from ..operators.normalize import normalize
 from ..operators.report import parse_reports
 from ..operators.validate import validate
-from ..operators.wide import run_stats
 from ..sources.documents import Decoder, DocumentSource, read_document, read_documents
 from ..sources.shared import materialize
 from ..sources.sinks import SINKS, export
@@ -61,7 +60,8 @@ class Pipeline:
         """Normal, validated records of all documents, before duplicates go. No text is shuffled."""
         return self._checked(self._parsed(docs))
 
-    def _parsed(self, docs: DataFrame) -> DataFrame:
+    def _parsed(self, docs: DataFrame, seen: Observation | None = None) -> DataFrame:
+        """``seen`` counts on the way: files_parsed, those with records, which are numbered from 0, and validation_errors."""
         docs = extracted(docs)
         if self.parser in (None, "auto"):
             docs = with_document_type(docs, self.config.terms())
@@ -75,8 +75,11 @@ class Pipeline:
             out = records if out is None else out.unionByName(records)
         c = self.config
         out = normalize(out, c.date_formats, c.date_output, True, c.normalize_unicode, c.lowercase_headers)
-        keep_all = replace(c.validation, on_error="skip" if c.validation.on_error == "skip" else "warn")
-        out = validate(out, keep_all, {name: c.rules_of(name) for name in names})
+        out = validate(out, replace(c.validation, on_error="warn"), {name: c.rules_of(name) for name in names})
+        if seen:
+            out = out.observe(seen, F.count_if(F.col("rec_ord") == 0).alias("files_parsed"), F.sum(F.size("errors")).alias("validation_errors"))
+        if c.validation.on_error == "skip":
+            out = out.where(F.size("errors") == 0)
         if self.lineage:
             out = out.withColumn("entries", F.concat("entries", F.array(entry("_source_file", text_cell(F.col("source_file"))))))
         return out
@@ -84,11 +87,14 @@ class Pipeline:
     def _checked(self, out: DataFrame) -> DataFrame:
         """The same records; too many errors stop the run where the configuration says so."""
         if self.config.validation.on_error == "fail" and self.config.validation.enabled:
-            n = out.agg(F.sum(F.size("errors"))).first()[0] or 0
-            if n > self.config.validation.max_errors:
-                raise ValueError(f"{n} validation errors; at most {self.config.validation.max_errors} are allowed")
+            self._stop_at(out.agg(F.sum(F.size("errors"))).first()[0] or 0)
         return out
 
+    def _stop_at(self, n: int) -> None:
+        v = self.config.validation
+        if v.on_error == "fail" and v.enabled and n > v.max_errors:
+            raise ValueError(f"{n} validation errors; at most {v.max_errors} are allowed")
+
     def records(self, docs: DataFrame) -> DataFrame:
         out = self.parse(docs)
         return deduplicate(out, self.config.key_columns, self.config.keep) if self.config.deduplicate else out
@@ -96,15 +102,29 @@ class Pipeline:
     def run(self, docs: DataFrame, folder: str | None = None, name: str | None = None, kind: str = "csv") -> Result:
         """Records and counters, and the output's path. Without a folder nothing is written.
 
-        Documents are parsed once: the parsed records are a table of the shared folder, from which the records, the counters
-        and the output are taken.
+        Documents are parsed once: the parsed records are a table of the shared folder, which is read once, to remove
+        duplicates. Counters are observed as the two tables are written.
         """
-        parsed = self._checked(materialize(self._parsed(docs), "parsed"))
+        seen, before, after = Observation(), Observation(), Observation()
+        rows = F.count("*").alias("rows")
+        parsed = materialize(self._parsed(docs, seen).observe(before, rows), "parsed")
+        self._stop_at(seen.get["validation_errors"] or 0)
         records = deduplicate(parsed, self.config.key_columns, self.config.keep) if self.config.deduplicate else parsed
-        records, path = materialize(records, "records"), None
+        records, path = materialize(records.observe(after, rows), "records"), None
         if folder is not None:
             path = self._export(records, folder, name or f"resultado_{datetime.datetime.now():%Y%m%d_%H%M%S}", kind)
-        return Result(records, run_stats(docs, parsed, records), path)
+        return Result(records, self._counters(docs, {**seen.get, "rows_parsed": before.get["rows"], "rows_output": after.get["rows"]}), path)
+
+    @staticmethod
+    def _counters(docs: DataFrame, seen: dict[str, int | None]) -> DataFrame:
+        """One row: files, files_parsed, rows_parsed, rows_output, duplicates_removed, errors, warnings (files without records) and validation_errors, those of dropped records too."""
+        failed = F.count_if(F.col("error").isNotNull()) if "error" in docs.columns else F.lit(0).cast("long")
+        of = {k: F.lit(v or 0).cast("long") for k, v in seen.items()}
+        files = docs.agg(F.count("*").alias("files"), failed.alias("errors"))
+        return files.select(
+            "files", of["files_parsed"].alias("files_parsed"), of["rows_parsed"].alias("rows_parsed"), of["rows_output"].alias("rows_output"),
+            (of["rows_parsed"] - of["rows_output"]).alias("duplicates_removed"), "errors", (F.col("files") - of["files_parsed"] - F.col("errors")).alias("warnings"), of["validation_errors"].alias("validation_errors"),
+        )
 
     def _export(self, records: DataFrame, folder: str, name: str, kind: str) -> str | None:
         c = self.config

@@ -127,6 +127,23 @@ def test_process_directory_decodes_each_file_once(spark, folder, kind):
     assert result.output in newest["json" if kind == "json" else "csv"]
 
 
+def test_counters_are_observed_as_tables_are_written(spark, folder):
+    """A bad invoice among good ones, a repeated one, a file without text: counted in the passes that write, under each way with errors."""
+    (folder / "in" / "bad.pdf").write_bytes(pdf("Factura No. : INV-4\nFecha: 05/03/1850\nTotal: -3"))
+    (folder / "in" / "copy.pdf").write_bytes(pdf(INVOICE.format(n=2), packed=False))
+    (folder / "in" / "blank.pdf").write_bytes(pdf(""))
+    docs = read_documents(spark, DocumentSource(f"{folder}/in"))
+    run = lambda **v: Pipeline(from_dict({"validation": v})).run(docs).stats.first()
+    warn, skip = run(on_error="warn"), run(on_error="skip")
+    n = Pipeline().parse(docs).agg(F.sum(F.size("errors"))).first()[0]
+    assert n > 0 and (warn.files, warn.files_parsed, warn.rows_parsed, warn.rows_output, warn.duplicates_removed, warn.errors, warn.warnings, warn.validation_errors) == (5, 4, 4, 3, 1, 0, 1, n)
+    good = Pipeline(from_dict({"validation": {"on_error": "skip"}})).records(docs).count()
+    assert (skip.files_parsed, skip.rows_output, skip.warnings, skip.validation_errors) == (4, good, 1, n) and good < 3
+    with pytest.raises(ValueError):
+        run(on_error="fail", max_errors=n - 1)
+    assert run(on_error="fail", max_errors=n).rows_output == 3
+
+
 def cell_of(row, name):
     return next((e.v.s if e.v.t != "n" else e.v.n for e in row.entries if e.k == name), None)
 
