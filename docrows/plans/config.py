@@ -20,6 +20,10 @@ class ParserConfig:
     rules: tuple[FieldRule, ...] = ()
 
 
+#: Required fields and keywords of parsers that a program has declared, by name.
+DECLARED: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings of a pipeline. ``parsers`` are asked in their order."""
@@ -45,13 +49,15 @@ class Config:
     strategy: str = "auto"
 
     def terms(self) -> dict[str, tuple[str, ...]]:
-        return {k: p.keywords for k, p in self.parsers.items() if p.enabled and p.auto_detect}
+        """Terms by parser; those of declared parsers that aren't configured come last."""
+        own = {k: p.keywords or DECLARED.get(k, ((), ()))[1] for k, p in self.parsers.items() if p.enabled and p.auto_detect}
+        return own | {k: words for k, (_, words) in DECLARED.items() if k not in self.parsers and words}
 
     def rules_of(self, parser: str) -> tuple[FieldRule, ...]:
         """A parser's rules, and its required fields that have none."""
         own = self.parsers.get(parser, ParserConfig()).rules
         known = {r.name for r in own}
-        return own + tuple(FieldRule(n, required=True) for n in REQUIRED.get(parser, ()) if n not in known)
+        return own + tuple(FieldRule(n, required=True) for n in (*REQUIRED.get(parser, ()), *DECLARED.get(parser, ((), ()))[0]) if n not in known)
 
 
 #: How documents are extracted; ``table_first`` asks for tables even where ``prefer_tables`` is off.

@@ -16,11 +16,12 @@ from ..operators.invoice import parse_invoices
 from ..operators.model import entry, text_cell
 from ..operators.normalize import normalize
 from ..operators.report import parse_reports
+from ..operators.template import TemplateParser
 from ..operators.validate import validate
 from ..sources.documents import Decoder, DocumentSource, read_document, read_documents
 from ..sources.shared import materialize
 from ..sources.sinks import SINKS, export
-from .config import Config
+from .config import DECLARED, Config
 
 Parser = Callable[[DataFrame, Config], DataFrame]
 #: Parsers by name. A parser takes documents and returns records; more can be registered.
@@ -41,6 +42,12 @@ def register_parser(name: str, parser: Parser) -> None:
     PARSERS[name] = parser
 
 
+def register_template(template: type[TemplateParser]) -> None:
+    """Make a parser that is declared by patterns known to all pipelines, with its required fields and keywords."""
+    register_parser(template.PARSER_NAME, lambda docs, c: template.parse(docs))
+    DECLARED[template.PARSER_NAME] = tuple(template.REQUIRED_FIELDS), tuple(template.KEYWORDS)
+
+
 @dataclass(frozen=True)
 class Result:
     records: DataFrame
@@ -65,7 +72,7 @@ class Pipeline:
         docs = extracted(docs)
         if self.parser in (None, "auto"):
             docs = with_document_type(docs, self.config.terms())
-            names = [n for n in PARSERS if n in ("financial_report", "report", "invoice") or n in self.config.parsers]
+            names = [n for n in PARSERS if n in ("financial_report", "report", "invoice") or n in self.config.terms()]
         else:
             get_parser(self.parser)
             docs, names = docs.withColumn("doc_type", F.lit(self.parser)), [self.parser]

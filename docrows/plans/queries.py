@@ -18,13 +18,14 @@ from ..operators import detect, financial, invoice, layout, report
 from ..operators.dedup import deduplicate
 from ..operators.model import cell, entry, number_cell, text_cell
 from ..operators.normalize import normalize
+from ..operators.template import TemplateParser, register_template_fields
 from ..operators.validate import FieldRule, GlobalRules, Validation, validate, with_errors
 from ..operators.wide import counts, field_names, run_stats, widen
 from ..sources.documents import latest
 from ..sources.shared import shared_dir
 from ..sources.sinks import csv_lines, json_columns, json_rows
 from ..streaming.watch import ingest, into
-from .pipeline import Pipeline
+from .pipeline import Pipeline, register_template
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -464,12 +465,12 @@ def json_records(t):
 
 
 @query("""
-SELECT 'n_name' AS name, 0 AS position, '[' || string_agg('"' || n_name || '"', ', ' ORDER BY n_nationkey) || ']' AS values FROM nation
-UNION ALL SELECT 'region', 1, '[' || string_agg(CASE WHEN n_regionkey > 0 THEN n_regionkey || '.0' ELSE 'null' END, ', ' ORDER BY n_nationkey) || ']' FROM nation
+SELECT n_regionkey AS file_ord, 'n_name' AS name, 0 AS position, '[' || string_agg('"' || n_name || '"', ', ' ORDER BY n_nationkey) || ']' AS values FROM nation GROUP BY n_regionkey
+UNION ALL SELECT n_regionkey, 'region', 1, '[' || string_agg(CASE WHEN n_regionkey > 0 THEN n_regionkey || '.0' ELSE 'null' END, ', ' ORDER BY n_nationkey) || ']' FROM nation GROUP BY n_regionkey
 """)
 def json_column_orient(t):
-    r = records(t("nation"), "n_nationkey", entry("n_name", text_cell(F.col("n_name"))), entry("region", number_cell(F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")))))
-    return json_columns(r)
+    r = records(t("nation"), "n_nationkey", entry("n_name", text_cell(F.col("n_name"))), entry("region", number_cell(F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")))), entry("file", number_cell(F.col("n_regionkey"))))
+    return json_columns(r.withColumn("file_ord", cell("entries", "file")["n"].cast("int")), ["n_name", "region"], by_file=True)
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts, event_id LIMIT 20")
@@ -525,6 +526,49 @@ def table_to_records(t):
     return e.select("nation", "n", F.col("e.k").alias("k"), F.col("e.v.s").alias("v"))
 
 
+class TicketParser(TemplateParser):
+    """A kind of document of its own, for the queries below."""
+
+    PARSER_NAME = "ticket"
+    PATTERNS = {"ticket no": r"Ticket:\s*(\w+)", "amount": r"Amount:\s*([\d.]+)", "clerk": r"Clerk:[ ]*(.+)"}
+    REQUIRED_FIELDS = ("clerk",)
+
+
+def tickets(t) -> DataFrame:
+    """A ticket for each order, some without a clerk."""
+    text = F.concat(
+        F.lit("TICKET: T"), F.col("o_orderkey").cast("string"), F.lit("\namount:  "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" USD\nclerk:"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" the one of "), "o_orderpriority", F.lit(" "))).otherwise(""), F.lit("\nend"),
+    )
+    return t("orders").select(F.col("o_orderkey").cast("int").alias("file_ord"), F.lit("f").alias("file_name"), text.alias("text"), F.array().cast("array<array<array<string>>>").alias("tables"))
+
+
+@query("""
+SELECT o_orderkey, 'T' || o_orderkey AS ticket, round(o_totalprice, 2) AS amount, CASE WHEN o_orderkey % 3 > 0 THEN 'the one of ' || o_orderpriority END AS clerk,
+  CASE WHEN o_orderkey % 3 > 0 THEN [] ELSE ['clerk:required'] END AS codes FROM orders
+""")
+def template_records(t):
+    """A parser declared by patterns, through the whole pipeline: parsed, normalized, validated."""
+    register_template(TicketParser)
+    r = Pipeline(parser="ticket").parse(tickets(t))
+    n, s = (lambda k: cell("entries", k)["n"]), (lambda k: cell("entries", k)["s"])
+    codes = F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"]))
+    return r.select(F.col("file_ord").cast("long").alias("o_orderkey"), s("ticket_no").alias("ticket"), F.round(n("amount"), 2).alias("amount"), s("clerk").alias("clerk"), codes.alias("codes"))
+
+
+@query("""
+SELECT o_orderkey, 'T' || o_orderkey AS ticket, o_totalprice::DECIMAL(18,2)::VARCHAR AS amount, CASE WHEN o_orderkey % 3 > 0 THEN 'the one of ' || o_orderpriority END AS clerk FROM orders
+""")
+def template_fields(t):
+    """The same patterns named in SQL, by a table function whose columns follow from its arguments."""
+    docs = tickets(t)
+    name = register_template_fields(docs.sparkSession)
+    return docs.sparkSession.sql(
+        f"SELECT CAST(file_ord AS BIGINT) AS o_orderkey, ticket, amount, clerk FROM {{docs}}, LATERAL {name}(text, ticket => :ticket, amount => :amount, clerk => :clerk)",
+        args={"ticket": TicketParser.PATTERNS["ticket no"], "amount": TicketParser.PATTERNS["amount"], "clerk": TicketParser.PATTERNS["clerk"]}, docs=docs,
+    )
+
+
 def placed(df: DataFrame, x: Column, top: Column, text: Column) -> DataFrame:
     """Words of a text of six points a character that begins at ``x``, on page 0 of l_orderkey."""
     df = df.select("l_orderkey", x.cast("double").alias("x"), top.cast("double").alias("top"), F.explode(F.split(text, " ")).alias("text"), text.alias("of"))

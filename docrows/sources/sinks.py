@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +30,29 @@ class CsvOptions:
     include_internal_fields: bool = False
 
 
+@contextmanager
+def staged(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside ``path`` to write to. It takes the place of what is there when the block ends well; else it goes, and the old output stays."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target = jvm.Path(path)
+    new, old = (jvm.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}-{kind}") for kind in ("new", "old"))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield new.toString()
+        there = system.exists(target)
+        if there and not system.rename(target, old):
+            raise OSError(f"{path} can't be replaced")
+        if not system.rename(new, target):
+            if there:
+                system.rename(old, target)
+            raise OSError(f"{path} can't be written")
+        if there:
+            system.delete(old, True)
+    finally:
+        if system.exists(new):
+            system.delete(new, True)
+
+
 def csv_lines(records: DataFrame, options: CsvOptions = CsvOptions(), names: list[str] | None = None) -> DataFrame:
     """file_ord, rec_ord, line: each record as a CSV line. The header is not among them."""
     names = ordered_names(records, options.include_internal_fields) if names is None else names
@@ -54,7 +79,8 @@ def write_csv(records: DataFrame, path: str, options: CsvOptions = CsvOptions())
     if wide is not None:
         writer = wide.write.mode("overwrite").option("header", options.include_header).option("sep", options.delimiter).option("encoding", options.encoding)
         writer = writer.option("escape", '"').option("emptyValue", "").option("quoteAll", options.quoting in ("all", "nonnumeric"))
-        (writer.option("quote", "\u0000") if options.quoting == "none" else writer).csv(path)
+        with staged(records.sparkSession, path) as new:
+            (writer.option("quote", "\u0000") if options.quoting == "none" else writer).csv(new)
     return path
 
 
@@ -105,7 +131,8 @@ def _text(c: Column) -> Column:
 def write_json(records: DataFrame, path: str, orient: str = "records", internal: bool = False) -> str:
     """A folder of text files, a JSON object a line: the record (``records``), with its number (``index``), or a file's values
     of one field (``columns``). Nothing passes through one task or the driver."""
-    _lines(records, orient, internal).orderBy("file_ord", "rec_ord").select("value").write.mode("overwrite").text(path)
+    with staged(records.sparkSession, path) as new:
+        _lines(records, orient, internal).orderBy("file_ord", "rec_ord").select("value").write.mode("overwrite").text(new)
     return path
 
 
@@ -127,7 +154,8 @@ def write_json_document(records: DataFrame, path: str, orient: str = "records",
     here = F.struct("a", "b") == F.struct(F.lit(first["a"] if first else 0), F.lit(first["b"] if first else 0))
     body = parts.select(F.lit(1).alias("part"), "a", "b", F.when(here, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
     edge = spark.range(2).select(F.when(F.col("id") == 0, 0).otherwise(2).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.when(F.col("id") == 0, F.lit(left)).otherwise(F.lit(right)).alias("value"))
-    body.unionByName(edge).coalesce(1).sortWithinPartitions("part", "a", "b").select("value").write.mode("overwrite").text(path)
+    with staged(spark, path) as new:
+        body.unionByName(edge).coalesce(1).sortWithinPartitions("part", "a", "b").select("value").write.mode("overwrite").text(new)
     return path
 
 

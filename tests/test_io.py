@@ -18,10 +18,11 @@ from docrows.operators.dedup import deduplicate
 from docrows.operators.financial import metadata as financial_metadata
 from docrows.operators.model import RECORD, cell, entry, json_cell, number_cell, text_cell
 from docrows.operators.normalize import normalize
+from docrows.operators.template import TemplateParser, register_template_fields
 from docrows.operators.validate import FieldRule, InRange, NonNegative, Required, Validation, renumber, validate, with_errors
 from docrows.operators.wide import distinct_values
 from docrows.plans.config import from_dict, load, spark_format
-from docrows.plans.pipeline import Pipeline, get_parser, register_parser
+from docrows.plans.pipeline import Pipeline, get_parser, register_parser, register_template
 from docrows.sources import pdf_text, sinks
 from docrows.sources.documents import Decoder, DocumentSource, latest_outputs, numbered_paths, page_counts, read_document, read_documents, read_output, read_pages
 from docrows.streaming.jobs import JobManager, NoOutput, UnknownJob, catalog
@@ -160,6 +161,52 @@ def test_process_file_and_dry_run(spark, folder):
     assert cell_of(Pipeline(parser="titles").process_file(spark, f"{folder}/in/a.pdf").records.first(), "t") == "Factura"
 
 
+class Letter(TemplateParser):
+    PARSER_NAME, PATTERNS = "letter", {"field1": r"Label1:\s*(.+)", "field2": r"Label2:\s*(\d+)"}
+    REQUIRED_FIELDS, KEYWORDS = ("field1", "field2"), ("label1", "label2")
+
+
+def test_template_parser(spark, folder):
+    """A parser declared by patterns: found by its keywords, its required fields validated, rules of its own where configured."""
+    register_template(Letter)
+    (folder / "in" / "letter.pdf").write_bytes(pdf("Label1:  expected_value\nLABEL2: 17 pages"))
+    (folder / "in" / "empty.pdf").write_bytes(pdf("label1 and label2 without values"))
+    docs = read_documents(spark, DocumentSource(f"{folder}/in"))
+    got = {r.source_file: r for r in Pipeline().parse(docs).where("doc_type = 'letter'").collect()}
+    assert sorted(got) == ["empty.pdf", "letter.pdf"] and cell_of(got["letter.pdf"], "field1") == "expected_value" and cell_of(got["letter.pdf"], "field2") == 17.0
+    assert [(e.field, e.code) for e in got["letter.pdf"].errors] == [("field2", "type_string")]  # a required field is a text, unless a rule says otherwise
+    assert [(e.field, e.code) for e in got["empty.pdf"].errors] == [("field1", "required"), ("field2", "required")]
+    c = from_dict({"parsers": {"letter": {"keywords": ["label1", "label2"], "validation": {"field2": {"type": "number", "min": 100}}}}})
+    ruled = {r.source_file: [(e.field, e.code) for e in r.errors] for r in Pipeline(c).parse(docs).where("doc_type = 'letter'").collect()}
+    assert ruled == {"letter.pdf": [("field2", "min")], "empty.pdf": [("field1", "required")]}
+    assert Pipeline(parser="letter").parse(docs.where("false")).count() == 0
+
+
+def test_template_fields_in_sql(spark):
+    name = register_template_fields(spark)
+    docs = spark.createDataFrame([(1, "A: x \nb: 2"), (2, None), (3, "a:   \nB: y")], "k int, text string")
+    rows = spark.sql(f"SELECT k, first, second, bare FROM {{d}}, LATERAL {name}(text, first => 'A:[ ]*(.*)', second => 'b: (\\\\d)', bare => 'b: .')", d=docs).collect()
+    assert sorted(rows) == [(1, "x", "2", "b: 2"), (2, None, None, None), (3, None, None, "B: y")]
+    for call in ("text", "text, a => lower(text)", "k, a => 'x'", "text, a => '('"):
+        with pytest.raises(Exception, match="pattern|text|parenthesis"):
+            spark.sql(f"SELECT * FROM {{d}}, LATERAL {name}({call})", d=docs).collect()
+
+
+@pytest.mark.parametrize("write", [sinks.write_csv, sinks.write_json, sinks.write_json_document])
+def test_an_export_that_fails_leaves_the_old_output(spark, tmp_path, write):
+    path = f"{tmp_path}/out.data"
+    good = one_record(spark, total=1.0, note="first")
+    write(good, path)
+    before = {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path)}
+    fails = F.when(F.col("rec_ord") == 3, F.raise_error(F.lit("half way"))).otherwise(F.lit("f"))
+    bad = one_record(spark, total=2.0, note="second").withColumn("rec_ord", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), F.struct(e["v"]["t"].alias("t"), F.coalesce(fails, e["v"]["s"]).alias("s"), e["v"]["n"].alias("n")).alias("v"))))
+    with pytest.raises(Exception, match="half way"):
+        write(bad, path)
+    assert {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path)} == before and os.listdir(tmp_path) == ["out.data"]
+    write(one_record(spark, total=3.0, note="third"), path)
+    assert "third" in "".join(open(f"{path}/{f}").read() for f in os.listdir(path) if f.startswith("part-")) and os.listdir(tmp_path) == ["out.data"]
+
+
 @pytest.fixture
 def records(spark):
     rows = spark.createDataFrame([(0, 0, "uno, \"dos\"", 1.5, "x", True), (0, 1, None, 2e12, "y", False), (1, 0, "línea\nnueva", None, "z", None)], "f int, r int, texto string, n double, oculto string, b boolean")
