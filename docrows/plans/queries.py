@@ -23,7 +23,7 @@ from ..operators.validate import FieldRule, GlobalRules, Validation, validate, w
 from ..operators.wide import counts, field_names, run_stats, widen
 from ..sources.documents import latest
 from ..sources.shared import shared_dir
-from ..sources.sinks import csv_lines, json_columns, json_rows
+from ..sources.sinks import csv_lines, json_columns, json_rows, variant_rows, widen_variants
 from ..streaming.watch import ingest, into
 from .pipeline import Pipeline, register_template
 
@@ -473,6 +473,19 @@ def json_column_orient(t):
     return json_columns(r.withColumn("file_ord", cell("entries", "file")["n"].cast("int")), ["n_name", "region"], by_file=True)
 
 
+@query("""
+SELECT o_orderkey, o_orderkey::DOUBLE AS key, 'say "' || o_orderpriority || '", ok' AS note, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice, 2) END AS f0, CASE WHEN o_orderkey % 3 = 1 THEN round(o_totalprice, 2) END AS f1,
+  CASE WHEN o_orderkey % 3 = 2 THEN round(o_totalprice, 2) END AS f2 FROM orders
+""")
+def variant_columns(t):
+    """Records as VARIANT, each with a field of its own; the columns follow from one aggregate over them."""
+    own = entry(F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")), number_cell(F.round("o_totalprice", 2)))
+    r = order_records(t).join(t("orders").select(F.col("o_orderkey").cast("int").alias("rec_ord"), F.array(own).alias("own")), "rec_ord")
+    wide = widen_variants(variant_rows(r.withColumn("entries", F.concat("entries", "own"))))
+    return wide.drop("file_ord").withColumnRenamed("rec_ord", "o_orderkey").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts, event_id LIMIT 20")
 def preview(t):
     r = t("events").orderBy("ts", "event_id").limit(20)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import re
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField, StructType
 
 from ..functions.lexicon import SHEET_DATES, SHEET_NUMBER
 from ..operators.model import cell, number_cell
@@ -99,6 +101,39 @@ def json_rows(records: DataFrame, internal: bool = False) -> DataFrame:
     return records.select("file_ord", "rec_ord", F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("json"))
 
 
+def variant_rows(records: DataFrame, internal: bool = False) -> DataFrame:
+    """file_ord, rec_ord, record: each record as one VARIANT, whatever fields it has; nested cells are nested values."""
+    return json_rows(records, internal).select("file_ord", "rec_ord", F.parse_json("json").alias("record"))
+
+
+def variant_schema(rows: DataFrame) -> StructType:
+    """The fields of all records of ``rows``, by name, with the narrowest type that holds their values. One aggregate; its one row comes to the driver."""
+    told = rows.agg(F.schema_of_variant_agg("record").alias("schema")).first()["schema"] or ""
+    inner = re.fullmatch(r"OBJECT<(.*)>", told, re.S)
+    return StructType.fromDDL(re.sub(r"\bOBJECT<", "STRUCT<", inner[1])) if inner and inner[1] else StructType()
+
+
+def widen_variants(rows: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """A typed column for each field of records as VARIANT: numbers are doubles, texts and truth values themselves, other values JSON."""
+
+    def column(f: StructField) -> Column:
+        kind = "string" if isinstance(f.dataType, StringType) else "boolean" if isinstance(f.dataType, BooleanType) else "double" if isinstance(f.dataType, NumericType) else None
+        mark = next((m for m in "'\"" if m not in f.name), None)
+        if mark is None:  # no path can name it
+            return F.from_json(F.to_json("record"), "map<string,string>")[f.name].try_cast(kind or "string").alias(f.name)
+        value = F.variant_get("record", f"$[{mark}{f.name}{mark}]", kind or "variant")
+        return (value if kind else F.when(~F.is_variant_null(value), F.to_json(value))).alias(f.name)
+
+    return rows.select("file_ord", "rec_ord", *(column(f) for f in (variant_schema(rows) if schema is None else schema)))
+
+
+def write_variants(records: DataFrame, path: str) -> str:
+    """A Parquet folder of records as VARIANT, in their order: nothing is widened, and no names are gathered."""
+    with staged(records.sparkSession, path) as new:
+        variant_rows(records, internal=True).orderBy("file_ord", "rec_ord").write.mode("overwrite").parquet(new)
+    return path
+
+
 def json_columns(records: DataFrame, names: list[str] | None = None, by_file: bool = False) -> DataFrame:
     """name, position, values: a column for each field, as a JSON array in the records' order; missing cells are null.
 
@@ -214,7 +249,7 @@ def sheet_cell(v: Column) -> Column:
 
 
 #: Formats by name; more can be registered. An online sheet is not reachable from here, and like any unknown format becomes CSV.
-SINKS: dict[str, Callable[..., str]] = {"csv": write_csv, "json": write_json, "xlsx": write_xlsx}
+SINKS: dict[str, Callable[..., str]] = {"csv": write_csv, "json": write_json, "xlsx": write_xlsx, "variant": write_variants}
 
 
 def register_sink(kind: str, write: Callable[..., str]) -> None:

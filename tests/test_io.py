@@ -161,6 +161,21 @@ def test_process_file_and_dry_run(spark, folder):
     assert cell_of(Pipeline(parser="titles").process_file(spark, f"{folder}/in/a.pdf").records.first(), "t") == "Factura"
 
 
+def test_records_as_variants(spark, records, tmp_path):
+    """Written and read back: each record as it is, and columns with the types that an aggregate finds."""
+    path = sinks.export(records, str(tmp_path), "out", "variant")
+    back = spark.read.parquet(path)
+    assert back.schema["record"].dataType.simpleString() == "variant"
+    kinds = {f.name: f.dataType.simpleString() for f in sinks.variant_schema(back)}
+    assert kinds["texto"] == "string" and kinds["b"] == "boolean" and set(kinds) == {"texto", "n", "_oculto", "b", "items"}
+    wide = {(r.file_ord, r.rec_ord): r for r in sinks.widen_variants(back).collect()}
+    assert wide[(0, 0)].texto == 'uno, "dos"' and wide[(0, 0)].n == 1.5 and wide[(0, 0)].b is True and json.loads(wide[(0, 0)]["items"]) == [{"q": 1}]
+    assert wide[(0, 1)].texto is None and wide[(0, 1)].n == 2e12 and wide[(1, 0)].b is None and wide[(1, 0)].texto == "línea\nnueva"
+    odd = one_record(spark, **{"it's a \\ name": 2.0, "o o": "x", '\'"': "both"})
+    assert sinks.widen_variants(sinks.variant_rows(odd)).drop("file_ord", "rec_ord").first().asDict() == {"it's a \\ name": 2.0, "o o": "x", '\'"': "both"}
+    assert len(sinks.variant_schema(sinks.variant_rows(odd.where("false")))) == 0 and "_oculto" not in sinks.variant_schema(sinks.variant_rows(records)).names
+
+
 class Letter(TemplateParser):
     PARSER_NAME, PATTERNS = "letter", {"field1": r"Label1:\s*(.+)", "field2": r"Label2:\s*(\d+)"}
     REQUIRED_FIELDS, KEYWORDS = ("field1", "field2"), ("label1", "label2")
