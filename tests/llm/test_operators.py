@@ -630,6 +630,46 @@ def test_language_id(spark, monkeypatch):
     assert {r.lang_pred for r in language_id.identify_language(docs(spark, [(1, "ba be"), (2, "bi")]), same).collect()} == {"aa"}  # a tie
 
 
+def test_language_id_against_plain_model(spark):
+    """Trigram by trigram, with dicts; scores equal to the last bit, however the rows are dealt."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = random.Random(24)
+    sounds = {"aa": "ba be Bi bo", "bb": "kra kre kri", "cc": "ñu ña lo ß"}
+    make = lambda lang: "".join(rng.choice(sounds[lang].split()) + rng.choice(["", " ", " ", ". ", "1", "\n"]) for _ in range(rng.randrange(1, 60)))
+    rows = [(k, make(lang), lang) for k in range(240) for lang in [rng.choice(list(sounds))]]
+    rows += [(1000, "12 !?", "aa"), (1001, None, "bb"), (1002, "", None), (1003, "Ǆ x", None), (1004, "bakra " * 30, None), (1004, "bakra " * 30, None)]
+    basis = {}
+
+    def vector(c):
+        if c not in basis:
+            basis[c] = language_id.letter_vectors(np.array([ord(c)]), language_id.DIMENSIONS)[0].astype(np.int64)
+        return basis[c]
+
+    def bundle(text):
+        low = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        x, total = f" {low} ", np.zeros(language_id.DIMENSIONS, np.int64)
+        for a, b, c in zip(x, x[1:], x[2:]):
+            total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        return total, bool(low)
+
+    learned = {lang: sum(bundle(t)[0] for k, t, x in rows if x == lang and k % 3) for lang in sounds}
+    proto = {lang: np.rint(v / np.linalg.norm(v) * 2**20) for lang, v in learned.items()}
+
+    def plain(text):
+        v, has = bundle(text)
+        cos = {lang: float(v @ m) / np.sqrt(m @ m) / max(np.sqrt(float(v @ v)), 1) for lang, m in proto.items()}
+        best = max(sorted(cos), key=cos.get)
+        return (best, min(max(cos[best], 0.0), 1.0)) if has else ("und", 0.0)
+
+    d = docs(spark, [r[:2] for r in rows], langs=[r[2] for r in rows])
+    profiles = language_id.learn_profiles(d, F.col("doc_id") % 3 != 0)
+    want = sorted((k, *plain(t)) for k, t, _ in rows)
+    for dealt in (d.repartition(1), d.repartition(7), d.orderBy(F.desc("doc_id"))):
+        assert sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify_language(dealt, profiles).collect()) == want
+
+
 def test_quality(spark, monkeypatch):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "rain", "falls", "on", "hills", "and", "runs", "down", "again"]) for _ in range(rng.randrange(5, 80)))
