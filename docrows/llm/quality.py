@@ -29,7 +29,7 @@ ORDER = 5
 #: Rows of the model (n-grams and contexts) that a task holds at once, 16 bytes each.
 SHARD = 3_000_000
 #: Bytes of texts that meet all shards before the next ones are read.
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Ids of trusted rows that may be broadcast, 8 bytes each; more are joined by a shuffle.
 IDS = 2_000_000
 #: Distinct n-grams that a counting task holds before it sends them on.
@@ -104,17 +104,14 @@ def train(texts: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """A part of the model as sorted arrays."""
+    """A part of the model as sorted arrays, from a table in the order of its levels (kind and size) and n-grams."""
 
     def __init__(self, rows: pa.Table):
-        kind, size = np.array(rows.column("kind").to_pylist()), rows.column("size").to_numpy()
-        gram, x = rows.column("gram").to_numpy().view(np.uint64), rows.column("x").to_numpy()
-        self.tables = {}
-        for k in "pb":
-            for s in range(ORDER + 1):
-                own = np.flatnonzero((kind == k) & (size == s))
-                own = own[np.argsort(gram[own], kind="stable")]  # those of a file are in order
-                self.tables[k, s] = gram[own], x[own]
+        level, gram, x = (rows.column(c).to_numpy() for c in ("level", "gram", "x"))
+        gram = gram.view(np.uint64)
+        ends = np.searchsorted(level, np.arange(2 * (ORDER + 1) + 1))
+        of = lambda k, s: slice(ends[k * (ORDER + 1) + s], ends[k * (ORDER + 1) + s + 1])
+        self.tables = {(kind, s): (gram[of(k, s)], x[of(k, s)]) for k, kind in enumerate("bp") for s in range(ORDER + 1)}
 
     def _find(self, kind: str, size: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, x = self.tables[kind, size]
@@ -139,6 +136,18 @@ class Shard:
         return total
 
 
+_held: dict[str, Shard] = {}  # the shard that this worker has read last
+
+
+def read_shard(name: str) -> Shard:
+    """A shard by the name of its file, which Spark has brought here; a worker holds one at a time, and keeps it for its next task."""
+    if name not in _held:
+        _held.clear()
+        none = pa.table({"level": pa.array([], pa.int8()), "gram": pa.array([], pa.int64()), "x": pa.array([], pa.float64())})
+        _held[name] = Shard(pq.read_table(SparkFiles.get(name)) if name else none)
+    return _held[name]
+
+
 def shard_files(model: DataFrame) -> tuple[list[int], list[str]]:
     """The first pair of bytes of each shard, and the names of the files that Spark brings to the executors, by shard."""
     spark = model.sparkSession
@@ -156,8 +165,9 @@ def shard_files(model: DataFrame) -> tuple[list[int], list[str]]:
     of_pair = spark.createDataFrame([(b, int(k)) for b, k in enumerate(np.searchsorted(begins, np.arange(1 << 16), "right") - 1)], "pair int, shard int")
     one = model.withColumn("pair", pair)
     every = one.where("pair IS NULL").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(len(begins) - 1))))
-    rows = one.join(F.broadcast(of_pair), "pair").unionByName(every, allowMissingColumns=True).select("shard", "kind", F.col("size").cast("byte").alias("size"), "gram", "x")
-    table = materialize(rows.repartitionById(len(begins), F.col("shard")).sortWithinPartitions("kind", "size", "gram"), "shards", keep=True)  # executors that come later fetch it too
+    level = (F.when(F.col("kind") == "p", ORDER + 1).otherwise(0) + F.col("size")).cast("byte")
+    rows = one.join(F.broadcast(of_pair), "pair").unionByName(every, allowMissingColumns=True).select("shard", level.alias("level"), "gram", "x")
+    table = materialize(rows.repartitionById(len(begins), F.col("shard")).sortWithinPartitions("level", "gram"), "shards", keep=True)  # executors that come later fetch it too
     names: list[str] = [""] * len(begins)
     for path in table.inputFiles():
         spark.sparkContext.addFile(path)
@@ -174,28 +184,25 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str =
     made already. Their files stay for as long as the session.
     """
     begins, names = shards or shard_files(model)
-    shard_of = np.searchsorted(begins, np.arange(1 << 16), "right") - 1
+    shard_of = (np.searchsorted(begins, np.arange(1 << 16), "right") - 1).astype(np.uint16)
     sums = "__log_sum"
 
-    def read(k: int) -> Shard:
-        return Shard(pq.read_table(SparkFiles.get(names[k])) if names[k] else pa.table({"kind": pa.array([], pa.string()), "size": pa.array([], pa.int8()), "gram": pa.array([], pa.int64()), "x": pa.array([], pa.float64())}))
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, Shard | None] = (-1, None)
         for batch in batches:
             for piece in chunks(batch, text_col, PIECE if len(names) > 1 else 1 << 20):
                 code, of, size = grams(Texts(piece.column(text_col)))
                 got = np.zeros(len(size))
-                shard = shard_of[((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int32)
-                order = np.argsort(shard, kind="stable") if len(names) > 1 else np.arange(len(code))
-                ends = np.searchsorted(shard[order], np.arange(len(names) + 1))
+                if len(names) > 1:
+                    of_shard = shard_of[((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16)]
+                    order = np.argsort(of_shard, kind="stable")
+                    ends = np.searchsorted(of_shard[order], np.arange(len(names) + 1))
+                else:
+                    order, ends = np.arange(len(code)), np.array([0, len(code)])
                 for k in np.flatnonzero(np.diff(ends)).tolist():
-                    if held[0] != k:
-                        held = (-1, None)
-                        held = (k, read(k))
+                    shard = read_shard(names[k])
                     for a in range(ends[k], ends[k + 1], 1 << 20):
                         own = order[a : min(a + (1 << 20), ends[k + 1])]
-                        got += np.bincount(of[own], weights=held[1].score(code[own]), minlength=len(size))
+                        got += np.bincount(of[own], weights=shard.score(code[own]), minlength=len(size))
                 yield piece.append_column(sums, pa.array(got))
 
     shape = docs.withColumn(sums, F.lit(0.0)).schema
