@@ -51,9 +51,9 @@ def records(df: DataFrame, ord_: Column | str, *fields: Column) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of a table of fewer files than there are cores, dealt to all cores: much is made of each of them."""
+    """The rows of a table that is read in fewer parts than there are cores, dealt to all cores: much is made of each of them. A large table stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def us(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """A small decoder for PDF files, from the public specification: the page tree, Flate streams, text and path operators.
 
-It reads simple fonts in Latin-1; files that keep their objects in compressed object streams are read in the order of their
-content streams. Richer decoders are passed to sources.documents as ``decode``.
+It reads simple fonts in Latin-1, and objects that stand alone or in object streams. Richer decoders are passed to
+sources.documents as ``decode``.
 """
 
 from __future__ import annotations
@@ -60,11 +60,22 @@ def stream(piece: bytes) -> bytes:
     return b"\n".join(out)
 
 
+def _packed(body: bytes) -> dict[int, bytes]:
+    """The objects in an object stream, by number. Its head has their numbers and places, in pairs."""
+    data, first = stream(body), re.search(rb"/First\s+(\d+)", body)
+    head = [int(x) for x in re.findall(rb"\d+", data[: int(first[1])])] if first else []
+    begins = sorted(zip(head[1::2], head[::2]))
+    ends = [*(at for at, _ in begins[1:]), len(data)]
+    return {n: data[int(first[1]) + at : int(first[1]) + end] for (at, n), end in zip(begins, ends)}
+
+
 class PdfPages:
     """The pages of a file in the order of its page tree, blank ones too. A page is decoded when it is asked for."""
 
     def __init__(self, content: bytes):
         self.objects = {int(n): body for n, body in _OBJECT.findall(content)}
+        for body in [b for b in self.objects.values() if re.search(rb"/Type\s*/ObjStm\b", b)]:
+            self.objects = _packed(body) | self.objects
         self.tree: list[tuple[int, ...]] = []  # each page with the nodes above it, nearest first
         roots = [n for n, body in self.objects.items() if re.search(rb"/Type\s*/Pages\b", body) and not re.search(rb"/Parent\b", body)]
         todo, seen = [(n,) for n in roots[:1]], set()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import uuid
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,22 @@ def test_layout_of_a_content_stream():
     assert pdf_text.PdfPages(b"junk").layout(0) == ([], []) and len(pdf_text.PdfPages(b"junk")) == 0
 
 
+def test_objects_in_object_streams():
+    """Pages and fonts packed into a compressed stream, as later versions of the format keep them; the contents stand alone."""
+    kids = {5: "<< /Type /Page /Parent 2 0 R /Contents 20 0 R >>", 2: "<< /Type /Pages /Kids [4 0 R 5 0 R] /MediaBox [0 0 500 600] >>", 4: "<< /Type /Page /Parent 2 0 R /Contents 21 0 R >>", 1: "<< /Type /Catalog /Pages 2 0 R >>"}
+    body, head = "", ""
+    for n, text in kids.items():
+        head += f"{n} {len(body)} "
+        body += text + " "
+    packed = zlib.compress((head + body).encode())
+    contents = {20: say(50, 500, "second"), 21: say(50, 500, "first")}
+    raw = b"%%PDF-1.5\n9 0 obj\n<< /Type /ObjStm /N 4 /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (len(head), len(packed)) + packed + b"\nendstream\nendobj\n"
+    raw += b"".join(f"{n} 0 obj\n<< /Length {len(c)} >>\nstream\n{c}\nendstream\nendobj\n".encode() for n, c in contents.items())
+    file = pdf_text.PdfPages(raw)
+    assert [file.text(k) for k in range(len(file))] == ["first", "second"] and file.layout(1)[0] == [(50, 80, 92, 102, "second")]
+    assert len(pdf_text.PdfPages(raw.replace(b"/First", b"/Fist"))) == 2  # content streams alone are left
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_planted_grids(spark, seed):
     """Ruled and aligned grids at random, a page each: ragged rows, wrapped cells, spanning cells, two tables on a page."""
