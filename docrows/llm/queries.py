@@ -139,6 +139,21 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
 
 
+#: All links by shared shingles, and what each document reaches by them; the query finds them with a probability of 0.995 each, on copies of copies by other ways too.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS m, b.n AS n, count(*) AS q FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT a, b FROM p WHERE 100 * q >= 80 * (m + n - q)),
+k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.a
+"""
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "lang", "perplexity", "limit", "rejected")
@@ -216,7 +231,9 @@ d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, C
       FROM h WHERE how <> 0),
 e AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE how = 3),
 f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, substr(role, 1, 1) AS initial FROM e),
-g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN again > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN again > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault,
              lag(initial) OVER w AS earlier, row_number() OVER w AS i FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
 c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'b')::BIGINT AS blank, count_if(fault = 'd')::BIGINT AS duplicate,
              count_if(fault = 't')::BIGINT AS truncated, count_if(earlier || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal,
@@ -269,4 +286,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_conversation_repair": op12_conversation_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_quality_rules": OP11_SQL, "op12_conversation_repair": _op12_sql(), "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_quality_rules": OP11_SQL, "op12_conversation_repair": _op12_sql(), "op13_fill_in_middle": OP13_SQL}
