@@ -21,8 +21,8 @@ from docrows.operators.normalize import normalize
 from docrows.operators.template import TemplateParser, register_template_fields
 from docrows.operators.validate import FieldRule, InRange, NonNegative, Required, Validation, renumber, validate, with_errors
 from docrows.operators.wide import distinct_values
-from docrows.plans.config import from_dict, load, spark_format
-from docrows.plans.pipeline import Pipeline, get_parser, register_parser, register_template
+from docrows.plans.config import DECLARED, from_dict, load, spark_format
+from docrows.plans.pipeline import PARSERS, Pipeline, get_parser, register_parser, register_template
 from docrows.sources import pdf_text, sinks
 from docrows.sources.documents import Decoder, DocumentSource, latest_outputs, numbered_paths, page_counts, read_document, read_documents, read_output, read_pages
 from docrows.streaming.jobs import JobManager, NoOutput, UnknownJob, catalog
@@ -181,8 +181,10 @@ class Letter(TemplateParser):
     REQUIRED_FIELDS, KEYWORDS = ("field1", "field2"), ("label1", "label2")
 
 
-def test_template_parser(spark, folder):
+def test_template_parser(spark, folder, monkeypatch):
     """A parser declared by patterns: found by its keywords, its required fields validated, rules of its own where configured."""
+    for registry in (PARSERS, DECLARED):  # it is forgotten after the test
+        monkeypatch.setitem(registry, "letter", None)
     register_template(Letter)
     (folder / "in" / "letter.pdf").write_bytes(pdf("Label1:  expected_value\nLABEL2: 17 pages"))
     (folder / "in" / "empty.pdf").write_bytes(pdf("label1 and label2 without values"))
