@@ -55,16 +55,24 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new: list[tuple[np.ndarray, np.ndarray]] = []  # of texts since the last merge
+
+    def merge() -> None:
+        nonlocal keys, n
+        keys, where = np.unique(np.concatenate([keys, *(k for k, _ in new)]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([n, *(m for _, m in new)]), minlength=len(keys)).astype(np.int64)
+        new.clear()
+
     out = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
     for batch in batches:
-        for part in chunks(batch, "text", 4 << 20):
-            new, many = np.unique(grams(Texts(part.column("text")))[0], return_counts=True)
-            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([n, many]), minlength=len(both)).astype(np.int64)
-            keys = both
+        for part in chunks(batch, "text", 1 << 20):
+            new.append(np.unique(grams(Texts(part.column("text")))[0], return_counts=True))
+            if sum(len(k) for k, _ in new) > max(len(keys), 1 << 18):
+                merge()
             if len(keys) > HELD:
                 yield out()
                 keys, n = keys[:0], n[:0]
+    merge()
     yield out()
 
 
@@ -136,16 +144,10 @@ class Shard:
         return total
 
 
-_held: dict[str, Shard] = {}  # the shard that this worker has read last
-
-
 def read_shard(name: str) -> Shard:
-    """A shard by the name of its file, which Spark has brought here; a worker holds one at a time, and keeps it for its next task."""
-    if name not in _held:
-        _held.clear()
-        none = pa.table({"level": pa.array([], pa.int8()), "gram": pa.array([], pa.int64()), "x": pa.array([], pa.float64())})
-        _held[name] = Shard(pq.read_table(SparkFiles.get(name)) if name else none)
-    return _held[name]
+    """A shard by the name of its file, which Spark has brought here."""
+    none = pa.table({"level": pa.array([], pa.int8()), "gram": pa.array([], pa.int64()), "x": pa.array([], pa.float64())})
+    return Shard(pq.read_table(SparkFiles.get(name)) if name else none)
 
 
 def shard_files(model: DataFrame) -> tuple[list[int], list[str]]:
@@ -188,6 +190,7 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str =
     sums = "__log_sum"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Shard] = {}  # one at most
         for batch in batches:
             for piece in chunks(batch, text_col, PIECE if len(names) > 1 else 1 << 20):
                 code, of, size = grams(Texts(piece.column(text_col)))
@@ -199,10 +202,12 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str =
                 else:
                     order, ends = np.arange(len(code)), np.array([0, len(code)])
                 for k in np.flatnonzero(np.diff(ends)).tolist():
-                    shard = read_shard(names[k])
+                    if k not in held:
+                        held.clear()
+                        held[k] = read_shard(names[k])
                     for a in range(ends[k], ends[k + 1], 1 << 20):
                         own = order[a : min(a + (1 << 20), ends[k + 1])]
-                        got += np.bincount(of[own], weights=shard.score(code[own]), minlength=len(size))
+                        got += np.bincount(of[own], weights=held[k].score(code[own]), minlength=len(size))
                 yield piece.append_column(sums, pa.array(got))
 
     shape = docs.withColumn(sums, F.lit(0.0)).schema
