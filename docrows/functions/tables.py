@@ -6,16 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import ITEM_FIELDS, ITEM_TERMS, SUMMARY_TERMS, TABLE_TERMS
-from .text import blank, collapse, count_terms, has_term, strip
+from .text import blank, collapse, count_terms, has_term, let, strip
 
 
 def clean_table(table: Column, min_rows: int = 2, min_cols: int = 2) -> Column:
-    """Cells collapsed, ``nan``, ``none`` and blanks null, short rows padded with nulls; null if the table is too small."""
-    cell = lambda c: F.when(~F.lower(strip(c)).isin("", "nan", "none"), strip(collapse(c)))
+    """Cells collapsed, ``nan``, ``none`` and blanks null, short rows padded with nulls; null if the table is too small.
+
+    Rows are cleaned once and their width is found once, not again for each row.
+    """
+    known = lambda c: F.when(~F.lower(c).isin("", "nan", "none"), collapse(c))
+    cell = lambda c: let(strip(c), known)
     rows = F.transform(F.filter(table, lambda r: F.size(r) > 0), lambda r: F.transform(r, cell))
-    width = F.array_max(F.transform(rows, F.size))
-    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r))))
-    return F.when((F.size(rows) >= min_rows) & (width >= min_cols), padded)
+    pad = lambda r, width: F.when(F.size(r) < width, F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r)))).otherwise(r)
+    sized = lambda rs, width: F.when((F.size(rs) >= min_rows) & (width >= min_cols), F.transform(rs, lambda r: pad(r, width)))
+    return let(rows, lambda rs: let(F.array_max(F.transform(rs, F.size)), lambda width: sized(rs, width)))
 
 
 def clean_tables(tables: Column, min_rows: int = 2, min_cols: int = 2) -> Column:
@@ -64,10 +68,14 @@ def item_header_row(table: Column) -> Column:
 
 def item_field(header: Column) -> Column:
     """The item field that a header stands for; null if it stands for none."""
-    low, out = F.lower(strip(header)), F
-    for field, terms in ITEM_FIELDS.items():
-        out = out.when(has_term(low, terms), field)
-    return out
+
+    def named(low: Column) -> Column:
+        out = F
+        for field, terms in ITEM_FIELDS.items():
+            out = out.when(has_term(low, terms), field)
+        return out
+
+    return let(F.lower(strip(header)), named)
 
 
 def table_type(table: Column) -> Column:

@@ -30,7 +30,7 @@ def collapse(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def clean_text(c: Column) -> Column:
@@ -71,13 +71,17 @@ def all_matches(c: Column, pattern: str, group: int = 1, flags: str = "imd") ->
 
 
 def count_terms(c: Column, terms: tuple[str, ...]) -> Column:
-    """How many of the terms a lower-cased text contains."""
-    total = lambda low: reduce(lambda a, b: a + b, (F.contains(low, F.lit(t)).cast("int") for t in terms))
-    return let(F.lower(F.coalesce(c, F.lit(""))), total)
+    """How many of the terms a text contains in lower case."""
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda low: count_in(low, terms))
+
+
+def count_in(low: Column, terms: tuple[str, ...]) -> Column:
+    """How many of the terms a text contains as it is."""
+    return reduce(lambda a, b: a + b, (F.contains(low, F.lit(t)).cast("int") for t in terms))
 
 
 def has_term(c: Column, terms: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(t)) for t in terms))
+    return let(c, lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(t)) for t in terms)))
 
 
 def split_sections(c: Column, patterns: list[str]) -> Column:

@@ -22,11 +22,15 @@ def header_fields(text: Column) -> dict[str, Column]:
 
 
 def items_from_text(text: Column) -> Column:
-    """Items of a text: the whole matches first, in one scan, then the parts of each."""
-    pattern = f"(?md){ITEM_PATTERNS['full_line']}"
+    """Items of a text: the whole matches first, in one scan, then the parts of each.
+
+    A text without two numbers side by side has none and isn't searched, and no search begins inside a number, where it would end as at its start.
+    """
+    pattern = f"(?md)(?<![0-9]){ITEM_PATTERNS['full_line']}"
     parts = ("quantity", "description", "unit_price", "line_total")
     item = lambda m: F.struct(*(strip(F.regexp_extract(m, pattern, g)).alias(n) for g, n in enumerate(parts, 1)), F.lit(None).cast("string").alias("unit"))
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), item)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), item)
+    return F.when(~text.rlike("[0-9,.]\\s+\\$?[0-9,.]"), F.array().cast(f"array<{ITEM}>")).otherwise(found)
 
 
 def short_items(text: Column) -> Column:

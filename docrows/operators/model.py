@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 CELL = "struct<t:string,s:string,n:double>"
 ENTRIES = f"array<struct<k:string,v:{CELL}>>"
 DOCUMENT = "path string, file_name string, file_ord int, text string, tables array<array<array<string>>>, extraction_method string"
@@ -33,9 +35,14 @@ def entry(k: Column | str, v: Column) -> Column:
 
 def as_map(pairs: Column) -> Column:
     """Of entries with the same name, the last one's value at the first one's place."""
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
-    last = lambda p: F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), -1)["v"]
-    return F.transform(first, lambda p: F.struct(p["k"].alias("k"), last(p).alias("v")))
+
+    def merged(pairs: Column) -> Column:
+        first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
+        last = lambda p: F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), -1)["v"]
+        own = F.size(F.array_distinct(F.transform(pairs, lambda p: p["k"]))) == F.size(pairs)
+        return F.when(own, pairs).otherwise(F.transform(first, lambda p: F.struct(p["k"].alias("k"), last(p).alias("v"))))
+
+    return let(pairs, merged)
 
 
 def cell(entries: Column | str, name: str) -> Column:

@@ -17,8 +17,8 @@ def value_cell(value: Column, field: Column, formats: tuple[str, ...] = DATE_FOR
     """Cell of a composed text: a date by the known formats or, with ``guess``, of a free form, a number, or text; blank is null."""
 
     def typed(v: Column) -> Column:
-        plain = F.when(looks_like_date(v, field), text_cell(normal_date(v, formats, out, guess))).when(looks_like_number(v, field), number_cell(to_number(v)))
-        return F.when(v == "", text_cell(F.lit(None))).otherwise(plain.otherwise(text_cell(normal_text(v, nfc=False))))
+        plain = F.when(looks_like_date(v, field), let(normal_date(v, formats, out, guess), text_cell)).when(looks_like_number(v, field), let(to_number(v), number_cell))
+        return F.when(v == "", text_cell(F.lit(None))).otherwise(plain.otherwise(let(normal_text(v, nfc=False), text_cell)))
 
     return let(strip(value), typed)
 
