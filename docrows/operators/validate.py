@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_date
 from ..functions.lexicon import CHECKED_DATES, MESSAGES, TOTAL_FIELDS
-from ..functions.text import blank
+from ..functions.text import blank, let
 from .model import cell
 
 ERROR = "struct<field:string,code:string,message:string>"
@@ -115,19 +115,23 @@ def with_errors(records: DataFrame, rules: Iterable[FieldRule], shared: GlobalRu
     rules, shared = list(rules), shared or GlobalRules()
     own = [(kind, r) for kind, some in (typed or {}).items() for r in some]
     names = list(dict.fromkeys([r.name for r in rules] + [r.name for _, r in own] + list(shared.names())))
-    bound = {n: f"__cell_{i}" for i, n in enumerate(names)}  # each field is looked up once, not again for each check
-    cells = {n: F.col(c) for n, c in bound.items()}
-    told = [(r.name, *c) for r in rules for c in r.checks(cells[r.name])]
-    told += [(r.name, code, (F.col("doc_type") == kind) & when, text) for kind, r in own for code, when, text in r.checks(cells[r.name])]
-    told += shared.checks(cells)
+    bound = {n: f"c{i}" for i, n in enumerate(names)}
+
+    def told(all_: Column) -> list[tuple[str, str, Column, Column | str]]:
+        cells = {n: all_[c] for n, c in bound.items()}
+        out = [(r.name, *c) for r in rules for c in r.checks(cells[r.name])]
+        out += [(r.name, code, (F.col("doc_type") == kind) & when, text) for kind, r in own for code, when, text in r.checks(cells[r.name])]
+        return out + shared.checks(cells)
 
     def one(name: str, code: str, when: Column, text: Column) -> Column:
         return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("field"), F.lit(code).alias("code"), F.concat(row, text).alias("message")))
 
-    if not told:
+    if not names:
         return records.withColumn("errors", F.array().cast(f"array<{ERROR}>"))
-    wide = records.withColumns({c: cell("entries", n) for n, c in bound.items()})
-    return wide.withColumn("errors", F.filter(F.array(*(one(*t) for t in told)), lambda e: e.isNotNull())).drop(*bound.values())
+    # entries are made once and each field is looked up once, also where a filter on the errors takes all of this below
+    looked_up = lambda entries: F.struct(*(cell(entries, n).alias(c) for n, c in bound.items()))
+    found = lambda all_: F.filter(F.array(*(one(*t) for t in told(all_))).cast(f"array<{ERROR}>"), lambda e: e.isNotNull())
+    return records.withColumn("errors", let(F.col("entries"), lambda entries: let(looked_up(entries), found)))
 
 
 def validate(records: DataFrame, v: Validation, typed: dict[str, Iterable[FieldRule]] | None = None) -> DataFrame:
