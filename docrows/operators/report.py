@@ -48,24 +48,24 @@ def delimiter(text: Column, min_columns: int = 2) -> Column:
 
     Of counts that are equally common the smallest is taken. Null if there is none, or under two lines.
     """
-    lines = F.split(text, "\n")
-    head = F.filter(F.slice(lines, 1, 10), lambda x: ~blank(x))
 
-    def common(mark: str) -> Column:
+    def common(head: Column, mark: str) -> Column:
         counts = F.transform(head, lambda x: ((F.length(x) - F.length(F.replace(x, F.lit(mark)))) / len(mark)).cast("int"))
         often = lambda all_: F.transform(all_, lambda v: F.struct(F.size(F.filter(all_, lambda w: w == v)).alias("n"), (-v).alias("less")))
         return let(counts, lambda all_: F.array_max(often(all_)))
 
-    fits = lambda best: (-best["less"] >= min_columns - 1) & (best["n"] >= F.size(head) * 0.6)
-    marks = F.array(*(F.when((F.size(lines) >= 2) & let(common(m), fits), F.lit(m)) for m in DELIMITERS))
-    return F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0))
+    fits = lambda head: lambda best: (-best["less"] >= min_columns - 1) & (best["n"] >= F.size(head) * 0.6)
+    first = lambda head: F.coalesce(*(F.when(let(common(head, m), fits(head)), F.lit(m)) for m in DELIMITERS))
+    filled = lambda lines: F.filter(F.slice(lines, 1, 10), lambda x: ~blank(x))
+    return let(F.split(text, "\n"), lambda lines: F.when(F.size(lines) >= 2, let(filled(lines), first)))
 
 
 def delimited_rows(docs: DataFrame, min_columns: int = 2) -> DataFrame:
     """Rows of delimited texts, as table_rows has them; the first line with enough parts is the header."""
     d = docs.withColumn("mark", delimiter(F.col("text"), min_columns)).where("mark IS NOT NULL")
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
-    parts = F.transform(F.filter("lines", lambda x: F.contains(x, F.col("mark"))), lambda x: F.split(x, F.concat(F.lit("\\Q"), F.col("mark"), F.lit("\\E"))))
+    by = lambda mark: F.transform(F.filter("lines", lambda x: F.contains(x, mark)), lambda x: F.split(x, F.concat(F.lit("\\Q"), mark, F.lit("\\E"))))
+    parts = let(F.col("mark"), by)  # the filters below take this to the text, where the mark would be found anew for each line
     d = d.withColumn("lines", lines).where(F.size("lines") >= 2).withColumn("parts", parts)
     at = F.array_position(F.transform("parts", lambda p: F.size(p) >= min_columns), F.lit(True)).cast("int")
     d = d.withColumn("at", at).where("at > 0").withColumn("headers", clean_headers(F.get("parts", F.col("at") - 1)))
