@@ -174,7 +174,7 @@ def find_tables(words: DataFrame, rules: DataFrame | None = None, by: tuple[str,
     found = None
     if rules is not None:
         found = ruled_tables(words, rules, keys)
-        ruled = found.select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()
+        ruled = ruled_cells(rules, keys).select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()  # each has a table; its words needn't be placed again to know
         words = words.join(ruled, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_anti")
     if aligned:
         text = aligned_tables(words, keys)
