@@ -14,8 +14,8 @@ def clean_table(table: Column, min_rows: int = 2, min_cols: int = 2) -> Column:
 
     Rows are cleaned once and their width is found once, not again for each row.
     """
-    known = lambda c: F.when(~F.lower(c).isin("", "nan", "none"), collapse(c))
-    cell = lambda c: let(strip(c), known)
+    said = lambda c, kept: F.when((F.length(c) > 4) | ~F.lower(c).isin("", "nan", "none"), kept(c))
+    cell = lambda c: F.when(c.rlike("^[!-~]+$"), said(c, lambda c: c)).otherwise(let(strip(c), lambda c: said(c, collapse)))  # noqa: E731 - a text without any white space is as it should be
     rows = F.transform(F.filter(table, lambda r: F.size(r) > 0), lambda r: F.transform(r, cell))
     pad = lambda r, width: F.when(F.size(r) < width, F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r)))).otherwise(r)
     sized = lambda rs, width: F.when((F.size(rs) >= min_rows) & (width >= min_cols), F.transform(rs, lambda r: pad(r, width)))

@@ -1,185 +1,259 @@
 """Cell grids from a page's geometry: positioned words, and ruled lines where there are any.
 
-Words are rows of x0, x1, top, bottom (points, y downwards) and text; rules are rows of x0, y0, x1, y1. ``by`` names the columns
-that tell pages apart. Every step is a window within a page, so one shuffle by page serves all of them.
+Words are structs of x0, x1, top, bottom (points, y downwards) and text; rules are structs of x0, y0, x1, y1. A page's are two
+arrays, brought together by one shuffle at most; each step is a function of these arrays, so that nothing is sorted or sent
+between them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import clean_table, filter_tables
+from ..functions.text import let
 
 PAGE = ("path", "page_ord")
+WORD, RULE = ("x0", "x1", "top", "bottom", "text"), ("x0", "y0", "x1", "y1")
 #: Lines and words within so many points stand at the same place or meet.
 TOLERANCE = 3.0
-#: Height of the bands in which words look for their cell.
-BAND = 32.0
 #: In a line of text, a gap of so many characters ends a cell; between lines, one of so many line heights ends a table.
 CELL_GAP, TABLE_GAP = 1.6, 2.0
 
 
-def _numbered(df: DataFrame, by: list[str], order: list[str], begins: Column, name: str) -> DataFrame:
-    """``name``: how many rows, up to this one, begin something."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.coalesce(begins, F.lit(False)).cast("int")).withColumn(name, F.sum(name).over(w.rowsBetween(W.unboundedPreceding, 0)))
+def _each(xs: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of each element, an array, one after the other."""
+    return F.flatten(F.transform(xs, use))
+
+
+def _some(xs: Column) -> Column:
+    return F.filter(xs, lambda x: x.isNotNull())
+
+
+def _fields(x: Column, *names: str) -> Column:
+    return F.struct(*(x[n].alias(n) for n in names))
+
+
+def _in_order(xs: Column, *names: str) -> Column:
+    """The elements with these fields alone, by these fields."""
+    return F.sort_array(F.transform(xs, lambda x: _fields(x, *names)))
+
+
+def _cut(xs: Column, starts: Column) -> Column:
+    """An array in pieces that begin at these places, which are counted from 0."""
+    return let(starts, lambda at: F.transform(at, lambda s, k: F.slice(xs, s + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - s)))
+
+
+def _groups(xs: Column, begins: Callable[[Column, Column], Column]) -> Column:
+    """Neighbours in pieces; ``begins`` tells of an element and the next one whether a piece begins with that."""
+    return let(xs, lambda xs: _cut(xs, _some(F.transform(xs, lambda x, i: F.when((i == 0) | begins(F.get(xs, i - 1), x), i)))))
+
+
+def _clusters(xs: Column, at: str, apart: float = TOLERANCE) -> Column:
+    """Elements in the order of ``at`` in pieces of those that follow each other closely."""
+    return _groups(xs, lambda a, b: b[at] - a[at] > apart)
+
 
+def _runs(xs: Column, low: str, high: str, apart: Column | float = 0.0) -> Column:
+    """Intervals by where they begin, in pieces of those that overlap, directly or by others between them, or stand at most ``apart``."""
+    far = lambda b, reach: b[low] - reach > apart
+    begins = lambda xs, x, i: far(x, F.get(xs, i - 1)[high]) & far(x, F.array_max(F.slice(xs[high], F.lit(1), i)))  # noqa: E731 - all before are looked at only where the last one is far
+    return let(xs, lambda xs: _cut(xs, _some(F.transform(xs, lambda x, i: F.when((i == 0) | begins(xs, x, i), i)))))
 
-def _clusters(df: DataFrame, by: list[str], at: str, name: str, apart: float = TOLERANCE) -> DataFrame:
-    """Numbers for values of ``at`` that follow each other closely."""
-    return _numbered(df, by, [at], F.col(at) - F.lag(at).over(W.partitionBy(*by).orderBy(at)) > apart, name)
 
+def joined_rules(rules: Column, flat: bool) -> Column:
+    """Horizontal (``flat``) or vertical lines snapped to common places and joined: place, low, high, by place and low."""
+    dx, dy = (lambda r: F.abs(r["x1"] - r["x0"])), (lambda r: F.abs(r["y1"] - r["y0"]))
+    along, aside = (("x0", "x1"), ("y0", "y1")) if flat else (("y0", "y1"), ("x0", "x1"))
+    own = F.filter(rules, lambda r: ((dx(r) >= dy(r)) & (dx(r) >= TOLERANCE)) if flat else ((dx(r) < dy(r)) & (dy(r) >= TOLERANCE)))
+    ends = lambda r: F.struct(((r[aside[0]] + r[aside[1]]) / 2).alias("place"), F.least(*(r[c] for c in along)).alias("low"), F.greatest(*(r[c] for c in along)).alias("high"))
+    line = lambda place: lambda part: F.struct(place.alias("place"), F.get(part, F.lit(0))["low"].alias("low"), F.array_max(part["high"]).alias("high"))
+    joined = lambda k: let(_mean(k["place"]), lambda place: F.transform(_runs(_in_order(k, "low", "high"), "low", "high", TOLERANCE), line(place)))
+    return _each(_clusters(F.sort_array(F.transform(own, ends)), "place"), lambda k: F.when(F.size(k) == 1, k).otherwise(joined(k)))
 
-def _runs(df: DataFrame, by: list[str], low: str, high: str, name: str, apart: Column | float = 0.0) -> DataFrame:
-    """Numbers for intervals that overlap, directly or by others between them, or stand at most ``apart``."""
-    order = [low, high]
-    before = F.max(high).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return _numbered(df, by, order, F.col(low) - before > apart, name)
 
+def _mean(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
 
-def joined_rules(rules: DataFrame, by: list[str]) -> DataFrame:
-    """Lines snapped to common places and joined: horizontal, place, low, high and the line's number (k, part)."""
-    dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
-    flat = dx >= dy
-    ends = lambda f: F.when(flat, f("x0", "x1")).otherwise(f("y0", "y1"))
-    place = F.when(flat, F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")) / 2
-    e = rules.where(F.greatest(dx, dy) >= TOLERANCE).select(*by, flat.alias("horizontal"), place.alias("place"), ends(F.least).alias("low"), ends(F.greatest).alias("high"))
-    e = _clusters(e, [*by, "horizontal"], "place", "k").withColumn("place", F.avg("place").over(W.partitionBy(*by, "horizontal", "k")))
-    e = _runs(e, [*by, "horizontal", "k"], "low", "high", "part", TOLERANCE)
-    return e.groupBy(*by, "horizontal", "k", "part").agg(F.first("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"))
 
+def _near(at: Column, line: Column) -> Column:
+    return (at >= line["low"] - TOLERANCE) & (at <= line["high"] + TOLERANCE)
 
-def ruled_cells(rules: DataFrame, by: list[str]) -> DataFrame:
-    """The rectangles that lines enclose, with table_ord, row and col; merged cells stand where they begin.
+
+def _meet(h: Column, v: Column) -> Column:
+    return _near(h["place"], v) & _near(v["place"], h)
+
+
+def crossings(h: Column, v: Column) -> Column:
+    """For each of the lines ``h``, the numbers of the lines ``v`` that cross it and go on beyond it."""
+    crosses = lambda a, b: (b["high"] > a["place"] + TOLERANCE) & _meet(a, b)
+    return let(v, lambda v: F.transform(h, lambda a: _some(F.transform(v, lambda b, j: F.when(crosses(a, b), j)))))
+
+
+def ruled_cells(h: Column, v: Column, downwards: Column, rightwards: Column) -> Column:
+    """The rectangles that horizontal and vertical lines enclose: x0, x1, y0, y1; merged cells stand where they begin.
 
     From a corner, a cell's top side ends at the next crossing that has a line downwards, its left side at the next one that
-    has a line to the right; it is a cell if lines close it there. Cells that touch are a table.
+    has a line to the right; it is a cell if lines close it there.
     """
-    lines = joined_rules(rules, by)
-    h, v = lines.where("horizontal").alias("h"), lines.where("NOT horizontal").alias("v")
-    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
-    near = lambda at, low, high: (F.col(at) >= F.col(low) - TOLERANCE) & (F.col(at) <= F.col(high) + TOLERANCE)
-    line = lambda a: F.struct(F.col(f"{a}.k").alias("k"), F.col(f"{a}.part").alias("part"))
-    points = h.join(v, [*same, near("h.place", "v.low", "v.high"), near("v.place", "h.low", "h.high")]).select(
-        *(F.col(f"h.{c}").alias(c) for c in by), F.col("v.place").alias("x"), F.col("h.place").alias("y"), line("h").alias("across"), line("v").alias("down"),
-        (F.col("h.low") < F.col("v.place") - TOLERANCE).alias("to_left"), (F.col("h.high") > F.col("v.place") + TOLERANCE).alias("to_right"),
-        (F.col("v.low") < F.col("h.place") - TOLERANCE).alias("to_top"), (F.col("v.high") > F.col("h.place") + TOLERANCE).alias("to_bottom"),
-    )
-    nearest = lambda test, what, line, at: F.last(F.when(F.col(test), F.col(what)), ignorenulls=True).over(
-        W.partitionBy(*by, line).orderBy(F.desc(at)).rowsBetween(W.unboundedPreceding, -1)
-    )
-    begun = points.withColumn("right_side", nearest("to_bottom", "down", "across", "x")).withColumn("bottom_side", nearest("to_right", "across", "down", "y"))
-    begun = begun.where("to_right AND to_bottom AND right_side IS NOT NULL AND bottom_side IS NOT NULL")
-    ends = points.where("to_left AND to_top").select(*(F.col(c).alias(f"_{c}") for c in by), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("across").alias("_across"), F.col("down").alias("_down"))
-    closed = [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("right_side") == F.col("_down"), F.col("bottom_side") == F.col("_across")]
-    cells = begun.join(ends, closed).select(*by, F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
-    cuts: list[str] = []
-    for low, high in (("y0", "y1"), ("x0", "x1")) * 2:  # tables above each other, beside each other, and so once more within those
-        cells = _runs(cells, [*by, *cuts], low, high, f"cut{len(cuts)}")
-        cuts.append(f"cut{len(cuts)}")
-    rank = lambda of, order: (F.dense_rank().over(W.partitionBy(*of).orderBy(*order)) - 1).cast("int")
-    cells = cells.withColumn("table_ord", rank(by, cuts))
-    return cells.select(*by, "table_ord", rank([*by, "table_ord"], ["y0"]).alias("row"), rank([*by, "table_ord"], ["x0"]).alias("col"), "x0", "y0", "x1", "y1")
-
-
-def ruled_tables(words: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
-    """Grids of ruled cells: ``by``, table_ord and grid. A word is in the cell that its middle is in."""
-    cells = ruled_cells(rules, by)
-    banded = cells.withColumn("band", F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.floor(F.col("y1") / BAND)))).alias("c")
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    placed = words.select(*by, "x0", x.alias("x"), y.alias("y"), "text", F.floor(y / BAND).alias("band")).alias("w")
-    within = [F.col(f"c.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by] + [F.col("c.band") == F.col("w.band"), F.expr("w.x >= c.x0 AND w.x < c.x1 AND w.y >= c.y0 AND w.y < c.y1")]
-    cell = [*by, "table_ord", "row", "col"]
-    held = placed.join(banded, within).select(*(F.col(f"c.{c}").alias(c) for c in cell), F.col("w.x0").alias("x0"), "w.y", "w.text")
-    held = _clusters(held, cell, "y", "line")
-    lines = held.groupBy(*cell, "line").agg(_in_order("x0", "text", " ").alias("text"))
-    texts = lines.groupBy(*cell).agg(_in_order("line", "text", "\n").alias("text"))
-    blank = cells.select(*cell, F.lit(None).cast("string").alias("text"))
-    return grids(blank.unionByName(texts).groupBy(*cell).agg(F.max("text").alias("text")), by)
-
-
-def _in_order(at: str, text: str, mark: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda s: s[text]), mark)
-
-
-def text_segments(words: DataFrame, by: list[str]) -> DataFrame:
-    """Words that stand close in a line: line, seg, x0, x1, text; of its line top, bottom and n (how many there are)."""
-    w = words.where(F.trim("text") != "").withColumn("y", (F.col("top") + F.col("bottom")) / 2)
-    w = _clusters(w, by, "y", "line")
-    size = F.sum(F.col("x1") - F.col("x0")).over(W.partitionBy(*by)) / F.sum(F.length("text")).over(W.partitionBy(*by))
-    w = _runs(w.withColumn("gap", CELL_GAP * size), [*by, "line"], "x0", "x1", "seg", F.col("gap"))
-    s = w.groupBy(*by, "line", "seg").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), _in_order("x0", "text", " ").alias("text"))
-    line = W.partitionBy(*by, "line")
-    return s.withColumns({"top": F.min("top").over(line), "bottom": F.max("bottom").over(line), "n": F.count("*").over(line)})
-
-
-def aligned_tables(words: DataFrame, by: list[str]) -> DataFrame:
-    """Grids of aligned text: ``by``, table_ord and grid.
 
-    Lines of two or more segments make tables, whose columns are parted by gaps that no segment of such a line crosses. A line
-    of one segment that stands in a column belongs to the table; one that crosses a gap ends it, and so does a wide space.
+    def cell(of: Column, top: Column, i: Column, j: Column, after: Column) -> Column:
+        left, below = F.get(of["v"], j), F.get(F.filter(F.get(of["rightwards"], j), lambda k: k > i), F.lit(0))
+        sides = F.struct(left.alias("left"), F.get(of["v"], after).alias("right"), F.get(of["h"], below).alias("foot"))
+        return F.when(top["high"] > left["place"] + TOLERANCE, let(sides, lambda s: closed(top, s["left"], s["right"], s["foot"])))
+
+    def closed(top: Column, left: Column, right: Column, foot: Column) -> Column:
+        shut = _meet(foot, right) & (foot["low"] < right["place"] - TOLERANCE) & (right["low"] < foot["place"] - TOLERANCE)
+        return F.when(shut, F.struct(left["place"].alias("x0"), right["place"].alias("x1"), top["place"].alias("y0"), foot["place"].alias("y1")))
+
+    along = lambda of, top, i, js: _some(F.transform(js, lambda j, n: cell(of, top, i, j, F.get(js, n + 1))))
+    known = F.struct(h.alias("h"), v.alias("v"), downwards.alias("downwards"), rightwards.alias("rightwards"))
+    return let(known, lambda of: F.flatten(F.transform(of["h"], lambda top, i: let(F.get(of["downwards"], i), lambda js: along(of, top, i, js)))))
+
+
+def touching_cells(cells: Column) -> Column:
+    """Tables, which are cells that touch."""
+    down = lambda cs: _runs(_in_order(cs, "y0", "y1", "x0", "x1"), "y0", "y1")
+    along = lambda cs: _runs(_in_order(cs, "x0", "x1", "y0", "y1"), "x0", "x1")
+    return _each(down(cells), along)
+
+
+def ruled_grids(words: Column, tables: Column) -> Column:
+    """Grids of the cells of tables. A word is in the cell that its middle is in."""
+    middle = lambda w: F.struct(((w["top"] + w["bottom"]) / 2).alias("y"), w["x0"].alias("x0"), w["text"].alias("text"), ((w["x0"] + w["x1"]) / 2).alias("x"))
+    text = lambda line: F.array_join(_in_order(line, "x0", "text")["text"], " ")
+    level = lambda ws: F.get(ws, F.lit(0))["y"] == F.element_at(ws, -1)["y"]
+    held = lambda ws: F.when(F.size(ws) > 0, F.when(level(ws), F.array_join(ws["text"], " ")).otherwise(F.array_join(F.transform(_clusters(ws, "y"), text), "\n")))
+
+    def grid(table: Column, ws: Column) -> Column:
+        ends = F.struct(F.sort_array(F.array_distinct(table["x0"])).alias("columns"), F.array_min(table["x0"]).alias("x0"), F.array_max(table["x1"]).alias("x1"))
+        rows = _groups(_in_order(table, "y0", "x0", "x1", "y1"), lambda a, b: b["y0"] > a["y0"])
+        own = lambda at: F.filter(ws, lambda w: (w["x"] >= at["x0"]) & (w["x"] < at["x1"]))
+        return let(ends, lambda at: let(own(at), lambda ws: F.transform(rows, lambda row: filled(row, at["columns"], ws))))
+
+    def filled(row: Column, columns: Column, ws: Column) -> Column:
+        sides = F.struct(F.get(row, F.lit(0))["y0"].alias("y0"), F.array_max(row["y1"]).alias("y1"))
+        beside = let(sides, lambda at: F.filter(ws, lambda w: (w["y"] >= at["y0"]) & (w["y"] < at["y1"])))
+        within = lambda c, ws: F.filter(ws, lambda w: (w["x"] >= c["x0"]) & (w["x"] < c["x1"]) & (w["y"] < c["y1"]))
+        return let(beside, lambda ws: F.transform(columns, lambda x: let(F.get(F.filter(row, lambda c: c["x0"] == x), F.lit(0)), lambda c: let(within(c, ws), held))))
+
+    return let(F.sort_array(F.transform(words, middle)), lambda ws: F.transform(tables, lambda t: grid(t, ws)))
+
+
+def text_lines(words: Column) -> Column:
+    """Lines of words from above: top, bottom and segs, the words that stand close in it (x0, x1, text)."""
+    total = lambda ws, of: F.aggregate(ws, F.lit(0.0), lambda a, w: a + of(w))
+    gap = lambda ws: CELL_GAP * F.try_divide(total(ws, lambda w: w["x1"] - w["x0"]), total(ws, lambda w: F.length(w["text"])))
+    placed = lambda ws, y: F.sort_array(F.transform(ws, lambda w: F.struct(y(w).alias("y"), *(w[c].alias(c) for c in ("x0", "text", "x1", "top", "bottom")))))
+    first = lambda ws: F.get(ws, F.lit(0))
+    along = lambda ws: F.when(first(ws)["y"] == F.element_at(ws, -1)["y"], ws).otherwise(placed(ws, lambda w: F.lit(0.0)))  # noqa: E731 - by x0 already if all stand at one height
+    seg = lambda s: F.struct(first(s)["x0"].alias("x0"), F.array_max(s["x1"]).alias("x1"), F.array_join(s["text"], " ").alias("text"))
+    line = lambda gap: lambda ws: F.struct(F.array_min(ws["top"]).alias("top"), F.array_max(ws["bottom"]).alias("bottom"), F.transform(_runs(along(ws), "x0", "x1", gap), seg).alias("segs"))
+    return let(F.filter(words, lambda w: F.trim(w["text"]) != ""), lambda ws: let(gap(ws), lambda gap: F.transform(_clusters(placed(ws, lambda w: (w["top"] + w["bottom"]) / 2), "y"), line(gap))))
+
+
+def _many(line: Column) -> Column:
+    return F.size(line["segs"]) > 1
+
+
+def _spans(lines: Column) -> Column:
+    """Stretches that segments of the lines cover without a gap: low, high."""
+    return F.transform(_runs(F.sort_array(F.flatten(lines["segs"])), "x0", "x1"), lambda s: F.struct(F.get(s, F.lit(0))["x0"].alias("low"), F.array_max(s["x1"]).alias("high")))
+
+
+def spaced_lines(lines: Column) -> Column:
+    """Lines in pieces that wide spaces part: space (to those above), height, segs."""
+    space = lambda line, foots, i: line["top"] - F.array_max(F.slice(foots, F.lit(1), i))
+    spaced = lambda lines: let(lines["bottom"], lambda foots: F.transform(lines, lambda x, i: F.struct(space(x, foots, i).alias("space"), (x["bottom"] - x["top"]).alias("height"), x["segs"].alias("segs"))))
+    return _groups(let(lines, spaced), lambda a, b: b["space"] > TABLE_GAP * b["height"])
+
+
+def aligned_parts(run: Column) -> Column:
+    """Lines without wide spaces in pieces that lines of one segment end where this doesn't stand in a column; such lines go, and those before the first line of several."""
+    crosses = lambda s, spans: F.size(F.filter(spans, lambda c: (c["low"] < s["x1"]) & (c["high"] > s["x0"]))) != 1
+    ends = lambda x, spans: ~_many(x) & crosses(F.get(x["segs"], F.lit(0)), spans)
+    told = let(_spans(F.filter(run, _many)), lambda spans: F.transform(run, lambda x: F.struct(x["space"].alias("space"), x["segs"].alias("segs"), ends(x, spans).alias("ends"))))
+    head = lambda part: F.array_position(F.transform(part, _many), F.lit(True)).cast("int")
+    from_head = lambda part: let(head(part), lambda at: F.when(at > 0, F.slice(part, at, F.size(part))))
+    return _some(F.transform(_groups(told, lambda a, b: b["ends"]), lambda part: let(F.filter(part, lambda x: ~x["ends"]), from_head)))
+
+
+def told_lines(part: Column, columns: Column) -> Column:
+    """Lines of a table: space, cells (col, text), body (below the first line), partial (a column is empty there), indented (the first one is)."""
+    col = lambda s: F.size(F.filter(columns, lambda c: c["low"] <= s["x0"])) - 1
+    cells = lambda x: F.transform(x["segs"], lambda s: F.struct(col(s).alias("col"), s["text"].alias("text")))
+    partial = lambda c, i: (i > 0) & (F.size(F.array_distinct(c["col"])) < F.size(columns))
+    told = lambda x, i: let(cells(x), lambda c: F.struct(x["space"].alias("space"), c.alias("cells"), (i > 0).alias("body"), partial(c, i).alias("partial"), (F.array_min(c["col"]) > 0).alias("indented")))
+    return F.transform(part, told)
+
+
+def aligned_grid(lines: Column, width: Column) -> Column:
+    """The grid of a table's lines.
+
     A line that leaves a column empty continues the row above where lines stand closer there than those of whole rows do, or,
     in a table of even spacing, where it leaves the first column empty.
     """
-    s = text_segments(words, by)
-    lines = lambda of: W.partitionBy(*of).orderBy("line")
-    above = F.max("bottom").over(lines(by).rangeBetween(W.unboundedPreceding, -1))
-    upto = lambda of, begins: F.sum(F.coalesce(begins & (F.col("seg") == 0), F.lit(False)).cast("int")).over(lines(of).rangeBetween(W.unboundedPreceding, 0))
-    s = s.withColumn("space", F.col("top") - above).withColumn("far", F.col("space") > TABLE_GAP * (F.col("bottom") - F.col("top"))).withColumn("run", upto(by, F.col("far")))
-    run = [*by, "run"]
-    many = F.col("n") > 1
-    s = _runs(s.withColumn("many", many), [*run, "many"], "x0", "x1", "col")
-    side = W.partitionBy(*run, "many", "col")
-    span = F.when(F.col("many"), F.struct(F.min("x0").over(side).alias("low"), F.max("x1").over(side).alias("high")))
-    s = s.withColumn("span", span).withColumn("spans", F.collect_set("span").over(W.partitionBy(*run)))
-    crosses = F.size(F.filter("spans", lambda c: (c["low"] < F.col("x1")) & (c["high"] > F.col("x0")))) != 1
-    s = s.withColumn("ends", ~many & crosses).withColumn("part", upto(run, F.col("ends"))).where("NOT ends")
-    part = [*run, "part"]
-    s = s.withColumn("head", F.min(F.when(many, F.col("line"))).over(W.partitionBy(*part))).where("line >= head").drop("col")
-    s = _runs(s, part, "x0", "x1", "col")
-    line = W.partitionBy(*part, "line")
-    s = s.withColumn("width", F.max("col").over(W.partitionBy(*part)) + 1).where("width >= 2")
-    s = s.withColumn("full", F.size(F.collect_set("col").over(line)) == F.col("width")).withColumn("first", F.min("col").over(line)).withColumn("body", F.col("line") > F.col("head"))
-    whole = F.min(F.when(F.col("full") & F.col("body"), F.col("space"))).over(W.partitionBy(*part))
-    s = s.withColumn("close", F.coalesce(F.col("body") & ~F.col("full") & (F.col("space") < 0.75 * whole), F.lit(False)))
-    s = s.withColumn("spaced", F.max("close").over(W.partitionBy(*part)))
-    goes_on = F.col("body") & ~F.col("full") & F.when(F.col("spaced"), F.col("close")).otherwise(F.col("first") > 0)
-    lead = F.min("seg").over(line)  # a line may have lost its first segment
-    s = s.withColumn("begins", (~goes_on & (F.col("seg") == lead)).cast("int")).withColumn("row", (F.sum("begins").over(lines(part).rangeBetween(W.unboundedPreceding, 0)) - 1).cast("int"))
-    s = s.withColumn("table_ord", (F.dense_rank().over(W.partitionBy(*by).orderBy("run", "part")) - 1).cast("int"))
-    cell = [*by, "table_ord", "row", "col"]
-    texts = s.groupBy(*cell, "line").agg(_in_order("x0", "text", " ").alias("text")).groupBy(*cell).agg(_in_order("line", "text", "\n").alias("text"))
-    return grids(texts.withColumn("col", F.col("col").cast("int")), by)
-
-
-def grids(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Cells (table_ord, row, col, text) as arrays of rows; what isn't there is null."""
-    table = [*by, "table_ord"]
-    c = cells.withColumn("width", F.max("col").over(W.partitionBy(*table)))
-    filled = F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.get(F.filter("cells", lambda x: x["col"] == i), F.lit(0))["text"])
-    rows = c.groupBy(*table, "row", "width").agg(F.collect_list(F.struct("col", "text")).alias("cells")).select(*table, "row", filled.alias("cells"))
-    return rows.groupBy(*table).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("grid"))
+    whole = F.array_min(F.filter(lines, lambda x: x["body"] & ~x["partial"])["space"])
+    close = lambda x, whole: F.coalesce(x["partial"] & (x["space"] < 0.75 * whole), F.lit(False))
+    spacing = let(whole, lambda whole: F.struct(whole.alias("whole"), F.exists(lines, lambda x: close(x, whole)).alias("spaced")))
+    goes_on = lambda x, s: x["partial"] & F.when(s["spaced"], close(x, s["whole"])).otherwise(x["indented"])
+    said = lambda x, c: F.array_join(F.filter(x["cells"], lambda s: s["col"] == c)["text"], " ")
+    text = lambda row, c: let(F.filter(F.transform(row, lambda x: said(x, c)), lambda x: x != ""), lambda ls: F.when(F.size(ls) > 0, F.array_join(ls, "\n")))
+    return let(spacing, lambda s: F.transform(_groups(lines, lambda a, b: ~goes_on(b, s)), lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda c: text(r, c))))
+
+
+def with_ruled_tables(pages: DataFrame) -> DataFrame:
+    """Adds ``ruled``, the grids that ``rules`` draw around ``words``; null on pages without ruled cells. A step a column, as functions within functions take Spark long to resolve."""
+    p = pages.withColumn("h", joined_rules(F.col("rules"), True)).withColumn("v", joined_rules(F.col("rules"), False))
+    p = p.withColumn("downwards", crossings(F.col("h"), F.col("v"))).withColumn("rightwards", crossings(F.col("v"), F.col("h")))
+    p = p.withColumn("cells", ruled_cells(*map(F.col, ("h", "v", "downwards", "rightwards"))))
+    p = p.withColumn("ruled", F.when(F.size("cells") > 0, touching_cells(F.col("cells"))))  # tables above each other, beside each other, and so once more within those
+    return p.withColumn("ruled", _each(F.col("ruled"), touching_cells)).withColumn("ruled", ruled_grids(F.col("words"), F.col("ruled"))).select(*pages.columns, "ruled")
+
+
+def with_aligned_tables(pages: DataFrame, words: Column) -> DataFrame:
+    """Adds ``aligned``, the grids of aligned text, by the same steps.
+
+    Lines of two or more segments make tables, whose columns are parted by gaps that no segment of such a line crosses. A line
+    of one segment that stands in a column belongs to the table; one that crosses a gap ends it, and so does a wide space.
+    """
+    p = pages.withColumn("lines", text_lines(words)).withColumn("aligned", spaced_lines(F.col("lines"))).withColumn("aligned", _each(F.col("aligned"), aligned_parts))
+    p = p.withColumn("aligned", F.filter(F.transform("aligned", lambda t: F.struct(t.alias("lines"), _spans(t).alias("columns"))), lambda t: F.size(t["columns"]) >= 2))
+    p = p.withColumn("aligned", F.transform("aligned", lambda t: F.struct(told_lines(t["lines"], t["columns"]).alias("lines"), F.size(t["columns"]).alias("width"))))
+    return p.withColumn("aligned", F.transform("aligned", lambda t: aligned_grid(t["lines"], t["width"]))).select(*pages.columns, "aligned")
+
+
+def tables_of_pages(pages: DataFrame, by: tuple[str, ...] = PAGE, aligned: bool = True) -> DataFrame:
+    """``by``, table_ord, grid from rows of whole pages: arrays ``words`` and, where they are known, ``rules``; else as find_tables."""
+    tables = []
+    pages = pages.withColumn("words", F.filter("words", lambda w: reduce(Column.__and__, (w[c].isNotNull() for c in WORD))))
+    if "rules" in pages.columns:
+        pages = with_ruled_tables(pages)
+        tables.append(F.col("ruled"))
+    if aligned:
+        pages = with_aligned_tables(pages, F.when(F.col("ruled").isNull(), F.col("words")) if tables else F.col("words"))
+        tables.append(F.col("aligned"))
+    pages = pages.withColumn("tables", F.transform(F.coalesce(*tables), lambda t: clean_table(t)))
+    # outer, as a filter on how many there are would have them found twice
+    return pages.select(*by, F.posexplode_outer("tables").alias("table_ord", "grid")).where("grid IS NOT NULL")
 
 
 def find_tables(words: DataFrame, rules: DataFrame | None = None, by: tuple[str, ...] = PAGE, aligned: bool = True) -> DataFrame:
     """``by``, table_ord, grid for the tables of each page, cells clean and grids of two rows and columns at least.
 
-    Pages with ruled cells have the tables of those; others, if ``aligned``, those of their aligned text. Words without text
-    or place are passed over; words that repeat are repeated in their cell. No words give no tables.
+    ``by`` names the columns that tell pages apart. Pages with ruled cells have the tables of those; others, if ``aligned``,
+    those of their aligned text. Words without text or place are passed over; words that repeat are repeated in their cell. No words give no tables.
     """
-    keys = list(by)
-    words = words.where("x0 IS NOT NULL AND x1 IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL AND text IS NOT NULL")
-    found = None
+    struct = lambda names: F.struct(*(F.col(c).cast("string" if c == "text" else "double").alias(c) for c in names))
+    words = words.select(*by, struct(WORD).alias("word"))
+    lists = [F.collect_list("word").alias("words")]
     if rules is not None:
-        found = ruled_tables(words, rules, keys)
-        ruled = ruled_cells(rules, keys).select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()  # each has a table; its words needn't be placed again to know
-        words = words.join(ruled, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_anti")
-    if aligned:
-        text = aligned_tables(words, keys)
-        found = text if found is None else found.unionByName(text)
-    return found.withColumn("grid", clean_table(F.col("grid"))).where("grid IS NOT NULL")
+        words = words.unionByName(rules.select(*by, struct(RULE).alias("rule")), allowMissingColumns=True)
+        lists.append(F.collect_list("rule").alias("rules"))
+    return tables_of_pages(words.groupBy(*by).agg(*lists), by, aligned)
 
 
 def document_tables(found: DataFrame, by: str = "path", page: str = "page_ord") -> DataFrame:

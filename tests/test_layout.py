@@ -149,6 +149,18 @@ def test_awkward_pages(spark):
     assert tables_of(spark, nulls)[0] == [[["c00", "c10"], ["c01", "c11"]]]  # pages without a path are a page
 
 
+def test_pages_of_arrays(spark):
+    """Pages whole in a row, and what they lack passed over: words, their texts and places, rules and their ends."""
+    word, rule = "struct<x0:double,x1:double,top:double,bottom:double,text:string>", "struct<x0:double,y0:double,x1:double,y1:double>"
+    words = [w[2:] for x in range(2) for y in range(3) for w in words_at(0, 50.0 + 100 * x, 50.0 + 20 * y, f"c{x}{y}")]
+    lines = [(40.0, y, 240.0, y) for y in (45.0, 65.0, 85.0)] + [(x, 45.0, x, 85.0) for x in (40.0, 140.0, 240.0)]
+    odd = [(1.0, 2.0, None, 4.0, "lost"), (1.0, 2.0, 3.0, 4.0, None), None]
+    pages = [("a", words + odd, lines + [(None, 0.0, 9.0, 9.0)]), ("b", words + odd, None), ("c", words, []), ("d", None, lines), ("e", [], None), ("f", None, None)]
+    found = layout.tables_of_pages(spark.createDataFrame(pages, f"path string, words array<{word}>, rules array<{rule}>"), by=("path",)).collect()
+    two, all_ = [["c00", "c10"], ["c01", "c11"]], [["c00", "c10"], ["c01", "c11"], ["c02", "c12"]]
+    assert {r.path: (r.table_ord, r.grid) for r in found} == {"a": (0, two), "b": (0, all_), "c": (0, all_)} | {"d": (0, [[None, None]] * 2)}
+
+
 def grid_page(rows, ruled=True):
     out = "".join(say(50 + 100 * c, 500 - 20 * r, text) for r, row in enumerate(rows) for c, text in enumerate(row))
     if ruled:
