@@ -12,7 +12,8 @@ from .text import has_term, let
 
 
 def looks_like_date(value: Column, field: Column) -> Column:
-    return has_term(F.lower(field), DATE_FIELDS) | value.rlike("(?iU)" + "|".join(DATE_SHAPES))
+    marked = F.contains(value, F.lit("/")) | F.contains(value, F.lit("-")) | value.rlike("[dD][eE]")  # each shape has one of these
+    return has_term(F.lower(field), DATE_FIELDS) | (marked & value.rlike("(?iU)" + "|".join(DATE_SHAPES)))
 
 
 def english_months(c: Column) -> Column:

@@ -69,4 +69,4 @@ def to_financial(c: Column) -> Column:
 def looks_like_number(value: Column, field: Column) -> Column:
     """By the field's name, or by digits and separators alone besides currency marks."""
     digits = let(without_currency(value), lambda x: x.rlike("(?U)^[0-9\\s,.\\-+]+$") & x.rlike("[0-9]"))
-    return has_term(F.lower(field), NUMBER_FIELDS) | digits
+    return has_term(F.lower(field), NUMBER_FIELDS) | (~value.rlike("[a-z]") & digits)  # no currency mark has a small letter

@@ -24,9 +24,18 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+#: The same characters as a set, in which printable ASCII characters are told by the first comparison.
+SPACE_SET = "[[^!-~]&&[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+
+
 def collapse(c: Column) -> Column:
     """Each run of white space is one space."""
-    return F.regexp_replace(c, f"[{SPACES}]+", " ")
+    return F.regexp_replace(c, f"{SPACE_SET}+", " ")
+
+
+def ascii_only(c: Column) -> Column:
+    """A text of ASCII alone has as many bytes as characters."""
+    return F.octet_length(c) == F.length(c)
 
 
 def blank(c: Column) -> Column:
@@ -35,7 +44,7 @@ def blank(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Without control characters; all white space, newlines too, collapsed; stripped."""
-    return strip(collapse(F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")))
+    return strip(collapse(F.regexp_replace(c, "[\\p{Cntrl}&&[^\\t\\n\\r]]", "")))
 
 
 #: The class of the Unicode library that Spark brings along for its collations.
@@ -44,11 +53,11 @@ NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 def compose(c: Column) -> Column:
     """Canonical composition (NFC), in the JVM. Only texts with non-ASCII characters are looked at."""
-    return F.when(c.rlike("[^\\x00-\\x7f]"), F.java_method(F.lit(NORMALIZER), F.lit("compose"), c, F.lit(False))).otherwise(c)
+    return F.when(~ascii_only(c), F.java_method(F.lit(NORMALIZER), F.lit("compose"), c, F.lit(False))).otherwise(c)
 
 
 def plain_characters(c: Column) -> Column:
-    return F.replace(F.translate(c, "".join(PLAIN), "".join(PLAIN.values())), F.lit(ELLIPSIS), F.lit("..."))
+    return F.when(~ascii_only(c), F.replace(F.translate(c, "".join(PLAIN), "".join(PLAIN.values())), F.lit(ELLIPSIS), F.lit("..."))).otherwise(c)
 
 
 def fix_unicode(c: Column) -> Column:

@@ -131,7 +131,8 @@ def with_errors(records: DataFrame, rules: Iterable[FieldRule], shared: GlobalRu
     # entries are made once and each field is looked up once, also where a filter on the errors takes all of this below
     looked_up = lambda entries: F.struct(*(cell(entries, n).alias(c) for n, c in bound.items()))
     found = lambda all_: F.filter(F.array(*(one(*t) for t in told(all_))).cast(f"array<{ERROR}>"), lambda e: e.isNotNull())
-    return records.withColumn("errors", let(F.col("entries"), lambda entries: let(looked_up(entries), found)))
+    own_entries = F.filter("entries", lambda e: e["k"].isin(*names))  # fields are looked up among these alone
+    return records.withColumn("errors", let(own_entries, lambda entries: let(looked_up(entries), found)))
 
 
 def validate(records: DataFrame, v: Validation, typed: dict[str, Iterable[FieldRule]] | None = None) -> DataFrame:

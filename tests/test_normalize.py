@@ -102,3 +102,13 @@ def test_keys_of_records(spark):
     assert kept == {(k // 5, k % 5) for k in range(len(kinds)) if k not in (1, 3)}
     last = {(r.file_ord, r.rec_ord): r.entries for r in deduplicate(df.repartition(5), ("a",), "last").collect()}
     assert last[(0, 2)][0].v.n == 0.0 and len(last) == 7
+
+
+def test_spaces_and_controls_are_all_of_theirs(spark):
+    """Each character up to U+3100, between letters: white space is a space, control characters go, others stay; texts of ASCII and others alike."""
+    codes = [k for k in range(1, 0x3100) if not 0xD800 <= k < 0xE000]
+    df = spark.createDataFrame([(k, f"a{chr(k)}b", f"a {chr(k)}\n b") for k in codes], "k int, one string, run string")
+    for r in df.select("k", text.collapse(F.col("one")).alias("one"), text.collapse(F.col("run")).alias("run"), text.clean_text(F.col("one")).alias("clean"), text.ascii_only(F.col("one")).alias("ascii")).collect():
+        space, control = chr(r.k) in text.SPACES, r.k in range(9) or r.k in (11, 12, 127) or r.k in range(14, 32)
+        assert r.one == ("a b" if space else f"a{chr(r.k)}b") and r.run == ("a b" if space else f"a {chr(r.k)} b"), r.k
+        assert r.clean == ("ab" if control else "a b" if space else f"a{chr(r.k)}b") and r.ascii == (r.k < 128), r.k
